@@ -7,7 +7,8 @@ block alone yields all candidates; sizes out of ratio are discarded. Survivors g
 A column that many documents share would give the square of its length. So within a column (split by size class, whose
 neighbours alone can link) candidates are first counted against one pivot only. Documents that link to the pivot are one
 component and need no pair among themselves; Jaccard distance is a metric, so two documents whose distances to the
-pivot differ by more than 1 - t can't link. A second pivot, among those that don't link to the first, does the same; what
+pivot differ by more than 1 - t can't link. Before sets are fetched, parity sketches of a fixed size rule out pairs that
+differ in too many n-grams; that bound is exact, too. A second pivot, among those that don't link to the first, does the same; what
 is then still in different components is compared pair by pair. No link between different components is lost.
 
 The order only affects cost: n-grams that repeat within a batch of documents are counted over all data, and the HOT most
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import documents, staged
 from lumenfold.llm.components import components
 
-HOT, BROADCAST_ROWS = 1 << 17, 1_000_000
+HOT, BROADCAST_ROWS, SKETCH_BITS = 1 << 17, 1_000_000, 1024
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,7 +95,7 @@ def _ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def _incidence(k: int, num: int, den: int, hot, whole: bool):
     names = [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
-    schema = pa.schema([*names, ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([*names, ("grams", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -103,7 +104,7 @@ def _incidence(k: int, num: int, den: int, hot, whole: bool):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
-                n, s1, s2, grams = [], [], [], []
+                n, s1, s2, grams, sketch = [], [], [], [], []
                 for text in some.column(1).to_pylist():
                     s = shingles(text, k)
                     raw = s.tobytes()
@@ -111,15 +112,17 @@ def _incidence(k: int, num: int, den: int, hot, whole: bool):
                     n.append(len(s))
                     s1.append((d >> 64) - (1 << 63))
                     s2.append((d & (2**64 - 1)) - (1 << 63))
+                    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                    sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
                     grams.append((s if whole else _ordered(s, known, rank)[: len(s) - -(-num * len(s) // den) + 1 if len(s) else 0]).view(np.int64))
                 flat = pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64))
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(ends, flat)], schema=schema)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(sketch, schema.field("sketch").type)], schema=schema)
 
     return run
 
 
-_ROWS = "doc_id long, n long, s1 long, s2 long, grams array<long>"
+_ROWS = "doc_id long, n long, s1 long, s2 long, grams array<long>, sketch array<long>"
 
 
 class NgramJoin:
@@ -145,11 +148,25 @@ class NgramJoin:
         return staged(again.select("s1", "s2", "grams").join(wanted.select("row", "s1", "s2"), ["s1", "s2"]).select("row", "grams"), "sets")
 
     def _overlaps(self, pairs: DataFrame, name: str) -> DataFrame:
-        """pairs: a, b, na, nb. Adds inter, the number of common n-grams, and dist."""
-        sets = self._sets(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
+        """pairs: a, b, na, nb. Adds inter, the number of common n-grams, and bounds of the distance, lo and hi.
+
+        inter is null where the sets differ in too much to link: an n-gram in one set alone flips one bit of the parity
+        sketches, so their Hamming distance never exceeds the number of such n-grams.
+        """
+        sk = self.rows.select("row", "sketch")
+        x, y = sk.select(F.col("row").alias("a"), F.col("sketch").alias("ka")), sk.select(F.col("row").alias("b"), F.col("sketch").alias("kb"))
+        flips = F.aggregate(F.zip_with("ka", "kb", lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long")), F.lit(0).cast("long"), lambda t, u: t + u)
+        total = F.col("na") + F.col("nb")
+        seen = staged(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", flips.alias("flips")), f"{name}-sketches")
+        able = F.col("flips") * (self.den + self.num) <= total * (self.den - self.num)
+        near = seen.where(able).drop("flips")
+        sets = self._sets(near.select(F.col("a").alias("row")).union(near.select("b")).distinct())
         x, y = sets.select(F.col("row").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("row").alias("b"), F.col("grams").alias("gb"))
-        got = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("inter"))
-        return staged(got.withColumn("dist", 1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))), name)
+        got = near.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("inter"))
+        dist = 1 - F.col("inter") / (total - F.col("inter"))
+        got = got.withColumn("lo", dist).withColumn("hi", dist)
+        far = seen.where(~able).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("inter"), (2 * F.col("flips") / (total + F.col("flips"))).alias("lo"), F.lit(1.0).alias("hi"))
+        return staged(got.union(far), name)
 
     def _meets(self) -> Column:
         return F.col("inter") * self.den >= (F.col("na") + F.col("nb") - F.col("inter")) * self.num
@@ -173,7 +190,6 @@ class NgramJoin:
         group, gap, eps = ["s", "g"], 1 - self.num / self.den, 1e-9
         links, live, seen = None, both, []
         for r in range(2):
-            name = f"p{r}"
             if r == 0:
                 pivots = live.groupBy(*group).agg(F.min(F.struct("row", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
             else:
@@ -185,12 +201,13 @@ class NgramJoin:
             found = self._linked(counted)
             links = found if links is None else links.union(found)
             seen.append(counted)
-            dist = counted.select("a", "b", "dist", self._meets().alias("linked"))
-            # distance to the pivot, not a number where the sizes alone rule a link out
+            dist = counted.select("a", "b", F.col("lo").alias("dlo"), F.col("hi").alias("dhi"), self._meets().alias("linked"))
+            # bounds of the distance to the pivot; where the sizes alone rule a link out they give the lower one
             joined = near.join(dist, (F.least("row", "pivot") == F.col("a")) & (F.greatest("row", "pivot") == F.col("b")), "left")
             is_pivot = F.col("row") == F.col("pivot")
-            own = F.when(is_pivot, F.lit(0.0)).otherwise(F.coalesce("dist", F.lit(float("nan"))))
-            live = joined.select(*group, "row", "n", *[f"p{i}" for i in range(r)], own.alias(name), (is_pivot | F.coalesce("linked", F.lit(False))).alias("settled"))
+            sizes = 1 - F.least("n", "pn") / F.greatest("n", "pn")
+            lo, hi = F.when(is_pivot, F.lit(0.0)).otherwise(F.coalesce("dlo", sizes)), F.when(is_pivot, F.lit(0.0)).otherwise(F.coalesce("dhi", F.lit(1.0)))
+            live = joined.select(*group, "row", "n", *[f"{x}{i}" for i in range(r) for x in ("lo", "hi")], lo.alias(f"lo{r}"), hi.alias(f"hi{r}"), (is_pivot | F.coalesce("linked", F.lit(False))).alias("settled"))
             # a column whose rows all link to its pivot has nothing left to compare
             open_ = live.groupBy(*group).agg(F.bool_and("settled").alias("done")).where("not done").select(*group)
             live = staged(live.join(open_, group, "left_semi"), f"live-{r}")
@@ -200,7 +217,7 @@ class NgramJoin:
         live = staged(live.join(many, group, "left_semi"), "live")
         u, v = live.alias("u"), live.alias("v")
         on = [F.col("u.s") == F.col("v.s"), F.col("u.g") == F.col("v.g"), F.col("u.row") < F.col("v.row"), F.col("u.label") != F.col("v.label"), self._fits(F.col("u.n"), F.col("v.n"))]
-        on += [~(F.abs(F.col(f"u.p{i}") - F.col(f"v.p{i}")) > gap + eps) | F.isnan(F.col(f"u.p{i}")) | F.isnan(F.col(f"v.p{i}")) for i in range(2)]
+        on += [F.col(f"{x}.lo{i}") - F.col(f"{y}.hi{i}") <= gap + eps for i in range(2) for x, y in ("uv", "vu")]
         cond = on[0]
         for c in on[1:]:
             cond = cond & c
