@@ -1,10 +1,5 @@
 """The queries of the library and their SQL, by name."""
 
-from __future__ import annotations
+from lumenfold.queries import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
