@@ -215,9 +215,15 @@ class NgramJoin:
         live = live.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
         many = live.groupBy(*group).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(*group)
         live = staged(live.join(many, group, "left_semi"), "live")
+        # sketches join in, so that a pair which they rule out is never a row
+        words = range(SKETCH_BITS // 64)
+        sk = self.rows.select("row", *[F.get("sketch", F.lit(i)).alias(f"k{i}") for i in words])
+        live = staged(live.join(sk, "row"), "live-sketches")
         u, v = live.alias("u"), live.alias("v")
         on = [F.col("u.s") == F.col("v.s"), F.col("u.g") == F.col("v.g"), F.col("u.row") < F.col("v.row"), F.col("u.label") != F.col("v.label"), self._fits(F.col("u.n"), F.col("v.n"))]
         on += [F.col(f"{x}.lo{i}") - F.col(f"{y}.hi{i}") <= gap + eps for i in range(2) for x, y in ("uv", "vu")]
+        flips = sum((F.bit_count(F.col(f"u.k{i}").bitwiseXOR(F.col(f"v.k{i}"))).cast("long") for i in words), F.lit(0).cast("long"))
+        on += [flips * (self.den + self.num) <= (F.col("u.n") + F.col("v.n")) * (self.den - self.num)]
         cond = on[0]
         for c in on[1:]:
             cond = cond & c
