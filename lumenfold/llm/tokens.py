@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-MEMO_ENTRIES, MEMO_CHARS = 600_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 1_500_000, 32
 #: Set between units where the vocabulary drops spaces; a lone control character is one id of its own.
 MARK = "\x01"
 
