@@ -54,7 +54,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("_row", "_id", F.explode_outer(F.concat(*[_parts(F.col("_text"), k) for k in range(len(KINDS))])).alias("_p"))
     flat = rows.select("_row", "_id", "_p.kind", "_p.i", "_p.gap", "_p.n", "_p.ok").repartition("_row")
     end = F.sum(F.col("gap") + F.col("n")).over(W.partitionBy("_row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-    placed = flat.withColumn("end", end).withColumn("start", F.col("end") - F.col("n")).where("ok or kind is null")
+    # a match that is too short loses its kind but not its row, so no document goes
+    placed = flat.withColumn("end", end).withColumn("start", F.col("end") - F.col("n")).withColumn("kind", F.when(F.col("ok"), F.col("kind")))
     near = W.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
     has = lambda role: F.max(F.col("kind").isin([k for k, x in enumerate(KINDS) if x[4] == role])).over(near)
     covered = F.max(F.when(F.col("kind") < N_BASE, F.col("end"))).over(W.partitionBy("_row").orderBy("start").rangeBetween(-scope, 0))

@@ -26,7 +26,7 @@ def docs(spark):
     rows = [(0, None), (1, ""), (2, " \n\t"), (3, "one"), (3, "one"), (4, "ONE"), (5, base), (6, base), (7, base + " extra"), (8, text(2, 5000)), (9, "é è\n\n  x  y\tz <|endoftext|>"), (10, "two words"), (None, base)]
     rows += [(20 + i, f"Shared Line \nown {i}\n\nshared line") for i in range(12)]
     rows += [(50 + i, " ".join(w if j != 7 * i else f"edit{i}" for j, w in enumerate(base.split()))) for i in range(12)]
-    return spark.createDataFrame([(i, t, f"s{(i or 0) % 3}" if i != 9 else None, "clash", 1, "x") for i, t in rows], "doc_id long, text string, source string, n long, row long, label string")
+    return spark.createDataFrame([(i, t, f"s{(i or 0) % 3}" if i != 9 else None, "clash", 1, "x") for i, t in rows], "doc_id long, text string, source string, n string, row long, label string")
 
 
 def test_codec_round_trip():
