@@ -3,8 +3,9 @@
 Documents longer than a sequence are cut into full pieces and a rest. Pieces (ids of documents, lengths, checksums; no
 text) are dealt by hash to bins of about PIECES_A_TASK, each packed on its own: a sequence starts with the longest piece
 left, takes the longest that still fits until none does, and then, if a gap is left, its smallest piece makes way for
-the two unpacked pieces that fill the wider gap most tightly, if they fill more of it. A task wastes at most a few
-sequences, so the number of sequences doesn't depend on the number of tasks to any extent that matters.
+the two unpacked pieces that fill the wider gap most tightly, if they fill more of it. Where that takes
+more sequences than the tokens need, it is tried again with small pieces kept back to fill the tightest gaps last, and
+the better of the two stays. A task wastes at most a few sequences, so the number of sequences doesn't depend on the number of tasks to any extent that matters.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat a doc_id are packed once each; an empty table
 gives no rows; other columns are ignored.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import documents, staged
 from lumenfold.llm.tokens import encoder
 
-SIZE, PIECES_A_TASK = 2048, 20_000
+#: In the second try, pieces up to a SMALL_PART-th of a sequence wait until the longer ones are packed.
+SIZE, PIECES_A_TASK, SMALL_PART = 2048, 20_000, 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -53,53 +55,87 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, i
     return rows.mapInArrow(_cut(tokenizer, end_id, size, with_ids), PIECES + ", ids binary" * with_ids)
 
 
-def best_two_fit(lengths: list[int], size: int) -> list[list[int]]:
-    """Bins of indexes into lengths (each from 1 to size)."""
-    left: list[list[int]] = [[] for _ in range(size + 1)]
-    for i, n in enumerate(lengths):
-        left[n].append(i)
-    open_ = sum(1 << n for n in range(1, size + 1) if left[n])  # bit n: a piece of length n is unpacked
-    bins: list[list[int]] = []
+class _Shelf:
+    """Indexes by a number from 0 to size; the set of numbers in use is one integer, so a neighbour is a bit scan away."""
 
-    def longest(upto: int) -> int:
-        return max((open_ & ((2 << upto) - 1)).bit_length() - 1, 0) if upto > 0 else 0
+    def __init__(self, size: int):
+        self.at: list[list[int]] = [[] for _ in range(size + 1)]
+        self.used = 0
 
-    def take(n: int) -> int:
-        nonlocal open_
-        i = left[n].pop()
-        if not left[n]:
-            open_ &= ~(1 << n)
+    def put(self, n: int, i: int) -> None:
+        self.at[n].append(i)
+        self.used |= 1 << n
+
+    def take(self, n: int) -> int:
+        i = self.at[n].pop()
+        if not self.at[n]:
+            self.used &= ~(1 << n)
         return i
 
-    def back(n: int, i: int) -> None:
-        nonlocal open_
-        left[n].append(i)
-        open_ |= 1 << n
+    def most(self, upto: int) -> int:
+        """The largest number in use up to upto; 0 if there is none."""
+        return max((self.used & ((2 << upto) - 1)).bit_length() - 1, 0) if upto > 0 else 0
+
+    def least(self, n: int) -> int:
+        """The smallest number in use from n on; 0 if there is none."""
+        up = self.used >> n
+        return n + (up & -up).bit_length() - 1 if up else 0
+
+
+def _tighter(left: _Shelf, room: int, best: int) -> tuple[int, int] | None:
+    """Lengths of two unpacked pieces that together fill room best, and more of it than best."""
+    pair, a = None, left.most(room - 1)
+    while a and 2 * a >= best:
+        b = left.most(min(room - a, a))
+        if b == a and len(left.at[a]) < 2:
+            b = left.most(a - 1)
+        if b and a + b > best:
+            best, pair = a + b, (a, b)
+            if best == room:
+                break
+        a = left.most(a - 1)
+    return pair
 
-    while open_:
-        n = longest(size)
-        inside, gap = [(n, take(n))], size - n
-        while n := longest(gap):
-            inside.append((n, take(n)))
+
+def best_two_fit(lengths: list[int], size: int) -> list[list[int]]:
+    """Bins of indexes into lengths (each from 1 to size)."""
+    bins = _fit(lengths, size, 0)
+    if len(bins) * size - sum(lengths) < size:  # no packing has fewer
+        return bins
+    return min(bins, _fit(lengths, size, size // SMALL_PART), key=len)
+
+
+def _fit(lengths: list[int], size: int, wait: int) -> list[list[int]]:
+    """Pieces of a length up to wait are kept back until the longer ones are packed."""
+    left, small = _Shelf(size), _Shelf(size)
+    for i, n in enumerate(lengths):
+        (left if n > wait else small).put(n, i)
+    bins: list[list[int]] = []
+    gaps = _Shelf(size)
+    while left.used:
+        n = left.most(size)
+        inside, gap = [(n, left.take(n))], size - n
+        while n := left.most(gap):
+            inside.append((n, left.take(n)))
             gap -= n
-        if gap and len(inside) > 1 and open_:
-            small = min(inside)
-            room, best, pair = gap + small[0], small[0], None
-            a = longest(room - 1)
-            while a and 2 * a >= best:
-                b = longest(min(room - a, a))
-                if b == a and len(left[a]) < 2:
-                    b = longest(a - 1)
-                if b and a + b > best:
-                    best, pair = a + b, (a, b)
-                    if best == room:
-                        break
-                a = longest(a - 1)
-            if pair:
-                inside.remove(small)
-                back(*small)
-                inside += [(x, take(x)) for x in pair]
+        if gap and len(inside) > 1 and left.used:
+            out = min(inside)
+            if pair := _tighter(left, gap + out[0], out[0]):
+                inside.remove(out)
+                left.put(*out)
+                inside += [(x, left.take(x)) for x in pair]
+                gap += out[0] - sum(pair)
+        gaps.put(gap, len(bins))
         bins.append([i for _, i in inside])
+    while small.used:  # longest first, into the tightest gap
+        n = small.most(size)
+        gap = gaps.least(n)
+        k = gaps.take(gap) if gap else len(bins)
+        if not gap:
+            gap = size
+            bins.append([])
+        bins[k].append(small.take(n))
+        gaps.put(gap - n, k)
     return bins
 
 
