@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE = {
+    "op2_warc_index": warc.ORACLE["op2"],
     "op3_line_dedup": line_dedup.ORACLE["op3"],
     "op4_exact_dedup": exact_dedup.ORACLE["op4"],
     "op7_mix_sources": mixing.ORACLE["op7"],

@@ -194,7 +194,7 @@ def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_index(staged(scan_archives(spark, archives), "captures"), index)
     target = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     found = lookup(spark, index, pages.select(url_key(target).alias("urlkey"), F.col("page_id").cast("long").alias("page_id")))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "offset", "length")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = {
