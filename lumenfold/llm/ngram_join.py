@@ -1,8 +1,12 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows of equal sets are collapsed first. Every set is written in one global order of n-grams, frequent ones last. Two
-sets at the threshold must share an n-gram among the first n - ceil(t n) + 1 of each, so the product over that column
-block alone yields all candidates; sizes out of ratio are discarded. Survivors get their full overlap count.
+Rows of equal sets are collapsed first. The columns (n-grams) are split into blocks by hash, more of them than two sets of
+that size class can differ in and still link. So two linked rows agree in at least one whole block, and the product only
+needs the rows that agree in a block; a block of several n-grams is rarely alike by chance. Blocks that are empty in both
+rows agree, too: there are some blocks to spare for that, and a row with more empty ones than those lists them as well.
+Below BLOCKS_FROM a block would hold few n-grams, so single columns are used there: every set is written in one global
+order of n-grams, frequent ones last, and two sets at the threshold share an n-gram among the first n - ceil(t n) + 1 of
+each. Sizes out of ratio are discarded. Survivors get their full overlap count.
 
 A column that many documents share would give the square of its length. So within a column (split by size class, whose
 neighbours alone can link) candidates are first counted against one pivot only. Documents that link to the pivot are one
@@ -11,7 +15,7 @@ pivot differ by more than 1 - t can't link. Before sets are fetched, parity sket
 differ in too many n-grams; that bound is exact, too. A second pivot, among those that don't link to the first, does the same; what
 is then still in different components is compared pair by pair. No link between different components is lost.
 
-The order only affects cost: n-grams that repeat within a batch of documents are counted over all data, and the HOT most
+The order of single columns only affects cost: n-grams that repeat within a batch of documents are counted over all data, and the HOT most
 frequent (a fixed bound) are known to every task.
 
 Defined cases: null and blank texts have no n-grams and link with nothing; a text of fewer than k words is one n-gram;
@@ -21,6 +25,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import documents, staged
 from lumenfold.llm.components import components
 
-HOT, BROADCAST_ROWS, SKETCH_BITS = 1 << 17, 1_000_000, 1024
+HOT, BROADCAST_ROWS, SKETCH_BITS, BLOCKS_FROM = 1 << 17, 1_000_000, 1024, 0.85
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,14 +98,37 @@ def _ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~is_hot], late[np.argsort(rank[at[is_hot]], kind="stable")]])
 
 
+def _agreements(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of the column blocks of a set, for its size class and the next one up, with which smaller sets share it."""
+    ratio, mixed = math.log(den / num), np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s), dtype=np.uint64)])
+    own, out = math.floor(math.log(len(s)) / ratio + 1e-9), []
+    for g in (own, own + 1):
+        # sizes here are below (den / num) ^ (g + 1); a link differs in at most that many n-grams
+        differ = 2 * (math.floor(math.exp((g + 1) * ratio)) + 1) * (den - num) // (den + num)
+        spare = 1 + differ // 16
+        blocks = differ + 1 + spare
+        block = ((s >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)  # ascending, as s is
+        ends = np.searchsorted(block, np.arange(blocks, dtype=np.uint64), side="right")
+        starts = np.concatenate([[0], ends[:-1]])
+        label = np.arange(blocks, dtype=np.uint64) * _M1 + np.full(1, g + 1, np.uint64) * _M2
+        hashes = _mixed((mixed[ends] - mixed[starts]) * _M3 + label)
+        full = ends > starts
+        out.append(hashes[full] if (~full).sum() <= spare else hashes)
+    return np.concatenate(out)
+
+
 def _incidence(k: int, num: int, den: int, hot, whole: bool):
+    def listed(s: np.ndarray) -> np.ndarray:
+        if whole or not len(s):
+            return s
+        return _agreements(s, num, den) if num >= BLOCKS_FROM * den else _ordered(s, *hot.value)[: len(s) - -(-num * len(s) // den) + 1]
+
     names = [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
     schema = pa.schema([*names, ("grams", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known, rank = hot.value
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
@@ -114,7 +142,7 @@ def _incidence(k: int, num: int, den: int, hot, whole: bool):
                     s2.append((d & (2**64 - 1)) - (1 << 63))
                     odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
                     sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
-                    grams.append((s if whole else _ordered(s, known, rank)[: len(s) - -(-num * len(s) // den) + 1 if len(s) else 0]).view(np.int64))
+                    grams.append(listed(s).view(np.int64))
                 flat = pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64))
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(sketch, schema.field("sketch").type)], schema=schema)
@@ -131,11 +159,17 @@ class NgramJoin:
     def __init__(self, docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text"):
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
-        top = self.docs.select("text").mapInArrow(_repeated(k), "s long, df long").groupBy("s").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "s").limit(HOT).toPandas()
-        order = np.argsort(top["s"].to_numpy(np.int64).view(np.uint64), kind="stable")
-        self.hot = self.spark.sparkContext.broadcast((top["s"].to_numpy(np.int64).view(np.uint64)[order], top["df"].to_numpy(np.int64)[order]))
+        self.hot, self.blocks = None, num >= BLOCKS_FROM * den
+        if not self.blocks:
+            self.hot = self._frequent()
         self.rows = staged(self.docs.mapInArrow(_incidence(k, num, den, self.hot, False), _ROWS).withColumn("row", F.monotonically_increasing_id()), "incidence")
 
+    def _frequent(self):
+        """The HOT most frequent n-grams, for every task."""
+        top = self.docs.select("text").mapInArrow(_repeated(self.k), "s long, df long").groupBy("s").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "s").limit(HOT).toPandas()
+        order = np.argsort(top["s"].to_numpy(np.int64).view(np.uint64), kind="stable")
+        return self.spark.sparkContext.broadcast((top["s"].to_numpy(np.int64).view(np.uint64)[order], top["df"].to_numpy(np.int64)[order]))
+
     def _fits(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
@@ -185,8 +219,8 @@ class NgramJoin:
         ratio = float(np.log(self.den / self.num))
         size_class = F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9)
         # sets whose sizes are within the ratio are in the same class or in neighbouring ones
-        kept = posts.join(shared, "s", "left_semi").withColumn("g", size_class)
-        both = staged(kept.select("s", "row", "n", F.explode(F.array("g", F.col("g") + 1)).alias("g")), "columns")
+        kept = posts.join(shared, "s", "left_semi").withColumn("g", F.lit(0).cast("long") if self.blocks else size_class)
+        both = staged(kept.select("s", "row", "n", "g" if self.blocks else F.explode(F.array("g", F.col("g") + 1)).alias("g")), "columns")
         group, gap, eps = ["s", "g"], 1 - self.num / self.den, 1e-9
         links, live, seen = None, both, []
         for r in range(2):
