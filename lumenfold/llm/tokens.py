@@ -9,12 +9,25 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO_ENTRIES, MEMO_CHARS = 1_500_000, 32
 #: Set between units where the vocabulary drops spaces; a lone control character is one id of its own.
 MARK = "\x01"
+#: A word of Latin letters and the punctuation behind it (no apostrophe, which may open a contraction): two pre-tokens.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PROBES = ["Hello,", "s", "T.", "été", "ÉÜß!!", "don", "Zebra;:", "a", "straße", "RE_", "ll&&&"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each Latin-1 code point's UTF-8 bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
 class UnitEncoder:
@@ -24,7 +37,8 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            pre = json.load(f).get("pre_tokenizer") or {}
+            spec = json.load(f)
+        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         steps = pre.get("pretokenizers", [pre])
         byte_level = steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space")
         self.keeps_space = byte_level and len(steps) == 1 and steps[0].get("use_regex", False)
@@ -35,23 +49,59 @@ class UnitEncoder:
             self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
             self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[-1]
             self.by_unit = self.keeps_space or len(self.tokenizer.encode(MARK, add_special_tokens=False).ids) == 1
-        self.first: dict[str, bytes] = {"": b""}
-        self.rest: dict[str, bytes] = {}
+        self.first: dict[str, bytes | bool] = {}
+        self.rest: dict[str, bytes | bool] = {}
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.lowers = any(n.get("type") == "Lowercase" for n in norm.get("normalizers", [norm]))
+        self.letters, self.by_stem = _byte_letters(), self.by_unit
+        self.by_stem = self.by_unit and [self._by_stem(u) for u in _PROBES] == self._raw([" " * self.keeps_space + u for u in _PROBES])
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _by_stem(self, unit: str) -> bytes | None:
+        """Ids of a plain word and its punctuation, straight from the vocabulary's model; None for any other unit."""
+        m = _PLAIN.fullmatch(unit) if self.by_stem else None
+        if m is None:
+            return None
+        stem, tail = m.groups()
+        stem = stem.lower() if self.lowers else stem
+        ids, end = self.stems.get(stem), self.tails.get(tail)
+        if ids is None:
+            if len(self.stems) > MEMO_ENTRIES:
+                self.stems.clear()
+            word = stem if stem.isascii() else stem.translate(self.letters)
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize("Ġ" + word if self.keeps_space else word)], "<u4").tobytes()
+            if len(stem) <= MEMO_CHARS:
+                self.stems[stem] = ids
+        if end is None:
+            end = self._raw([tail])[0]
+            if len(tail) <= MEMO_CHARS and len(self.tails) <= MEMO_ENTRIES:
+                self.tails[tail] = end
+        return ids + end
 
     def _units(self, units: list[str]) -> list[bytes]:
+        out = list(map(self._by_stem, units))
+        others = [i for i, b in enumerate(out) if b is None]
+        for i, b in zip(others, self._joined([units[i] for i in others]), strict=True):
+            out[i] = b
+        return out
+
+    def _joined(self, units: list[str]) -> list[bytes]:
         """Ids of units, many to a call: a unit ends where an id that starts with a space (or a marker unit) comes next."""
         out: list[bytes] = []
         for i in range(0, len(units), 512):
             some = units[i : i + 512]
             if self.keeps_space:
-                ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+                ids = self._ids(" " + " ".join(some))
                 starts = np.flatnonzero(self.opens[ids])
                 ends, skip = np.append(starts[1:], len(ids)), 0
             else:
-                ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some) + f" {MARK}", add_special_tokens=False).ids, "<u4")
+                ids = self._ids(f" {MARK} ".join(some) + f" {MARK}")
                 ends, skip = np.flatnonzero(ids == self.mark), 1
                 starts = np.concatenate([[0], ends[:-1] + skip]).astype(np.int64)
             if len(ends) != len(some) or any(MARK in u for u in some) or (len(starts) and starts[0]):
@@ -65,37 +115,51 @@ class UnitEncoder:
     def _opens_plain(unit: str) -> bool:
         return bool(unit) and not unit[0].isspace() and unit[0] not in "᠎​﻿"
 
-    def _lookup(self, memo: dict[str, bytes], units: set[str]) -> dict[str, bytes]:
-        """Ids of units not in the memo; long ones are returned but not remembered."""
+    def _lookup(self, memo: dict[str, bytes | bool], units: list[str]) -> list[bytes | bool]:
+        """Ids of each unit, False for one that can't stand alone; long ones are returned but not remembered."""
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-            memo.update({"": b""} if memo is self.first else {})
-        missing = [u for u in units if u not in memo]
-        got = dict(zip(missing, self._units(missing) if memo is self.rest else self._raw(missing), strict=True))
-        memo.update((u, b) for u, b in got.items() if len(u) <= MEMO_CHARS)
-        return {u: memo[u] if u in memo else got[u] for u in units}
+        out = list(map(memo.get, units))
+        places = [i for i, x in enumerate(out) if x is None]
+        plain = [i for i in places if memo is self.first or not self.keeps_space or self._opens_plain(units[i])]
+        missing = [units[i] for i in plain]
+        got: list[bytes | bool] = [False] * len(out)
+        for i, x in zip(plain, self._units(missing) if memo is self.rest else self._raw(missing), strict=True):
+            got[i] = x
+        for i in places:
+            out[i] = got[i]
+            if len(units[i]) <= MEMO_CHARS:
+                memo[units[i]] = got[i]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; an empty text has none."""
-        if not self.by_unit:
+        if not self.by_unit or not texts:
             return self._raw(texts)
-        split = [t.split(" ") for t in texts]
-        firsts = self._lookup(self.first, {s[0] for s in split})
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s[1:])
-        if self.keeps_space:
-            whole = {u for u in seen if not self._opens_plain(u)}
-            rest = self._lookup(self.rest, seen - whole)
-        else:
-            whole, rest = set(), self._lookup(self.rest, seen)
-        out: list[bytes | None] = []
-        for s in split:
-            try:
-                out.append(firsts[s[0]] + b"".join([rest[u] for u in s[1:]]))
-            except KeyError:
-                out.append(None)
-        again = [i for i, b in enumerate(out) if b is None]
+        whole = pa.array(texts, pa.large_string())
+        # where spaces are dropped, so are line ends
+        split = pc.split_pattern(whole if self.keeps_space else pc.replace_substring(whole, "\n", " "), " ")
+        bounds, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        units, place = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        # a text's first unit has no space before it, so it gets an entry of its own behind those of the other units
+        heads = np.unique(place[bounds[:-1]])
+        inner = np.ones(len(place), bool)
+        inner[bounds[:-1]] = False
+        used = np.unique(place[inner])
+        entry = np.zeros(len(units), np.int64)
+        entry[used] = np.arange(len(used))
+        at = entry[place]
+        at[bounds[:-1]] = len(used) + np.searchsorted(heads, place[bounds[:-1]])
+        table = self._lookup(self.rest, [units[i] for i in used.tolist()]) + self._lookup(self.first, [units[i] for i in heads.tolist()])
+        bad = np.array([x is False for x in table], bool)
+        table = [x or b"" for x in table]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        begins, n = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(table), "<u4")[np.repeat(begins[at] - (ends - n), n) + np.arange(int(ends[-1]))]
+        raw, cuts = ids.tobytes(), np.concatenate([[0], 4 * ends])[bounds].tolist()
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        again = np.flatnonzero(np.add.reduceat(bad[at], bounds[:-1])).tolist()
         for i, b in zip(again, self._raw([texts[i] for i in again]), strict=True):
             out[i] = b
         return out
