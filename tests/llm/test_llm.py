@@ -45,6 +45,8 @@ def test_codec_round_trip():
 def test_units_equal_whole_texts(name):
     e = UnitEncoder(public_tokenizers.path(name))
     texts = ["", " ", "  a", "a  b", "a   b ", "x\n y\n\n z", "don't it's", "\t\tq  r", "Á B", "a \x01 b", "日本 語 <|endoftext|> z", "tail ", text(4, 50), " \nfoo  \n bar"]
+    texts += ["x Hello, WORLD!! it's x'S ÉTÉ, straße; ÿ. ß e\u0301te\u0301, I\u0307 ZZ&&& a_b c\nD. E,\n'S", "x " + "q" * 5000 + ". x", "<|ENDOFTEXT|> a <|endoftext|>, b\u200b ×÷ x²,"]
+    assert e.by_stem
     assert e.encode(texts) == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
