@@ -39,14 +39,21 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.regexp_extract(rest, r"^(:\d+)?", 0), F.lit(")"), F.regexp_replace(rest, r"^:\d+", ""))
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = DEDUP_BYTES) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, refers_to (null for responses)."""
+def with_revisits(pages: DataFrame, least_bytes: int = DEDUP_BYTES, parts: int | None = None) -> DataFrame:
+    """page_id, url, html, payload_bytes, payload_digest, refers_to (null for responses), dealt by row into parts.
+
+    Groups of equal payloads are found on ids and digests alone; html is shuffled once, into the partitions written.
+    """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1("html"))
-    # a pair of the digest and length; short payloads get keys that match no group
-    p = p.withColumn("same", F.concat_ws(":", F.when(F.col("payload_bytes") < least_bytes, F.lit("-")), F.col("payload_bytes"), "payload_digest"))
-    groups = p.where(F.col("payload_bytes") >= least_bytes).groupBy("same").agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1")
-    return p.join(groups, "same", "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("last_id")), F.col("last_id")).alias("refers_to"))
+    p = p.withColumn("row_key", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "payload_bytes", "payload_digest"))
+    slim = staged(p.where(F.col("payload_bytes") >= least_bytes).select("row_key", "page_id", "payload_bytes", "payload_digest"), "payloads")
+    same = ["payload_bytes", "payload_digest"]
+    groups = slim.groupBy(*same).agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = slim.join(groups, same).where(~F.col("page_id").eqNullSafe(F.col("last_id"))).select("row_key", F.col("last_id").alias("refers_to")).distinct()
+    n = parts or shuffle_partitions(pages.sparkSession)
+    # the hashed side is the revisits of one partition of pages, without their payloads
+    return p.repartition(n, "row_key").join(revisits.repartition(n, "row_key").hint("shuffle_hash"), "row_key", "left").drop("row_key")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -65,7 +72,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("refers_to"))))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("body"), F.lit("\r\n\r\n"), F.col("body"), F.lit("\r\n\r"),
     )
-    with_revisits(pages).withColumn("body", body).repartition(1 + int(total) // ARCHIVE_BYTES, "page_id").select(record.alias("value")).write.option("lineSep", "\n").text(path)
+    with_revisits(pages, parts=1 + int(total) // ARCHIVE_BYTES).withColumn("body", body).select(record.alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, int]]:
