@@ -4,7 +4,8 @@ Base spans (assign, access, hex) are found by regular expressions over the whole
 which say nothing alone: identifiers named as such, long mixed tokens and endpoints. Every part is placed by its start;
 an interval join within a document's scopes (a range frame of SCOPE_CHARS to both sides, so no pairs are emitted) tells
 which kinds of parts lie near. A weak identifier needs a secret near it, a weak secret an identifier or an endpoint, an
-endpoint both an identifier and a secret. Candidates that a base span covers aren't added.
+endpoint both an identifier and a secret. Candidates that a base span covers aren't added. A candidate may follow '=' or
+'_' directly, as in env files (AWS_ACCOUNT_ID=...); only characters that could belong to it may not stand before it.
 
 Spark's functions give matches but not places: a text is split by the same pattern, and a match starts after the summed
 lengths of the pieces and matches before it. One shuffle, of parts alone; texts stay where they are read.
@@ -28,8 +29,8 @@ KINDS = (
     ("assign", ASSIGN, 6, 2, "secret"),
     ("access", r"AKIA[A-Z0-9]+", 20, 0, "id"),
     ("hex", r"[0-9a-f]{24,}", 24, 0, "secret"),
-    ("weak_id", r"(?i:\b(client|account|app|user)[_-]?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._-]+)", 6, 2, "id"),
-    ("weak_secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}", 32, 0, "secret"),
+    ("weak_id", r"(?<![A-Za-z0-9])(?i:(client|account|app|user)[_-]?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._-]+)", 6, 2, "id"),
+    ("weak_secret", r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}", 32, 0, "secret"),
     ("endpoint", r"\b(?:https?|wss?|s3|gs|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]+)?", 8, 0, "endpoint"),
 )
 N_BASE = 3
@@ -58,7 +59,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = flat.withColumn("end", end).withColumn("start", F.col("end") - F.col("n")).withColumn("kind", F.when(F.col("ok"), F.col("kind")))
     near = W.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
     has = lambda role: F.max(F.col("kind").isin([k for k, x in enumerate(KINDS) if x[4] == role])).over(near)
-    covered = F.max(F.when(F.col("kind") < N_BASE, F.col("end"))).over(W.partitionBy("_row").orderBy("start").rangeBetween(-scope, 0))
+    # a base span may be longer than a scope
+    covered = F.max(F.when(F.col("kind") < N_BASE, F.col("end"))).over(W.partitionBy("_row").orderBy("start").rangeBetween(W.unboundedPreceding, 0))
     p = placed.withColumn("_id_near", has("id")).withColumn("_secret_near", has("secret")).withColumn("_end_near", has("endpoint")).withColumn("_covered", covered)
     names = [x[0] for x in KINDS]
     linked = (

@@ -121,6 +121,61 @@ def test_secrets(spark):
     assert secrets.find_spans(df.limit(0)).count() == 0
 
 
+def linked_spans(text, scope):
+    """Brute force: (kind, start, end) of base spans and linked candidates, by scanning characters and comparing all pairs."""
+    mixed = lambda x: len(x) >= 32 and any(c.isdigit() for c in x) and any(c.isupper() for c in x) and any(c.islower() for c in x)
+    value = r"""["']?\x20*[:=]\x20*["']?"""
+    found = []
+    for kind, p, least, group in [
+        ("assign", r"(?i:password|passwd|secret|token|api_?key)" + value + r"([A-Za-z0-9+/_.=-]+)", 6, 1),
+        ("access", r"AKIA[A-Z0-9]+", 20, 0),
+        ("hex", r"[0-9a-f]+", 24, 0),
+        ("weak_id", r"(?i:(?<![a-z0-9])(?:client|account|app|user)[_-]?id)" + value + r"([A-Za-z0-9._-]+)", 6, 1),
+        ("endpoint", r"\b(?:https?|wss?|s3|gs|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]+)?", 8, 0),
+    ]:
+        found += [(m.start(), kind, m.end()) for m in re.finditer(p, text, re.A) if len(m.group(group)) >= least]
+    for m in re.finditer(r"([A-Za-z0-9+/]+)={0,2}", text):
+        found += [(m.start(), "weak_secret", m.end())] if mixed(m.group(1)) else []
+    roles = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "id", "weak_id": "id", "endpoint": "endpoint"}
+    out = []
+    for start, kind, end in found:
+        near = {roles[k] for s, k, _ in found if abs(s - start) <= scope}
+        told = {"weak_id": "secret" in near, "weak_secret": bool(near & {"id", "endpoint"}), "endpoint": {"id", "secret"} <= near}.get(kind, True)
+        if told and (kind in ("assign", "access", "hex") or not any(k in ("assign", "access", "hex") and s <= start < e for s, k, e in found)):
+            out.append((start, kind, end))
+    return sorted(out)
+
+
+def test_secret_links(spark):
+    key, access, token = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzKEY1", "AKIA" + "Q" * 16, "aB3" * 12
+    t = [
+        f"AWS_ACCESS_KEY_ID={access}\nAWS_SECRET_ACCESS_KEY={key}\n",
+        f"AWS_ACCOUNT_ID=123456789012\nSIGNING_KEY={key}",
+        f"export OAUTH_CLIENT_ID=web-client-77 OAUTH_KEY='{key}'",
+        f"DATABASE_URL=postgres://db.internal:5432/x\nUSER_ID=service-9\nDB_KEY={token}==",
+        f"pre_{token} https://a.example:8443/v1 app-id: abcdef1",
+        f"key = {key} at https://a.example",
+        f"AWS_SECRET_ACCESS_KEY={key}",
+        f"AWS_ACCOUNT_ID=123456789012{' ' * 380}K={token}",
+        f"AWS_ACCOUNT_ID=123456789012{' ' * 420}K={token}",
+        "myaccount_id=abcdefgh token=abcdefgh",
+        "token=" + "x." * 300 + f"{token}._{token} client_id=abcdefgh",
+        f"é CLIENT_ID=abcdefgh\n-{token}\n{'k' * 40}={token}={token} s3://bucket.a/b",
+        "x=" + "A" * 40 + " user_id=abcdefgh https://b.example",
+        "",
+    ]
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    names = [k[0] for k in secrets.KINDS]
+    got = {r["_id"]: [(s["start"], names[s["kind"]], s["end"]) for s in r["spans"]] for r in secrets.find_spans(df).collect()}
+    for i, x in enumerate(t):
+        assert sorted(got[i]) == linked_spans(x, secrets.SCOPE_CHARS), x
+    told = [[(k, t[i][a:b]) for a, k, b in got[i]] for i in range(len(t))]
+    assert told[0] == [("access", access), ("weak_secret", key)]
+    assert told[1] == [("weak_id", "ACCOUNT_ID=123456789012"), ("weak_secret", key)]
+    assert told[2] == [("weak_id", "CLIENT_ID=web-client-77"), ("weak_secret", key)]
+    assert [k for k, _ in told[3]] == ["endpoint", "weak_id", "weak_secret"] and not told[6] and not told[8]
+
+
 def test_packing(spark, docs):
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 101, 400).tolist()
