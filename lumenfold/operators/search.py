@@ -7,7 +7,7 @@ k rows each. Catalog columns join only the winners.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.vectors import DIGITS, clamp_threshold, literal, passes, score
 from lumenfold.schemas import PAGE_SIZE, RESULT_LIMIT
+from lumenfold.sources.files import work_path
 
 
-QUERY_BLOCK = 10_000
+QUERY_BLOCK, SCORES = 10_000, 4_000_000
 
 
 def best_first() -> list[Column]:
@@ -66,45 +67,91 @@ def top_k_by_group(rows: DataFrame, group: str, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame, path: str) -> list[DataFrame]:
+    """The query set as tables of about QUERY_BLOCK queries; a set of more is written under path, by hash of qid."""
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        return [queries]
+    blocks = -(-n // QUERY_BLOCK)
+    numbered = queries.select("qid", "q", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
+    numbered.write.partitionBy("block").parquet(path)
+    written = queries.sparkSession.read.schema(numbered.schema).parquet(path)
+    return [written.where(F.col("block") == b).select("qid", "q") for b in range(blocks)]
+
+
+def _block_by_block(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The best rows of all queries. Of several blocks, each one's are written before the next is searched."""
+    root = work_path(queries.sparkSession, "queries")
+    blocks = _blocks(queries, f"{root}/queries")
+    if len(blocks) == 1:
+        return search(blocks[0])
+    for b, some in enumerate(blocks):
+        found = search(some)
+        found.write.parquet(f"{root}/best/block={b}")
+    return queries.sparkSession.read.schema(found.schema).parquet(*[f"{root}/best/block={b}" for b in range(len(blocks))])
+
+
 def top_k_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, media_id, score, rank by SQL expressions. queries: qid, q; at most QUERY_BLOCK, which is checked, as they are
-    broadcast. Larger query sets go block by block."""
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
-    pairs = vectors.join(F.broadcast(queries), F.size("embedding") == F.size("q"))
-    s = pairs.select("qid", "media_id", "vector_offset", score(F.col("embedding"), F.col("q")).alias("score")).where(~F.isnan("score"))
-    return top_k_by_group(s, "qid", k).select("qid", "media_id", "score", "rank")
-
-
-def top_k_many_numpy(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, rows: int = 8192) -> DataFrame:
-    """The same rows by matrix products. Each batch keeps its best k per query, so only those are shuffled."""
-    if len(queries) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
+    """qid, media_id, score, rank by SQL expressions. queries: qid, q. A block of them is broadcast; larger query sets go
+    block by block."""
+
+    def search(some: DataFrame) -> DataFrame:
+        pairs = vectors.join(F.broadcast(some), F.size("embedding") == F.size("q"))
+        s = pairs.select("qid", "media_id", "vector_offset", score(F.col("embedding"), F.col("q")).alias("score")).where(~F.isnan("score"))
+        return top_k_by_group(s, "qid", k).select("qid", "media_id", "score", "rank")
+
+    return _block_by_block(queries, search)
+
+
+def _best(found: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
+    """The k best of each query, by query."""
+    order = np.lexsort((found["media_id"], found["vector_offset"], -found["score"], found["at"]))
+    at = found["at"][order]
+    order = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+    return {name: x[order] for name, x in found.items()}
+
+
+def _top_k_block(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, rows: int) -> DataFrame:
     by_dim: dict[int, list[tuple[int, list[float]]]] = {}
     for qid, q in queries:
         by_dim.setdefault(len(q), []).append((qid, q))
-    stacked = {d: (np.array([q[0] for q in some]), np.array([q[1] for q in some], np.float64)) for d, some in by_dim.items()}
+    stacked = {d: (np.array([q[0] for q in some], np.int64), np.array([q[1] for q in some], np.float64)) for d, some in by_dim.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, dict[str, np.ndarray]] = {}
         for batch in batches:
-            for at in range(0, len(batch), rows):
-                some = batch.iloc[at : at + rows]
-                dims = some["embedding"].map(lambda e: -1 if e is None else len(e)).to_numpy()
-                for dim, (ids, q) in stacked.items():
-                    part = some[dims == dim]
-                    if not len(part):
-                        continue
+            dims = batch["embedding"].map(lambda e: -1 if e is None else len(e)).to_numpy()
+            for dim, (ids, q) in stacked.items():
+                fit = batch[dims == dim]
+                step = max(1, min(rows, SCORES // len(ids)))
+                for i in range(0, len(fit), step):
+                    part = fit.iloc[i : i + step]
                     s = np.round(q @ np.stack(part["embedding"].to_list()).astype(np.float64).T, DIGITS)
-                    media, offset = part["media_id"].to_numpy(), part["vector_offset"].to_numpy()
-                    for i, qid in enumerate(ids):
-                        order = np.lexsort((media, offset, -s[i]))
-                        order = order[~np.isnan(s[i][order])][:k]
-                        yield pd.DataFrame({"qid": qid, "media_id": media[order], "vector_offset": offset[order], "score": s[i][order]})
+                    real = ~np.isnan(s)
+                    if 0 < k < s.shape[1]:  # ties with the k-th stay
+                        real &= s >= -np.partition(np.where(real, -s, np.inf), k - 1, axis=1)[:, k - 1 : k]
+                    at, x = np.nonzero(real)
+                    found = {"at": at, "media_id": part["media_id"].to_numpy()[x], "vector_offset": part["vector_offset"].to_numpy()[x], "score": s[at, x]}
+                    best[dim] = _best({n: np.concatenate([best[dim][n], v]) for n, v in found.items()} if dim in best else found, k)
+        for dim, found in best.items():
+            for i in range(0, len(found["at"]), 100_000):
+                some = {n: v[i : i + 100_000] for n, v in found.items()}
+                yield pd.DataFrame({"qid": stacked[dim][0][some.pop("at")], **some})
 
     found = vectors.select("media_id", "vector_offset", "embedding").mapInPandas(run, "qid long, media_id long, vector_offset long, score double")
     return top_k_by_group(found, "qid", k).select("qid", "media_id", "score", "rank")
 
 
+def top_k_many_numpy(vectors: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int, rows: int = 8192) -> DataFrame:
+    """The same rows by matrix products. queries: a table of qid, q, or a list of such pairs. Each task keeps its best k per
+    query, so only those are shuffled; the driver and a task hold one block of queries, and SCORES scores."""
+    if isinstance(queries, list):
+        if len(queries) <= QUERY_BLOCK:
+            return _top_k_block(vectors, queries, k, rows)
+        queries = vectors.sparkSession.createDataFrame(queries, "qid long, q array<double>")
+    return _block_by_block(queries, lambda some: _top_k_block(vectors, [(r[0], list(r[1])) for r in some.select("qid", "q").collect() if r[1] is not None], k, rows))
+
+
 def page(results: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
     return results.orderBy(*best_first()).offset(number * size).limit(size)
 

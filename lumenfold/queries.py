@@ -96,16 +96,18 @@ def vector_topk_nothreshold(spark, d):
 _MULTI = "SELECT qid, media_id, score, rank FROM (SELECT q.vec_id AS qid, e.vec_id AS media_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 10"
 
 
+def _queries(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
 @register(_MULTI)
 def vector_topk_multi(spark, d):
-    q = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return search.top_k_many(stored(spark, d), q, 10)
+    return search.top_k_many(stored(spark, d), _queries(spark, d), 10)
 
 
 @register(_MULTI)
 def vector_topk_batch_numpy(spark, d):
-    q = [(r[0], list(r[1])) for r in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id", "embedding").collect()]
-    return search.top_k_many_numpy(stored(spark, d), q, 10)
+    return search.top_k_many_numpy(stored(spark, d), _queries(spark, d), 10)
 
 
 @register(f"WITH {_SCORES} SELECT media_id, score FROM sc {_ORDER} LIMIT 25")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,5 +77,11 @@ def file_length(spark: SparkSession, path: str) -> int:
     return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which all executors share; one of our own is made only where none is set (tests)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lumenfold-")
+    return f"{root.rstrip('/')}/lumenfold/{name}-{uuid.uuid4().hex}"
+
+
 def write_csv_log(log: DataFrame, path: str, mode: str = "append") -> None:
     log.write.mode(mode).option("header", True).option("nullValue", "").csv(path)

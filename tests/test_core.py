@@ -58,6 +58,21 @@ def test_top_k(spark):
     assert "TakeOrderedAndProject" in search.top_k(df, [1.0, 0, 0, 0], 3)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_top_k_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(search, "SCORES", 60, raising=False)
+    v = [(i, (i * 37 % 90) * 16, [float(i * m % 5 - 2) for m in (1, 3, 7, 11)][: 3 if i % 10 == 9 else 4]) for i in range(90)] + [(900, 0, None), (901, 8, [math.nan] * 4)]
+    q = [(100 + i, [float(i * m % 7 - 3) for m in (2, 3, 5, 9)][: 3 if i % 4 == 3 else 4]) for i in range(23)]
+    df, queries = spark.createDataFrame(v, "media_id long, vector_offset long, embedding array<float>"), spark.createDataFrame(q, "qid long, q array<float>")
+    want = []
+    for qid, x in q:
+        scores = sorted((-sum(a * b for a, b in zip(x, e, strict=True)), o, i) for i, o, e in v if e is not None and i < 900 and len(e) == len(x))
+        want += [(qid, i, -s, rank + 1) for rank, (s, _, i) in enumerate(scores[:4])]
+    for got in (search.top_k_many(df, queries, 4), search.top_k_many_numpy(df, queries, 4), search.top_k_many_numpy(df, q, 4)):
+        assert sorted((r["qid"], r["rank"]) for r in got.collect()) == sorted((a, d) for a, _, _, d in want)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_integrity(spark):
     data = [(1, 0, 4, "indexed"), (2, 16, 4, "indexed"), (3, 16, 4, "indexed"), (4, 48, 8, "indexed"), (5, 2, 4, "indexed"), (6, -1, 0, "indexed"), (7, -1, 0, "pending")]
     df = spark.createDataFrame(data, "media_id long, vector_offset long, vector_dim int, status string")
