@@ -3,11 +3,14 @@
 Each stage reads what the one before it wrote. All but the last return the columns of documents: the first drops
 documents it rejects, the second drops common lines, the third keeps one document of each near-duplicate group, the
 fourth repeats or drops documents as the mix takes them. The last gives the packed pieces.
+
+Rows are told apart by doc_id and a hash of their text, so of rows that repeat a doc_id each is judged by its own text.
+Rows with equal doc_id and text (null ones, too) become a single row in the third stage, whatever their other columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import staged
@@ -20,9 +23,13 @@ from lumenfold.llm.quality import resample
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _same_rows(docs: DataFrame, told: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(told["_id"]) & (F.xxhash64(docs["text"]) == told["_same"])
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select("_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
+    kept = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select("_id", "_same").distinct()
+    return docs.join(kept, _same_rows(docs, kept), "left_semi").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +37,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = staged(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept-documents")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
+    told = near_duplicates(docs).groupBy(F.col("doc_id").alias("_id"), "_same").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("_n"))
+    kept = staged(told.where("kept").select("_id", "_same", "_n"), "kept-documents")
+    once, more = kept.where("_n = 1"), kept.where("_n > 1")
+    single = docs.join(once, _same_rows(docs, once), "left_semi").select(*COLUMNS)
+    # equal rows may differ in other columns: the least stays
+    equal = docs.join(more, _same_rows(docs, more)).groupBy("_id", "_same").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("_d"))
+    return single.union(equal.select(*[F.col(f"_d.{c}").alias(c) for c in COLUMNS]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    times = mix(docs).where("taken > 0").select("_id", "_same", F.expr("cast(taken div size as int)").alias("_times")).distinct()
-    found = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]) & (F.xxhash64(docs["text"]) == times["_same"]))
+    times = mix(docs).where("taken > 0").select("_id", "_same", "_none", "_src", F.expr("cast(taken div size as int)").alias("_times")).distinct()
+    source = docs["source"].cast("string")
+    found = docs.join(times, _same_rows(docs, times) & (source.isNull() == times["_none"]) & (F.coalesce(source, F.lit("")) == times["_src"]))
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
 
 

@@ -66,7 +66,7 @@ def _thresholds(slim: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """_id, _same, size, source_size, target, taken: a row for each row of docs."""
+    """_id, _same, _none, _src, size, source_size, target, taken: a row for each row of docs."""
     source = F.col(source_col).cast("string")
     slim = staged(
         docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_same"), source.isNull().alias("_none"), F.coalesce(source, F.lit("")).alias("_src"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_hash")),
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = staged(t.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "mix-plan")
     plan = staged(_thresholds(slim.where("size > 0"), plan), "mix-thresholds")
     more = F.coalesce(F.when(F.col("_takes"), F.col("_hash") <= F.col("_bar")).otherwise(F.col("_hash") < F.col("_bar")), F.lit(False))
-    return slim.join(plan, ["_none", "_src"]).select("_id", "_same", "size", "source_size", "target", (F.col("size") * (F.col("passes") + more.cast("long"))).alias("taken"))
+    return slim.join(plan, ["_none", "_src"]).select("_id", "_same", "_none", "_src", "size", "source_size", "target", (F.col("size") * (F.col("passes") + more.cast("long"))).alias("taken"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def _incidence(k: int, num: int, den: int, hot, whole: bool):
             return s
         return _agreements(s, num, den) if num >= BLOCKS_FROM * den else _ordered(s, *hot.value)[: len(s) - -(-num * len(s) // den) + 1]
 
-    names = [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
+    names = [("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
     schema = pa.schema([*names, ("grams", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,19 +145,19 @@ def _incidence(k: int, num: int, den: int, hot, whole: bool):
                     grams.append(listed(s).view(np.int64))
                 flat = pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64))
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(sketch, schema.field("sketch").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(sketch, schema.field("sketch").type)], schema=schema)
 
     return run
 
 
-_ROWS = "doc_id long, n long, s1 long, s2 long, grams array<long>, sketch array<long>"
+_ROWS = "doc_id long, same long, n long, s1 long, s2 long, grams array<long>, sketch array<long>"
 
 
 class NgramJoin:
     """One join of docs with itself at Jaccard >= num / den over k-word n-grams."""
 
     def __init__(self, docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text"):
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same"))
         self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
         self.hot, self.blocks = None, num >= BLOCKS_FROM * den
         if not self.blocks:
@@ -209,7 +209,7 @@ class NgramJoin:
         return pairs.where(self._meets()).select("a", "b")
 
     def members(self) -> DataFrame:
-        """A written table of row, doc_id, n, label: label is the least row of its component, null for empty sets."""
+        """A written table of row, doc_id, same, n, label: label is the least row of its component, null for empty sets."""
         full = self.rows.where("n > 0")
         same = ["n", "s1", "s2"]
         reps = staged(full.groupBy(*same).agg(F.min("row").alias("rep")), "equal-sets")
@@ -267,16 +267,16 @@ class NgramJoin:
         links = links.union(self._linked(self._overlaps(staged(rest, "rest-new"), "overlaps-rest")))
         labels = components(links)
         groups = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("label"))
-        linked = full.select("row", "doc_id", *same).join(groups, same).select("row", "doc_id", "n", "label")
-        return staged(linked.union(self.rows.where("n = 0").select("row", "doc_id", "n", F.lit(None).cast("long").alias("label"))), "members")
+        linked = full.select("row", "doc_id", "same", *same).join(groups, same).select("row", "doc_id", "same", "n", "label")
+        return staged(linked.union(self.rows.where("n = 0").select("row", "doc_id", "same", "n", F.lit(None).cast("long").alias("label"))), "members")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (one row of each component) for each row of docs."""
+    """doc_id, n_shingles, component_id, kept (one row of each component), _same (hash of the text) for each row of docs."""
     m = NgramJoin(docs, k, num, den, id_col, text_col).members()
     best = m.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    joined = m.where("label is not null").join(best, "label").select("doc_id", "n", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
-    out = joined.union(m.where("label is null").select("doc_id", "n", F.col("doc_id"), F.lit(True)))
+    joined = m.where("label is not null").join(best, "label").select("doc_id", "n", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), F.col("same").alias("_same"))
+    out = joined.union(m.where("label is null").select("doc_id", "n", F.col("doc_id"), F.lit(True), "same"))
     return out.withColumnRenamed("n", "n_shingles")
 
 

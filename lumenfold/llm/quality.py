@@ -84,7 +84,7 @@ def _counts(good: np.ndarray):
 
 
 def _weigh(ratio: np.ndarray):
-    schema = pa.schema([("_id", pa.int64()), ("n_features", pa.int64()), ("log_weight", pa.float64())])
+    schema = pa.schema([("_id", pa.int64()), ("_same", pa.int64()), ("n_features", pa.int64()), ("log_weight", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +93,7 @@ def _weigh(ratio: np.ndarray):
                 found, n = features(some.column(1).to_pylist())
                 run_sum = np.concatenate([[0.0], np.cumsum(ratio[found])])
                 ends = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n), pa.array((run_sum[ends] - run_sum[ends - n]) / (n + SHRINK))], schema=schema)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(n), pa.array((run_sum[ends] - run_sum[ends - n]) / (n + SHRINK))], schema=schema)
 
     return run
 
@@ -129,18 +129,18 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024, few: int =
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[DataFrame, float]:
-    """A written table of _id, n_features, log_weight for each row of docs, and the fitted cut."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    """A written table of _id, _same (hash of the text), n_features, log_weight for each row of docs, and the fitted cut."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_same"))
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     good = np.array(sorted(r["doc_id"] for r in known if r["quality"] == 1 and r["toxic"] == 0), np.int64)
-    counts = rows.mapInArrow(_counts(good), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    counts = rows.select("_id", "_text").mapInArrow(_counts(good), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for b, r, t in counts:
         raw[b] += r
         target[b] += t
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > BUCKETS else np.zeros(BUCKETS)
-    scored = staged(rows.mapInArrow(_weigh(ratio), "_id long, n_features long, log_weight double"), "weights")
+    scored = staged(rows.mapInArrow(_weigh(ratio), "_id long, _same long, n_features long, log_weight double"), "weights")
     marks = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"] == 1) for r in known], "_id long, good boolean")
     pairs = scored.where("n_features > 0").join(marks, "_id").dropDuplicates(["_id"]).select("log_weight", "good").limit(sample).collect()
     cut = fit_cut(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], bool)) if pairs else -np.inf
@@ -148,7 +148,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """_id, n_features, log_weight, key, kept: a row for each row of docs."""
+    """_id, _same, n_features, log_weight, key, kept: a row for each row of docs."""
     scored, cut = score(docs, labels, id_col, text_col, sample)
     u = (F.pmod(F.xxhash64(F.lit(8), F.col("_id")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     keyed = scored.withColumn("key", F.lit(SHARPNESS) * F.col("log_weight") - F.log(-F.log(u)))
@@ -160,4 +160,4 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_features, log_weight, key, kept."""
-    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).withColumnRenamed("_id", "doc_id")
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select(F.col("_id").alias("doc_id"), "n_features", "log_weight", "key", "kept")

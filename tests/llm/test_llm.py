@@ -287,3 +287,28 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs_in, folder)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
     assert packed.where("piece = 0").count() == docs_in.count()
+
+
+def test_pipeline_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, bad = text(1, 80), text(2, 80), text(3, 80).upper().replace(" ", "!! ")
+    row = lambda i, t, lang="en", source="s0": (i, t, lang, source, len(t or ""))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    told = lambda df: sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["text"] or "", r["text"] is None) for r in df.collect())
+    key = lambda i, t: ((i is not None, i or 0), t or "", t is None)
+    # 1: equal rows; 2: a copy of 1 and a text of its own; 3, null: blank, repeated, null id
+    docs = [row(1, a, "en"), row(1, a, "de"), row(1, a, "en"), row(2, a), row(2, b), row(2, b), row(3, None), row(3, None), row(3, ""), row(None, text(4, 80)), row(None, text(4, 80)), row(None, text(5, 80))]
+    out = corpus_pipeline.dedup_documents(spark, frame(docs), "")
+    want = [key(1, a), key(2, b), key(3, None), key(3, ""), key(None, text(4, 80)), key(None, text(5, 80))]
+    assert told(out) == sorted(want) and {r["lang"] for r in out.where("doc_id = 1").collect()} == {"de"} and out.columns == corpus_pipeline.COLUMNS
+
+    rows = [row(i, text(10 + i, 60)) for i in range(60)] + [row(i, text(10 + i, 60).upper().replace(" ", "!! ")) for i in range(60, 100)]
+    rows += [row(5, bad), row(300, a), row(300, bad), row(300, a), row(None, bad), row(None, b)]
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(10, 100)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = told(corpus_pipeline.classify(spark, frame(rows), str(tmp_path)))
+    assert not [k for k in kept if k[1] == bad] and kept.count(key(300, a)) == 2 and key(None, b) in kept and key(5, text(15, 60)) in kept
+
+    rows = [row(1, a, source="x"), row(1, a, source="y"), row(2, b, source="y"), row(3, a + b, source=None)]
+    taken = [r["taken"] // r["size"] for r in mixing.mix(frame(rows)).where("size > 0").collect()]
+    assert corpus_pipeline.mix_sources(spark, frame(rows), "").count() == sum(taken)
