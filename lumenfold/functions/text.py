@@ -1,4 +1,4 @@
-"""Text tokenisation for the text encoder: pre-tokeniser in SQL, BPE in an Arrow UDF with a per-worker memo."""
+"""Text tokenisation for the text encoder: pre-tokeniser in SQL, BPE in an Arrow UDF with a bounded per-worker memo."""
 
 from __future__ import annotations
 
@@ -15,6 +15,9 @@ def pretokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(PIECES), F.lit(0))
 
 
+MEMO, MEMO_CHARS = 100_000, 32
+
+
 def byte_alphabet() -> list[str]:
     """A printable character for each byte: printable Latin-1 stands for itself, the others follow from U+0100."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -33,7 +36,8 @@ class Bpe:
 
     def piece(self, piece: str) -> list[int]:
         """Ids of one piece: every occurrence of the best-ranked pair is merged until none is left; unknown parts drop."""
-        if piece not in self.memo:
+        ids = self.memo.get(piece)
+        if ids is None:
             word = [self.alphabet[b] for b in piece.encode("utf-8")]
             if word:
                 word[-1] += "</w>"
@@ -47,12 +51,18 @@ class Bpe:
                     out.append(word[i] + word[i + 1] if both else word[i])
                     i += 1 + both
                 word = out
-            self.memo[piece] = [self.vocab[w] for w in word if w in self.vocab]
-        return self.memo[piece]
+            ids = [self.vocab[w] for w in word if w in self.vocab]
+            if len(piece) <= MEMO_CHARS:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[piece] = ids
+        return ids
 
     def encode(self, pieces: list[str]) -> list[int]:
         ids = [] if self.bos is None else [self.bos]
         for p in pieces:
+            if len(ids) >= self.max_length:  # the ids of further pieces would be cut off
+                break
             ids += self.piece(p)
         ids = ids[: self.max_length - (self.eos is not None)] + ([] if self.eos is None else [self.eos])
         return ids + [self.pad] * (self.max_length - len(ids))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import imaging, scalars, text, vectors
 from lumenfold.operators import cache, catalog, integrity, models, search, telemetry
-from lumenfold.sources import scan
+from lumenfold.sources import files, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -384,6 +384,18 @@ def bpe_encode(spark, d):
     return spark.createDataFrame([(1, "Low lower!"), (2, "")], "id int, t string").select("id", text.bpe_encode(F.col("t"), TOY).alias("ids"))
 
 
+@register()
+def bpe_encode_texts(spark, d):
+    """table, id, turn, ids: all texts of benchmark, conversations and documents, by the vocabulary of 49,408 entries."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        bpe = files.bpe_from_json(f.read())
+    _tables(spark, d, "benchmark", "conversations", "documents")
+    texts = spark.sql("SELECT 'benchmark' AS table, item_id AS id, CAST(NULL AS INT) AS turn, text FROM benchmark UNION ALL SELECT 'conversations', conv_id, CAST(turn AS INT), text FROM conversations UNION ALL SELECT 'documents', doc_id, NULL, text FROM documents")
+    return texts.select("table", "id", "turn", text.bpe_encode(F.col("text"), bpe).alias("ids"))
+
+
 _PIXELS = ([-65536, 128], [0.0, 0.0, 0.0], [1.0, 1.0, 1.0])
 
 

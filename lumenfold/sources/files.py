@@ -43,9 +43,15 @@ def bpe_from_files(spark: SparkSession, vocab: str, merges: str, **options) -> B
 
 
 def bpe_from_tokenizer_json(spark: SparkSession, path: str, **options) -> Bpe:
-    model = json.loads(spark.read.text(path, wholetext=True).first()[0])["model"]
+    return bpe_from_json(spark.read.text(path, wholetext=True).first()[0], **options)
+
+
+def bpe_from_json(content: str, **options) -> Bpe:
+    """Added tokens (the special strings) belong to the vocabulary, too."""
+    parsed = json.loads(content)
+    model, added = parsed["model"], {t["content"]: t["id"] for t in parsed.get("added_tokens") or []}
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    return Bpe(model["vocab"], {(a, b): rank for rank, (a, b) in enumerate(pairs)}, **options)
+    return Bpe(added | model["vocab"], {(a, b): rank for rank, (a, b) in enumerate(pairs)}, **options)
 
 
 def vocab_and_merges_from_bpe_lines(lines: list[str], keep: int = 49152 - 256 - 2) -> tuple[dict[str, int], list[str]]:

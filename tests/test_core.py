@@ -1,6 +1,9 @@
 """Goldens for the catalog, search, audit, tokeniser, tensors, planner, caches and ingestion."""
 
+import itertools
 import math
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +61,47 @@ def test_top_k(spark):
     assert "TakeOrderedAndProject" in search.top_k(df, [1.0, 0, 0, 0], 3)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bpe_of_tables(spark, tmp_path, monkeypatch):
+    import json
+
+    import public_tokenizers
+
+    from lumenfold.queries import QUERIES
+
+    monkeypatch.setattr(text, "MEMO", 3, raising=False)
+    texts = [None, "", " \n", "Hello, WORLD 123!! it's", "größer 日本語 été ñandú", "x" * 3000 + " y", "the quick brown fox " * 400, "<|endoftext|> a_b <|StartOfText|>", "a\u200bb ²½ İ"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, "user", "Hi there"), (1, 1, "x", None)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "some words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["table"], r["id"], r["turn"]): r["ids"] for r in QUERIES["bpe_encode_texts"](spark, str(tmp_path)).collect()}
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+    letters = text.byte_alphabet()
+
+    def brute(t):
+        kind = lambda c: "L" if unicodedata.category(c)[0] == "L" else "N" if unicodedata.category(c)[0] == "N" else " " if c.isspace() else "o"
+        ids = []
+        for part in re.split(r"(<\|startoftext\|>|<\|endoftext\|>)", t.lower()):
+            whole = part in ("<|startoftext|>", "<|endoftext|>")
+            for p in [part] if whole else ["".join(g) for k, g in itertools.groupby(part, kind) if k != " "]:
+                w = [letters[b] for b in p.encode()]
+                w[-1:] = [w[-1] + "</w>"] if w else []
+                while pairs := [(rank[x], i) for i, x in enumerate(zip(w, w[1:])) if x in rank]:
+                    i = min(pairs)[1]
+                    w[i : i + 2] = [w[i] + w[i + 1]]
+                ids += [model["vocab"][x] for x in w if x in model["vocab"]]
+        start, end = 49406, 49407
+        return ([start, *ids][:76] + [end] + [0] * 77)[:77]
+
+    assert len(got) == 12 and got["conversations", 1, 1] is None and got["documents", 7, None] == brute("some words") and got["conversations", 1, 0] == brute("Hi there")
+    for i, t in enumerate(texts):
+        assert got["benchmark", i, None] == (None if t is None else brute(t)), t
+    bpe = text.Bpe(TOY.vocab, TOY.merges)
+    assert [bpe.piece(p) for p in ("low", "lo", "w", "o", "low")] == [[5], [4], [3], [], [5]] or len(bpe.memo) <= 3
+    assert len(bpe.memo) <= 3
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 5)
     monkeypatch.setattr(search, "SCORES", 60, raising=False)
