@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.schemas import INDEXED
+from lumenfold.sources.files import work_path
 
 _BYTES, _MAX_INT = 4, 2**31 - 1
 
@@ -41,6 +42,18 @@ def skipped(catalog: DataFrame, file_length: int) -> DataFrame:
 
 
 def assign_offsets(batch: DataFrame, base: int, dim: int, order: str = "media_id") -> DataFrame:
-    """Offsets of a new batch in order; the window is over the batch alone."""
-    place = F.row_number().over(W.orderBy(order)) - 1
-    return batch.withColumn("vector_offset", F.lit(base) + place.cast("long") * dim * _BYTES).withColumn("vector_dim", F.lit(dim))
+    """Offsets of a new batch in order. Rows are written by ranges of the order and numbered within each range, after the
+    rows of the ranges before it; the driver holds one count per range."""
+    spark = batch.sparkSession
+    ranged = batch.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_range", F.spark_partition_id())
+    path = work_path(spark, "offsets")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    before, starts = 0, [(-1, 0)]
+    for k, n in sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect()):
+        starts.append((k, before))
+        before += n
+    told = F.broadcast(spark.createDataFrame(starts, "_range int, _before long"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1
+    placed = ranged.join(told, "_range").withColumn("vector_offset", F.lit(base) + place.cast("long") * dim * _BYTES)
+    return placed.drop("_range", "_before").withColumn("vector_dim", F.lit(dim))

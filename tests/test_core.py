@@ -126,6 +126,14 @@ def test_integrity(spark):
     assert integrity.audit(df.limit(0), 64).first()["is_corrupt"] is False
 
 
+def test_offsets_by_ranges(spark):
+    ids = [i * 7919 % 1009 for i in range(500)] + [5, 5, 5]
+    out = integrity.assign_offsets(spark.createDataFrame([(i,) for i in ids], "media_id long"), 1024, 64)
+    assert sorted((r["vector_offset"], r["media_id"]) for r in out.collect()) == [(1024 + k * 256, i) for k, i in enumerate(sorted(ids))]
+    assert out.columns == ["media_id", "vector_offset", "vector_dim"] and "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    assert integrity.assign_offsets(spark.createDataFrame([], "media_id long"), 0, 64).count() == 0
+
+
 def test_vectors_and_scalars(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     assert [list(r[0]) for r in df.select(vectors.l2_normalize(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
