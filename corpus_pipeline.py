@@ -65,7 +65,8 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Hashing, tokenising and packing have no SQL; tests/llm compares the stages with brute-force versions.
+#: Hashing, tokenising and packing have no SQL; tests/llm compares the operators with brute-force
+#: versions, and three stages on repeated rows with the rows they must keep.
 ORACLE_SQL = None
 
 
