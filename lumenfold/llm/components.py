@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import staged
+from lumenfold.llm.common import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,10 +28,13 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
     told = None
     while True:
-        now = staged(_star(_star(now, True), False), "stars")
+        was, now = now, staged(_star(_star(now, True), False), "stars")
+        discard(was)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == told:
             break
         told = state
     # now every edge points at the least node of its component
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out.staged_at = now.staged_at  # discard() takes it
+    return out

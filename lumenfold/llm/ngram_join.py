@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import documents, staged
+from lumenfold.llm.common import MEMO_ENTRIES, discard, documents, memo, staged
 from lumenfold.llm.components import components
 
 HOT, BROADCAST_ROWS, SKETCH_BITS, BLOCKS_FROM = 1 << 17, 1_000_000, 1024, 0.85
+#: Bits of the sketch that has room for a set of any size: twice its size, up to the next power of two.
+LEAST_BITS, MOST_BITS = 256, 1 << 20
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,7 +46,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) >= MEMO_ENTRIES:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 32:
@@ -52,9 +54,6 @@ class _WordHashes(dict):
         return h
 
 
-_WORDS = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * _M1
     x = (x ^ (x >> np.uint64(33))) * _M2
@@ -66,7 +65,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(memo("ngrams", "words", _WordHashes).__getitem__, words), np.uint64, len(words))
     n = max(len(h) - k + 1, 1)
     out = np.full(n, np.uint64(min(len(h), k)), np.uint64)
     for i in range(min(len(h), k)):
@@ -117,6 +116,22 @@ def _agreements(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bit i tells whether the set has an odd number of n-grams whose lowest bits are i."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _folded(w: Column) -> Column:
+    """A sketch of half the length: bits that are equal but for the highest one meet."""
+    half = (F.size(w) / 2).cast("int")
+    return F.zip_with(F.slice(w, F.lit(1), half), F.slice(w, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+
+def _room(n: int) -> int:
+    return min(max(LEAST_BITS, 1 << max(2 * n - 1, 1).bit_length()), MOST_BITS)
+
+
 def _incidence(k: int, num: int, den: int, hot, whole: bool):
     def listed(s: np.ndarray) -> np.ndarray:
         if whole or not len(s):
@@ -124,7 +139,7 @@ def _incidence(k: int, num: int, den: int, hot, whole: bool):
         return _agreements(s, num, den) if num >= BLOCKS_FROM * den else _ordered(s, *hot.value)[: len(s) - -(-num * len(s) // den) + 1]
 
     names = [("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
-    schema = pa.schema([*names, ("grams", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([*names, ("grams", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -132,7 +147,7 @@ def _incidence(k: int, num: int, den: int, hot, whole: bool):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
-                n, s1, s2, grams, sketch = [], [], [], [], []
+                n, s1, s2, grams, sketch, wide = [], [], [], [], [], []
                 for text in some.column(1).to_pylist():
                     s = shingles(text, k)
                     raw = s.tobytes()
@@ -140,17 +155,17 @@ def _incidence(k: int, num: int, den: int, hot, whole: bool):
                     n.append(len(s))
                     s1.append((d >> 64) - (1 << 63))
                     s2.append((d & (2**64 - 1)) - (1 << 63))
-                    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                    sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+                    sketch.append([] if whole else _parity(s, SKETCH_BITS).tolist())
+                    wide.append([] if whole else _parity(s, _room(len(s))).tolist())
                     grams.append(listed(s).view(np.int64))
                 flat = pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64))
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(sketch, schema.field("sketch").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(sketch, schema.field("sketch").type), pa.array(wide, schema.field("wide").type)], schema=schema)
 
     return run
 
 
-_ROWS = "doc_id long, same long, n long, s1 long, s2 long, grams array<long>, sketch array<long>"
+_ROWS = "doc_id long, same long, n long, s1 long, s2 long, grams array<long>, sketch array<long>, wide array<long>"
 
 
 class NgramJoin:
@@ -179,19 +194,25 @@ class NgramJoin:
         ids = wanted.select("doc_id").distinct()
         few = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
         again = self.docs.join(few, self.docs["doc_id"].eqNullSafe(few["doc_id"]), "left_semi").mapInArrow(_incidence(self.k, self.num, self.den, self.hot, True), _ROWS)
-        return staged(again.select("s1", "s2", "grams").join(wanted.select("row", "s1", "s2"), ["s1", "s2"]).select("row", "grams"), "sets")
+        out = staged(again.select("s1", "s2", "grams").join(wanted.select("row", "s1", "s2"), ["s1", "s2"]).select("row", "grams"), "sets")
+        discard(wanted)
+        return out
 
     def _overlaps(self, pairs: DataFrame, name: str) -> DataFrame:
         """pairs: a, b, na, nb. Adds inter, the number of common n-grams, and bounds of the distance, lo and hi.
 
         inter is null where the sets differ in too much to link: an n-gram in one set alone flips one bit of the parity
-        sketches, so their Hamming distance never exceeds the number of such n-grams.
+        sketches, so their Hamming distance never exceeds the number of such n-grams. Sketches have two bits or more for
+        each n-gram of a set; the longer of two is folded until both are of one length, which changes nothing in that.
         """
-        sk = self.rows.select("row", "sketch")
-        x, y = sk.select(F.col("row").alias("a"), F.col("sketch").alias("ka")), sk.select(F.col("row").alias("b"), F.col("sketch").alias("kb"))
-        flips = F.aggregate(F.zip_with("ka", "kb", lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long")), F.lit(0).cast("long"), lambda t, u: t + u)
+        sk = self.rows.select("row", "wide")
+        x, y = sk.select(F.col("row").alias("a"), F.col("wide").alias("wa")), sk.select(F.col("row").alias("b"), F.col("wide").alias("wb"))
+        met = pairs.join(x, "a").join(y, "b")
+        for _ in range(math.ceil(math.log2(self.den / self.num))):
+            met = met.withColumns({c: F.when(F.size(c) > F.size(other), _folded(F.col(c))).otherwise(F.col(c)) for c, other in (("wa", "wb"), ("wb", "wa"))})
+        flips = F.aggregate(F.zip_with("wa", "wb", lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long")), F.lit(0).cast("long"), lambda t, u: t + u)
         total = F.col("na") + F.col("nb")
-        seen = staged(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", flips.alias("flips")), f"{name}-sketches")
+        seen = staged(met.select("a", "b", "na", "nb", flips.alias("flips")), f"{name}-sketches")
         able = F.col("flips") * (self.den + self.num) <= total * (self.den - self.num)
         near = seen.where(able).drop("flips")
         sets = self._sets(near.select(F.col("a").alias("row")).union(near.select("b")).distinct())
@@ -200,7 +221,9 @@ class NgramJoin:
         dist = 1 - F.col("inter") / (total - F.col("inter"))
         got = got.withColumn("lo", dist).withColumn("hi", dist)
         far = seen.where(~able).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("inter"), (2 * F.col("flips") / (total + F.col("flips"))).alias("lo"), F.lit(1.0).alias("hi"))
-        return staged(got.union(far), name)
+        out = staged(got.union(far), name)
+        discard(seen, sets)
+        return out
 
     def _meets(self) -> Column:
         return F.col("inter") * self.den >= (F.col("na") + F.col("nb") - F.col("inter")) * self.num
@@ -231,7 +254,8 @@ class NgramJoin:
             near = live.join(pivots.select(*group, F.col("p.row").alias("pivot"), F.col("p.n").alias("pn")), group)
             near = staged(near, f"near-{r}")
             asked = near.where((F.col("row") != F.col("pivot")) & self._fits(F.col("n"), F.col("pn"))).select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b"), F.when(F.col("row") < F.col("pivot"), F.col("n")).otherwise(F.col("pn")).alias("na"), F.when(F.col("row") < F.col("pivot"), F.col("pn")).otherwise(F.col("n")).alias("nb")).distinct()
-            counted = self._overlaps(staged(asked, "candidates"), f"overlaps-{r}")
+            candidates = staged(asked, "candidates")
+            counted = self._overlaps(candidates, f"overlaps-{r}")
             found = self._linked(counted)
             links = found if links is None else links.union(found)
             seen.append(counted)
@@ -241,18 +265,23 @@ class NgramJoin:
             is_pivot = F.col("row") == F.col("pivot")
             sizes = 1 - F.least("n", "pn") / F.greatest("n", "pn")
             lo, hi = F.when(is_pivot, F.lit(0.0)).otherwise(F.coalesce("dlo", sizes)), F.when(is_pivot, F.lit(0.0)).otherwise(F.coalesce("dhi", F.lit(1.0)))
-            live = joined.select(*group, "row", "n", *[f"{x}{i}" for i in range(r) for x in ("lo", "hi")], lo.alias(f"lo{r}"), hi.alias(f"hi{r}"), (is_pivot | F.coalesce("linked", F.lit(False))).alias("settled"))
-            # a column whose rows all link to its pivot has nothing left to compare
-            open_ = live.groupBy(*group).agg(F.bool_and("settled").alias("done")).where("not done").select(*group)
+            was = live
+            live = joined.select(*group, "row", "n", *[f"{x}{i}" for i in range(r) for x in ("lo", "hi")], lo.alias(f"lo{r}"), hi.alias(f"hi{r}"), F.coalesce("linked", F.lit(False)).alias("settled"), is_pivot.alias("_pivot"))
+            # the pivot has met every row of its column; one whose other rows are one alone, or all link to it, is done
+            live = live.where("not _pivot").drop("_pivot")
+            open_ = live.groupBy(*group).agg(F.bool_and("settled").alias("done"), F.count("*").alias("c")).where("not done and c > 1").select(*group)
             live = staged(live.join(open_, group, "left_semi"), f"live-{r}")
+            discard(near, candidates, was)
         labels = components(links)
         live = live.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
         many = live.groupBy(*group).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(*group)
-        live = staged(live.join(many, group, "left_semi"), "live")
+        was, live = live, staged(live.join(many, group, "left_semi"), "live")
+        discard(was, labels)
         # sketches join in, so that a pair which they rule out is never a row
         words = range(SKETCH_BITS // 64)
         sk = self.rows.select("row", *[F.get("sketch", F.lit(i)).alias(f"k{i}") for i in words])
-        live = staged(live.join(sk, "row"), "live-sketches")
+        was, live = live, staged(live.join(sk, "row"), "live-sketches")
+        discard(was)
         u, v = live.alias("u"), live.alias("v")
         on = [F.col("u.s") == F.col("v.s"), F.col("u.g") == F.col("v.g"), F.col("u.row") < F.col("v.row"), F.col("u.label") != F.col("v.label"), self._fits(F.col("u.n"), F.col("v.n"))]
         on += [F.col(f"{x}.lo{i}") - F.col(f"{y}.hi{i}") <= gap + eps for i in range(2) for x, y in ("uv", "vu")]
@@ -262,13 +291,19 @@ class NgramJoin:
         for c in on[1:]:
             cond = cond & c
         rest = staged(u.join(v, cond).select(F.col("u.row").alias("a"), F.col("v.row").alias("b"), F.col("u.n").alias("na"), F.col("v.n").alias("nb")).distinct(), "rest")
+        discard(live)
+        new = rest
         for counted in seen:  # pairs with a pivot have their counts
-            rest = rest.join(counted.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.union(self._linked(self._overlaps(staged(rest, "rest-new"), "overlaps-rest")))
-        labels = components(links)
+            new = new.join(counted.select("a", "b"), ["a", "b"], "left_anti")
+        new = staged(new, "rest-new")
+        counted = self._overlaps(new, "overlaps-rest")
+        labels = components(links.union(self._linked(counted)))
+        discard(rest, new, counted, *seen)
         groups = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("label"))
         linked = full.select("row", "doc_id", "same", *same).join(groups, same).select("row", "doc_id", "same", "n", "label")
-        return staged(linked.union(self.rows.where("n = 0").select("row", "doc_id", "same", "n", F.lit(None).cast("long").alias("label"))), "members")
+        out = staged(linked.union(self.rows.where("n = 0").select("row", "doc_id", "same", "n", F.lit(None).cast("long").alias("label"))), "members")
+        discard(self.rows, reps, labels)
+        return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import documents, staged
-from lumenfold.llm.tokens import encoder
+from lumenfold.llm.tokens import encoder, in_chunks
 
 #: In the second try, pieces up to a SMALL_PART-th of a sequence wait until the longer ones are packed.
 SIZE, PIECES_A_TASK, SMALL_PART = 2048, 20_000, 6
@@ -37,9 +37,9 @@ def _cut(tokenizer: str, end_id: int, size: int, with_ids: bool):
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(names), 512):
+            for i, j in in_chunks(texts):
                 rows = []
-                for name, got in zip(names[i : i + 512], encoder(tokenizer).encode(texts[i : i + 512]), strict=True):
+                for name, got in zip(names[i:j], encoder(tokenizer).encode(texts[i:j]), strict=True):
                     ids = got + tail
                     for k, at in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[at : at + 4 * size]

@@ -1,10 +1,10 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 The raw model counts hashed unigrams and bigrams of every document; the target model those of good labelled documents.
-A document's weight is the mean log ratio of the two over its n-grams, as if each gave the same amount of text. Keeping
-the k largest of SHARPNESS * weight + Gumbel noise is sampling k documents without replacement by importance; the noise
-is a hash of the id, so reruns agree, and matters only next to the cut. k is the number of documents whose weight
-reaches a cut that is fitted on the labelled rows. The k-th largest key is found by histograms, not by sorting.
+A document's log weight is the log of the ratio of its probability in the two, the sum of log ratios over its n-grams.
+Keeping the k largest of log weight + Gumbel noise is sampling k documents without replacement by importance; the noise
+is a hash of the id, so reruns agree. k is the number of documents whose log weight reaches a cut, which is fitted on the
+labelled rows so that few good ones are lost. The k-th largest key is found by histograms, not by sorting.
 
 Fitted on at most SAMPLE labelled rows, chosen by hash of the id; everything else reads all documents. The driver holds
 those rows and BUCKETS counts, both fixed sizes.
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import documents, staged
+from lumenfold.llm.common import MEMO_ENTRIES, documents, memo, staged
 
-BUCKETS, SAMPLE, SHARPNESS, SHRINK, GOOD_COST = 1 << 14, 20_000, 200.0, 24, 4
+BUCKETS, SAMPLE, GOOD_COST = 1 << 14, 20_000, 4
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -35,7 +35,7 @@ class _Hashes(dict):
     """32-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= MEMO_ENTRIES:
             self.clear()
         h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         if len(word) <= 32:
@@ -43,14 +43,12 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
-
-
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all unigrams and bigrams of texts one after another, and how many each text has."""
+    hashes = memo("quality", "words", _Hashes)
     words = [_TOKEN.findall(t) if t else [] for t in texts]
     n = np.array([len(w) for w in words], np.int64)
-    h = np.fromiter((x for w in words for x in map(_HASHES.__getitem__, w)), np.uint64, int(n.sum()))
+    h = np.fromiter((x for w in words for x in map(hashes.__getitem__, w)), np.uint64, int(n.sum()))
     mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)).astype(np.int64) % BUCKETS
     one, two = mix(h + np.uint64(1)), mix(h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:]) if len(h) else np.zeros(0, np.int64)
     # unigram i stands at 2 i, the bigram from i to i + 1 behind it; one that would cross texts repeats its unigram
@@ -91,9 +89,9 @@ def _weigh(ratio: np.ndarray):
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
                 found, n = features(some.column(1).to_pylist())
-                run_sum = np.concatenate([[0.0], np.cumsum(ratio[found])])
-                ends = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(n), pa.array((run_sum[ends] - run_sum[ends - n]) / (n + SHRINK))], schema=schema)
+                # summed within each text, so a weight doesn't depend on the batch
+                weight = np.bincount(np.repeat(np.arange(len(n)), n), weights=ratio[found], minlength=len(n))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(n), pa.array(weight)], schema=schema)
 
     return run
 
@@ -151,7 +149,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """_id, _same, n_features, log_weight, key, kept: a row for each row of docs."""
     scored, cut = score(docs, labels, id_col, text_col, sample)
     u = (F.pmod(F.xxhash64(F.lit(8), F.col("_id")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    keyed = scored.withColumn("key", F.lit(SHARPNESS) * F.col("log_weight") - F.log(-F.log(u)))
+    keyed = scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
     able = keyed.where("n_features > 0")
     k = able.where(F.col("log_weight") >= float(cut)).count()
     least = kth_largest(able, "key", k) if k else float("inf")

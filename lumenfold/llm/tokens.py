@@ -1,4 +1,4 @@
-"""Whole-text tokenisation with the tokenizers library, with a bounded memo of space-delimited units.
+"""Whole-text tokenisation with the tokenizers library, with bounded memos of space-delimited units.
 
 Both public vocabularies used here start a new pre-token wherever a space is followed by a character that isn't white
 space, so a text's ids are the concatenation of the ids of its units. A text in which that can't be shown (a unit that
@@ -10,12 +10,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_ENTRIES, MEMO_CHARS = 1_500_000, 32
+from lumenfold.llm.common import MEMO_ENTRIES, memo
+
+#: Units of a generation take some 40 bytes each.
+MEMO_CHARS, GENERATION = 32, 250_000
 #: Set between units where the vocabulary drops spaces; a lone control character is one id of its own.
 MARK = "\x01"
 #: A word of Latin letters and the punctuation behind it (no apostrophe, which may open a contraction): two pre-tokens.
@@ -30,6 +34,51 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
+class _Known:
+    """Units and their ids, in two generations: once the younger is full it becomes the elder, whose used units move on."""
+
+    def __init__(self) -> None:
+        self.young, self.old = [self._empty()], self._empty()
+
+    @staticmethod
+    def _empty() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        return pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    @staticmethod
+    def _together(parts: list) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        return pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+
+    def find(self, units: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each of the distinct units where its ids begin in the returned pool, and how many; -1 if it can't stand alone.
+
+        encode gives the ids of unknown units (bytes, or False). Long ones aren't remembered.
+        """
+        young = self._together(self.young)
+        names, sizes, pool = self._together([young, self.old])
+        at = pc.index_in(units, value_set=names).fill_null(-1).to_numpy()
+        lost = np.flatnonzero(at < 0)
+        missing = units.take(pa.array(lost))
+        got = encode(missing.to_pylist())
+        new_sizes = np.fromiter((-1 if b is False else len(b) >> 2 for b in got), np.int64, len(got))
+        new_pool = np.frombuffer(b"".join(b or b"" for b in got), "<u4")
+        all_sizes, all_pool = np.concatenate([sizes, new_sizes]), np.concatenate([pool, new_pool])
+        whole = np.maximum(all_sizes, 0)
+        begins = np.cumsum(whole) - whole
+        at = at.astype(np.int64)
+        at[lost] = len(sizes) + np.arange(len(lost))
+        # what is new, or was only in the elder generation
+        on = (at >= len(young[0])) & (pc.utf8_length(units).to_numpy() <= MEMO_CHARS)
+        if on.any():
+            pick = at[on]
+            n = whole[pick]
+            ends = np.cumsum(n)
+            ids = all_pool[np.repeat(begins[pick] - (ends - n), n) + np.arange(int(ends[-1]))]
+            self.young = [young, (units.filter(pa.array(on)), all_sizes[pick], ids)]
+            if len(young[0]) + len(pick) > GENERATION:
+                self.young, self.old = [self._empty()], self._together(self.young)
+        return begins[at], all_sizes[at], all_pool
+
+
 class UnitEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
@@ -49,13 +98,12 @@ class UnitEncoder:
             self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
             self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[-1]
             self.by_unit = self.keeps_space or len(self.tokenizer.encode(MARK, add_special_tokens=False).ids) == 1
-        self.first: dict[str, bytes | bool] = {}
-        self.rest: dict[str, bytes | bool] = {}
+        self.first, self.rest = _Known(), _Known()
         self.stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
         self.lowers = any(n.get("type") == "Lowercase" for n in norm.get("normalizers", [norm]))
         self.letters, self.by_stem = _byte_letters(), self.by_unit
-        self.by_stem = self.by_unit and [self._by_stem(u) for u in _PROBES] == self._raw([" " * self.keeps_space + u for u in _PROBES])
+        self.by_stem = self.by_unit and self._by_stems(_PROBES) == self._raw([" " * self.keeps_space + u for u in _PROBES])
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,30 +111,42 @@ class UnitEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _by_stem(self, unit: str) -> bytes | None:
-        """Ids of a plain word and its punctuation, straight from the vocabulary's model; None for any other unit."""
-        m = _PLAIN.fullmatch(unit) if self.by_stem else None
-        if m is None:
-            return None
-        stem, tail = m.groups()
-        stem = stem.lower() if self.lowers else stem
-        ids, end = self.stems.get(stem), self.tails.get(tail)
-        if ids is None:
-            if len(self.stems) > MEMO_ENTRIES:
-                self.stems.clear()
-            word = stem if stem.isascii() else stem.translate(self.letters)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize("Ġ" + word if self.keeps_space else word)], "<u4").tobytes()
-            if len(stem) <= MEMO_CHARS:
-                self.stems[stem] = ids
-        if end is None:
-            end = self._raw([tail])[0]
-            if len(tail) <= MEMO_CHARS and len(self.tails) <= MEMO_ENTRIES:
-                self.tails[tail] = end
-        return ids + end
-
-    def _units(self, units: list[str]) -> list[bytes]:
-        out = list(map(self._by_stem, units))
+    def _by_stems(self, units: list[str]) -> list[bytes | None]:
+        """Ids of plain words and their punctuation, straight from the vocabulary's model; None for any other unit."""
+        out: list[bytes | None] = [None] * len(units)
+        plain, stems, tails, tokenize = _PLAIN.fullmatch, self.stems, self.tails, self.tokenizer.model.tokenize
+        opening = "Ġ" if self.keeps_space else ""
+        if len(stems) >= MEMO_ENTRIES:
+            stems.clear()
+        for i, unit in enumerate(units):
+            m = plain(unit)
+            if m is None:
+                continue
+            stem, tail = m.groups()
+            if self.lowers:
+                stem = stem.lower()
+            ids, end = stems.get(stem), tails.get(tail)
+            if ids is None:
+                word = stem if stem.isascii() else stem.translate(self.letters)
+                ids = array("I", [t.id for t in tokenize(opening + word)]).tobytes()
+                if len(stem) <= MEMO_CHARS:
+                    stems[stem] = ids
+            if end is None:
+                end = self._raw([tail])[0]
+                if len(tail) <= MEMO_CHARS and len(tails) < MEMO_ENTRIES:
+                    tails[tail] = end
+            out[i] = ids + end
+        return out
+
+    def _units(self, units: list[str]) -> list[bytes | bool]:
+        """Ids of units behind a space; False for those that can't be told apart from it."""
+        out: list[bytes | bool | None] = list(self._by_stems(units)) if self.by_stem else [None] * len(units)
         others = [i for i, b in enumerate(out) if b is None]
+        if self.keeps_space:
+            for i in others:
+                if not self._opens_plain(units[i]):
+                    out[i] = False
+            others = [i for i in others if out[i] is None]
         for i, b in zip(others, self._joined([units[i] for i in others]), strict=True):
             out[i] = b
         return out
@@ -115,23 +175,6 @@ class UnitEncoder:
     def _opens_plain(unit: str) -> bool:
         return bool(unit) and not unit[0].isspace() and unit[0] not in "᠎​﻿"
 
-    def _lookup(self, memo: dict[str, bytes | bool], units: list[str]) -> list[bytes | bool]:
-        """Ids of each unit, False for one that can't stand alone; long ones are returned but not remembered."""
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        out = list(map(memo.get, units))
-        places = [i for i, x in enumerate(out) if x is None]
-        plain = [i for i in places if memo is self.first or not self.keeps_space or self._opens_plain(units[i])]
-        missing = [units[i] for i in plain]
-        got: list[bytes | bool] = [False] * len(out)
-        for i, x in zip(plain, self._units(missing) if memo is self.rest else self._raw(missing), strict=True):
-            got[i] = x
-        for i in places:
-            out[i] = got[i]
-            if len(units[i]) <= MEMO_CHARS:
-                memo[units[i]] = got[i]
-        return out
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; an empty text has none."""
         if not self.by_unit or not texts:
@@ -140,36 +183,42 @@ class UnitEncoder:
         # where spaces are dropped, so are line ends
         split = pc.split_pattern(whole if self.keeps_space else pc.replace_substring(whole, "\n", " "), " ")
         bounds, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
-        units, place = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        units, place = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         # a text's first unit has no space before it, so it gets an entry of its own behind those of the other units
-        heads = np.unique(place[bounds[:-1]])
+        heads, head_at = np.unique(place[bounds[:-1]], return_inverse=True)
         inner = np.ones(len(place), bool)
         inner[bounds[:-1]] = False
-        used = np.unique(place[inner])
-        entry = np.zeros(len(units), np.int64)
-        entry[used] = np.arange(len(used))
-        at = entry[place]
-        at[bounds[:-1]] = len(used) + np.searchsorted(heads, place[bounds[:-1]])
-        table = self._lookup(self.rest, [units[i] for i in used.tolist()]) + self._lookup(self.first, [units[i] for i in heads.tolist()])
-        bad = np.array([x is False for x in table], bool)
-        table = [x or b"" for x in table]
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        begins, n = np.cumsum(sizes) - sizes, sizes[at]
+        used = np.zeros(len(units), bool)
+        used[place[inner]] = True
+        at = (np.cumsum(used) - 1)[place]
+        at[bounds[:-1]] = int(used.sum()) + head_at
+        begins, sizes, pool = self.rest.find(units.filter(pa.array(used)), self._units)
+        begins2, sizes2, pool2 = self.first.find(units.take(pa.array(heads)), self._raw)
+        begins, sizes, pool = np.concatenate([begins, begins2 + len(pool)]), np.concatenate([sizes, sizes2]), np.concatenate([pool, pool2])
+        bad = sizes < 0
+        n = np.maximum(sizes, 0)[at]
         ends = np.cumsum(n)
-        ids = np.frombuffer(b"".join(table), "<u4")[np.repeat(begins[at] - (ends - n), n) + np.arange(int(ends[-1]))]
+        ids = pool[np.repeat(begins[at] - (ends - n), n) + np.arange(int(ends[-1]))]
         raw, cuts = ids.tobytes(), np.concatenate([[0], 4 * ends])[bounds].tolist()
         out = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        again = np.flatnonzero(np.add.reduceat(bad[at], bounds[:-1])).tolist()
+        again = np.flatnonzero(np.add.reduceat(bad[at], bounds[:-1])).tolist() if bad.any() else []
         for i, b in zip(again, self._raw([texts[i] for i in again]), strict=True):
             out[i] = b
         return out
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
     """One per Python worker and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    return memo("tokens", path, lambda: UnitEncoder(path))
+
+
+def in_chunks(texts: list[str], chars: int = 4 << 20):
+    """Slices of texts of some chars together, a longer text alone: units repeat within a slice, and its arrays stay small."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > chars:
+            yield at, i
+            at, held = i, 0
+        held += len(t) + 1
+    if at < len(texts):
+        yield at, len(texts)
