@@ -1,10 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes, with SQL functions only.
 
-A run is a written table of (h1, h2, n_docs), range-partitioned and sorted by hash: a line key's 128-bit hash and the
-number of documents seen with it. New documents come in batches. A batch counts its own keys, is merge-anti-joined with
-the keys that the runs already hold at the limit (those are decided; their counts needn't grow), and what is left
-becomes a level-0 run. Whenever a level has FANOUT runs they are compacted into one run of the next level, summing
-counts. A key in at least min_docs documents, over all runs, loses its lines everywhere.
+A run is a table of (h1, h2, n_docs), bucketed and sorted by hash: a line key's 128-bit hash and the number of documents
+seen with it. All runs have the same buckets, so two of them, or a run and a batch, are joined by merging sorted buckets;
+only a batch is ever shuffled. New documents come in batches. A batch counts its own keys and is merge-anti-joined with
+each run, for the keys that the run already holds at the limit (those are decided; their counts needn't grow). What is
+left becomes a run of level 0. Whenever a level has FANOUT runs they are compacted, by full outer merges that sum counts,
+into one run of the next level. A key in at least min_docs documents, over all runs, loses its lines everywhere.
 
 The frequent keys are joined to (document, key hash) pairs, never to text. A hot key is only ever counted after partial
 aggregation and joined with one row, so a sort-merge join of it can be split by AQE. Texts are shuffled once, by doc_id.
@@ -16,14 +17,17 @@ text; an empty table stays empty; other columns are kept as they are, names used
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import WHITESPACE, ascii_lower, documents, shuffle_partitions, staged
+from lumenfold.llm.common import WHITESPACE, ascii_lower, delete_path, discard, documents, shuffle_partitions, staged, work_path
 
-MIN_DOCS, MIN_CHARS, BATCHES, FANOUT = 10, 1, 4, 4
+MIN_DOCS, MIN_CHARS, BATCHES, FANOUT = 10, 1, 4, 2
 
 
 def line_key(line: Column) -> Column:
@@ -40,54 +44,95 @@ def _hashes(text: Column, min_chars: int) -> Column:
     return F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(17), k).alias("h2")))
 
 
-def _sorted_run(counts: DataFrame, name: str) -> DataFrame:
-    return staged(counts.repartitionByRange(shuffle_partitions(counts.sparkSession), "h1", "h2").sortWithinPartitions("h1", "h2"), name)
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def _ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    """Spark trusts the order of buckets of one file, so merges of runs don't sort them again."""
+    was = spark.conf.get(_ORDERED)
+    spark.conf.set(_ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ORDERED, was)
 
 
 class LineRuns:
-    """The levels of runs; what a long-lived index would keep between batches."""
+    """The levels of runs; what a long-lived index would keep between batches. drop() gives their space back."""
+
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets, self.levels = shuffle_partitions(spark), [[]]
+        self.compactions: list[int] = []  # the level of each run that a compaction wrote
+
+    def _write(self, counts: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        path = work_path(self.spark, "line-run")
+        counts.select("h1", "h2", "n_docs").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("compression", "zstd").option("path", path).saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        path = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+        self.spark.sql(f"DROP TABLE {name}")
+        delete_path(self.spark, path)
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """Runs merged bucket by bucket, counts summed."""
 
-    def __init__(self, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.min_docs, self.fanout, self.levels = min_docs, fanout, [[]]
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:
+            b = b.withColumnRenamed("n_docs", "_more")
+            n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("_more", F.lit(0))
+            return a.hint("merge").join(b, ["h1", "h2"], "full").select("h1", "h2", n.alias("n_docs"))
 
-    def _all(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        return reduce(DataFrame.union, runs) if runs else None
+        return reduce(both, map(self.spark.table, names))
 
-    def _summed(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.union, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+    def runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
 
     def frequent(self) -> DataFrame:
-        """Keys at the limit. A single run already has one row per key."""
-        runs = [r for level in self.levels for r in level]
-        return (runs[0] if len(runs) == 1 else self._summed(runs)).where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+        """Keys at the limit, over all runs."""
+        return self._merged(self.runs()).where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
 
     def add(self, keys: DataFrame) -> None:
         """Adds one batch of (h1, h2) rows, a row for each document and distinct key."""
-        counts = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
-        decided = [r.where(F.col("n_docs") >= self.min_docs).select("h1", "h2") for level in self.levels for r in level]
-        if decided:
-            counts = counts.join(reduce(DataFrame.union, decided).distinct(), ["h1", "h2"], "left_anti")
-        self.levels[0].append(_sorted_run(counts, "line-run"))
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            merged = _sorted_run(self._summed(self.levels[level]), f"line-run-{level + 1}")
-            self.levels[level] = []
-            level += 1
-            if level == len(self.levels):
-                self.levels.append([])
-            self.levels[level].append(merged)
+        with _ordered_buckets(self.spark):
+            left = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
+            for name in self.runs():
+                decided = self.spark.table(name).where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+                left = left.hint("merge").join(decided, ["h1", "h2"], "left_anti")
+            self.levels[0].append(self._write(left))
+            level = 0
+            while len(self.levels[level]) >= self.fanout:
+                old = self.levels[level]
+                merged = self._write(self._merged(old))
+                self.levels[level] = []
+                level += 1
+                if level == len(self.levels):
+                    self.levels.append([])
+                self.levels[level].append(merged)
+                self.compactions.append(level)
+                for name in old:
+                    self._drop(name)
+
+    def drop(self) -> None:
+        for name in self.runs():
+            self._drop(name)
+        self.levels = [[]]
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """All rows and columns; text without the common lines; _n_lines before, _n_dropped."""
     hashed = staged(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_same"), F.explode_outer(_hashes(F.col(text_col), min_chars)).alias("_h")).select("_id", "_same", "_h.h1", "_h.h2").where("h1 is not null"), "line-keys")
-    runs = LineRuns(min_docs)
+    runs = LineRuns(docs.sparkSession, min_docs)
     for k in range(batches):
         runs.add(hashed.where(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(batches)) == k).select("h1", "h2"))
-    frequent = staged(runs.frequent(), "frequent-lines")
+    with _ordered_buckets(docs.sparkSession):
+        frequent = staged(runs.frequent(), "frequent-lines")
+    runs.drop()
     # a document's rows are found by id and text, so rows that repeat an id keep their own lines; equal rows lose the same
-    hits = hashed.join(frequent, ["h1", "h2"], "left_semi").groupBy("_id", "_same").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
+    hits = staged(hashed.join(frequent, ["h1", "h2"], "left_semi").groupBy("_id", "_same").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop")), "line-hits")
+    discard(hashed, frequent)
     d = docs.withColumn("_row_id", F.col(id_col)).withColumn("_row_same", F.xxhash64(text_col))
     joined = d.join(hits, d["_row_id"].eqNullSafe(hits["_id"]) & (d["_row_same"] == hits["_same"]), "left")
     lines = F.transform(_lines(F.col(text_col)), lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
