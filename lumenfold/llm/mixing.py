@@ -6,11 +6,14 @@ a target is min(cap, weight * level): sources are taken by cap over weight until
 
 A source takes floor(target / size) whole passes and, for the rest, the documents whose hash lies below a threshold. The
 threshold is found by histograms: words by source and leading hash digits, the bucket where the running sum passes the
-rest, and again within that bucket alone, level by level, until single hashes are left. So no documents are sorted, and
-a level reads a 16^DIGITS-th of the rows of the one before. The nearer side of the last hash is taken.
+rest, and again within that bucket alone, level by level, until single rows are left. So no documents are sorted, a
+level reads a small part of the rows of the one before, and a histogram has at most 16^3 bars a source. The hash is that
+of id and text, then that of the row's number, which tells equal rows apart; its levels run only where equal rows lie at
+the threshold. The nearer side of the last row is taken.
 
 Defined cases: a null or empty text has size 0 and is never taken; null is a source of its own; rows that repeat a
-doc_id share a hash and are taken together; an empty table, or one without words, takes nothing; other columns are kept.
+doc_id are taken by their own texts, equal rows as many as the target asks for; an empty table, or one without words,
+takes nothing; other columns are kept.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import WHITESPACE, documents, staged
+from lumenfold.llm.common import WHITESPACE, discard, documents, staged
 
-WEIGHTS, MAX_REPEATS, DIGITS, LEVELS = (5, 2, 1), 3, 3, 3
+WEIGHTS, MAX_REPEATS = (5, 2, 1), 3
+#: Digits of the hash that each level looks at. The first 32 are of id and text.
+DOCUMENT_DIGITS, ROW_DIGITS = (3, 6, 9, 32), (35, 38, 41, 48)
 
 
 def word_count(text: Column) -> Column:
@@ -48,35 +53,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MA
 
 
 def _thresholds(slim: DataFrame, plan: DataFrame) -> DataFrame:
-    """plan with _last: a document of the source is taken once more if its hash is at most that; null takes none."""
+    """plan with _bar, a hash or the leading digits of one, and whether rows at it are taken once more, as all below are."""
     open_ = plan.select("_none", "_src", F.col("rest").alias("_want"), F.lit("").alias("_prefix"))
-    for level in range(LEVELS + 1):
-        digits = DIGITS * (level + 1) if level < LEVELS else 32
-        inside = slim.join(open_, ["_none", "_src"]).where(F.startswith(F.col("_hash"), F.col("_prefix"))) if level else slim.join(open_, ["_none", "_src"])
-        bars = inside.groupBy("_none", "_src", F.substring("_hash", 1, digits).alias("_bar")).agg(F.sum("size").alias("_sum"), F.first("_want").alias("_want"))
-        # at most 16^DIGITS bars a source (a few hashes at the last level)
+    spent = []
+    for digits in (*DOCUMENT_DIGITS, *ROW_DIGITS):
+        inside = slim.join(open_, ["_none", "_src"]).where(F.startswith(F.col("_hash"), F.col("_prefix")))
+        bars = inside.groupBy("_none", "_src", F.substring("_hash", 1, digits).alias("_bar")).agg(F.sum("size").alias("_sum"), F.count("*").alias("_rows"), F.first("_want").alias("_want"))
         w = W.partitionBy("_none", "_src").orderBy("_bar")
         bars = bars.withColumn("_upto", F.sum("_sum").over(w)).withColumn("_was", F.col("_upto") - F.col("_sum"))
-        hit = bars.where((F.col("_upto") >= F.col("_want")) & (F.col("_was") < F.col("_want")))
-        if level < LEVELS:
-            open_ = staged(hit.select("_none", "_src", (F.col("_want") - F.col("_was")).alias("_want"), F.col("_bar").alias("_prefix")), f"bars-{level}")
-    near = hit.withColumn("_takes", F.col("_upto") - F.col("_want") <= F.col("_want") - F.col("_was"))
-    # when the boundary hash is left out, everything below it is in
-    return plan.join(near.select("_none", "_src", "_bar", "_takes"), ["_none", "_src"], "left")
+        hit = staged(bars.where((F.col("_upto") >= F.col("_want")) & (F.col("_was") < F.col("_want"))), f"bars-{digits}")
+        spent.append(hit)
+        open_ = hit.select("_none", "_src", (F.col("_want") - F.col("_was")).alias("_want"), F.col("_bar").alias("_prefix"))
+        if digits == DOCUMENT_DIGITS[-1] and hit.where("_rows > 1").isEmpty():
+            break
+    # when the row at the bar is left out, everything below it is in
+    near = hit.select("_none", "_src", "_bar", (F.col("_upto") - F.col("_want") <= F.col("_want") - F.col("_was")).alias("_takes"))
+    out = staged(plan.join(near, ["_none", "_src"], "left"), "mix-thresholds")
+    discard(*spent)
+    return out
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """_id, _same, _none, _src, size, source_size, target, taken: a row for each row of docs."""
-    source = F.col(source_col).cast("string")
-    slim = staged(
-        docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_same"), source.isNull().alias("_none"), F.coalesce(source, F.lit("")).alias("_src"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_hash")),
-        "sizes",
-    )
+    source, text = F.col(source_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
+    document = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text)))
+    slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_same"), source.isNull().alias("_none"), F.coalesce(source, F.lit("")).alias("_src"), word_count(F.col(text_col)).alias("size"), document.alias("_document"))
+    row = F.lower(F.lpad(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, "0"))
+    slim = staged(slim.withColumn("_hash", F.concat("_document", row)).drop("_document"), "sizes")
     t = targets(slim.groupBy("_none", "_src").agg(F.sum("size").alias("source_size")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = staged(t.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "mix-plan")
-    plan = staged(_thresholds(slim.where("size > 0"), plan), "mix-thresholds")
-    more = F.coalesce(F.when(F.col("_takes"), F.col("_hash") <= F.col("_bar")).otherwise(F.col("_hash") < F.col("_bar")), F.lit(False))
+    whole = staged(t.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "mix-plan")
+    plan = _thresholds(slim.where("size > 0"), whole)
+    discard(whole)
+    at = F.substring(F.col("_hash"), F.lit(1), F.length("_bar"))
+    more = F.coalesce(F.when(F.col("_takes"), at <= F.col("_bar")).otherwise(at < F.col("_bar")), F.lit(False))
     return slim.join(plan, ["_none", "_src"]).select("_id", "_same", "_none", "_src", "size", "source_size", "target", (F.col("size") * (F.col("passes") + more.cast("long"))).alias("taken"))
 
 
@@ -87,19 +97,28 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {
     "op7": r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-s1 AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS BIGINT) AS w, 3 * source_size AS cap FROM s0),
-s2 AS (SELECT *, row_number() OVER (ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST) AS k FROM s1),
-s3 AS (SELECT *, CAST((SELECT sum(source_size) FROM s0) AS BIGINT) - coalesce(CAST(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS rem, CAST((SELECT sum(w) FROM s1) AS BIGINT) - coalesce(CAST(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS ws FROM s2),
-f AS (SELECT k AS fk, rem AS frem, ws AS fws FROM s3 WHERE cap * ws >= rem * w ORDER BY k LIMIT 1),
-t AS (SELECT source, source_size, CASE WHEN k < fk OR fk IS NULL THEN CAST(cap AS DOUBLE) ELSE CAST(w * frem AS DOUBLE) / fws END AS target FROM s3 LEFT JOIN f ON true),
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS BIGINT) AS w FROM d GROUP BY source),
+-- sources are filled one after another, the one with the least room for its weight first, as long as it can't take its share
+k AS (SELECT *, row_number() OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / w, source NULLS LAST) AS place FROM s),
+fill AS (
+  SELECT CAST(0 AS BIGINT) AS place, CAST((SELECT sum(source_size) FROM s) AS BIGINT) AS words, CAST((SELECT sum(w) FROM s) AS BIGINT) AS weights
+  UNION ALL
+  SELECT k.place, fill.words - 3 * k.source_size, fill.weights - k.w FROM fill JOIN k ON k.place = fill.place + 1
+  WHERE 3 * k.source_size * fill.weights < fill.words * k.w),
+level AS (SELECT place AS filled, words, weights FROM fill ORDER BY place DESC LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN place <= filled THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(w * words AS DOUBLE) / weights END AS target FROM k, level),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
-q AS (SELECT *, target - passes * source_size AS rest FROM p),
-b AS (SELECT source, h, CAST(sum(size) AS BIGINT) AS n FROM d WHERE size > 0 GROUP BY source, h),
-c AS (SELECT source, h, n, CAST(sum(n) OVER (PARTITION BY source ORDER BY h) AS BIGINT) AS upto FROM b),
-x AS (SELECT c.source, c.h AS bar, c.upto - q.rest <= q.rest - (c.upto - c.n) AS takes FROM c JOIN q ON c.source IS NOT DISTINCT FROM q.source WHERE c.upto >= q.rest AND c.upto - c.n < q.rest)
-SELECT d.doc_id, d.size, q.source_size, q.target,
-  d.size * (q.passes + CASE WHEN coalesce(CASE WHEN x.takes THEN d.h <= x.bar ELSE d.h < x.bar END, false) THEN 1 ELSE 0 END) AS taken
-FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source""",
+-- rows in the order of their hashes (equal rows in any); each ends at a running sum
+r AS (
+  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS rest,
+    CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+  size * (passes + CASE WHEN upto < rest OR (upto >= rest AND upto - size < rest AND upto - rest <= rest - (upto - size)) THEN 1 ELSE 0 END) AS taken
+FROM r""",
 }
