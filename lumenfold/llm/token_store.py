@@ -24,16 +24,23 @@ from pyspark.sql import types as T
 
 from lumenfold.llm.common import documents, shuffle_partitions, staged, work_path
 from lumenfold.llm.token_codec import BLOCK_TOKENS, decode_blocks, encode_blocks
-from lumenfold.llm.tokens import encoder
+from lumenfold.llm.tokens import encoder, in_chunks
 
-#: Blocks coded in one lockstep run: bounds a task's memory to about 60 MB, whatever the partition holds.
-LANES = 1536
+#: Blocks coded in one lockstep run: bounds a task's memory to some 150 MB, whatever the partition holds.
+LANES = 1024
 STORE = "part int, block long, start long, n_tokens int, docs array<struct<seq: long, doc_id: long, n: int, whole: boolean>>, coded binary"
 _DOCS = pa.list_(pa.struct([("seq", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("whole", pa.bool_())]))
 _STORE = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int32()), ("docs", _DOCS), ("coded", pa.binary())])
 
 
-def _writer(tokenizer: str, end_id: int, block_tokens: int):
+def _even(n: int, most: int = LANES) -> list[tuple[int, int]]:
+    """Slices of n lanes of nearly equal length, none above most: a short one would cost as many steps as a long one."""
+    parts = -(-n // most)
+    cuts = [n * k // parts for k in range(parts + 1)] if n else [0]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _writer(tokenizer: str, end_id: int, block_tokens: int, lanes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -43,10 +50,11 @@ def _writer(tokenizer: str, end_id: int, block_tokens: int):
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal buffer, block, start
             ids = np.frombuffer(bytes(buffer), "<u4")
-            n = len(ids) if last else len(ids) - len(ids) % block_tokens
+            n = len(ids) if last else lanes * block_tokens
             blocks = [ids[i : min(i + block_tokens, n)] for i in range(0, n, block_tokens)]
+            coded = [c for x, y in _even(len(blocks), lanes) for c in encode_blocks(blocks[x:y])]
             rows, place = [], 0
-            for b, coded in zip(blocks, encode_blocks(blocks), strict=True):
+            for b, c in zip(blocks, coded, strict=True):
                 room, inside = len(b), []
                 while room:
                     d = held[place]
@@ -55,7 +63,7 @@ def _writer(tokenizer: str, end_id: int, block_tokens: int):
                     d[2] -= take
                     room -= take
                     place += d[2] == 0
-                rows.append({"part": part, "block": block, "start": start, "n_tokens": len(b), "docs": inside, "coded": coded})
+                rows.append({"part": part, "block": block, "start": start, "n_tokens": len(b), "docs": inside, "coded": c})
                 block, start = block + 1, start + len(b)
             del held[:place]
             buffer = bytearray(ids[n:].tobytes())
@@ -64,27 +72,28 @@ def _writer(tokenizer: str, end_id: int, block_tokens: int):
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(names), 512):
-                for name, got in zip(names[i : i + 512], encoder(tokenizer).encode(texts[i : i + 512]), strict=True):
+            for i, j in in_chunks(texts):
+                for name, got in zip(names[i:j], encoder(tokenizer).encode(texts[i:j]), strict=True):
                     n = len(got) // 4 + 1
                     held.append([seq, name, n, n])
                     buffer += got + tail
                     seq += 1
-                if len(buffer) >= 4 * LANES * block_tokens:
+                # what is left for the last run is one to two runs long, and is split evenly
+                while len(buffer) >= 8 * lanes * block_tokens:
                     yield from flush(False)
         yield from flush(True)
 
     return run
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, lanes: int = LANES) -> None:
     """Encodes every whole text, appends end_id to each, and writes the blocks in ascending id order."""
     n = shuffle_partitions(docs.sparkSession)
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .repartitionByRange(n, "doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(_writer(tokenizer, end_id, block_tokens), STORE)
+        .mapInArrow(_writer(tokenizer, end_id, block_tokens, lanes), STORE)
         .write.option("compression", "zstd")
         .parquet(path)
     )
@@ -95,8 +104,8 @@ def _reader(with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, LANES):
-                some = batch.slice(i, LANES)
+            for i, j in _even(batch.num_rows):
+                some = batch.slice(i, j - i)
                 rows: list[tuple] = []
                 for part, start, inside, ids in zip(some.column("part").to_pylist(), some.column("start").to_pylist(), some.column("docs").to_pylist(), decode_blocks(some.column("coded").to_pylist()), strict=True):
                     raw, at = ids.tobytes(), 0

@@ -35,6 +35,8 @@ def test_codec_round_trip():
     coded = token_codec.encode_blocks(blocks)
     assert all((a == b).all() for a, b in zip(blocks, token_codec.decode_blocks(coded), strict=True))
     assert len(coded[3]) < 100 and token_codec.encode_blocks([]) == [] and token_codec.decode_blocks([]) == []
+    long = [(rng.zipf(1.2, 2048) % 900).astype("<u4") for _ in range(40)] + [np.arange(4096, dtype="<u4")[::-1] * 1000, np.full(4096, 7, "<u4"), np.tile(np.arange(3, dtype="<u4"), 1000)]
+    assert all((a == b).all() for a, b in zip(long, token_codec.decode_blocks(token_codec.encode_blocks(long)), strict=True))
     broken = bytearray(coded[2])
     broken[-40] ^= 8
     with pytest.raises(token_codec.BadBlock):
@@ -50,9 +52,11 @@ def test_units_equal_whole_texts(name):
     assert e.encode(texts) == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
-def test_token_store(spark, docs, tmp_path):
+@pytest.mark.parametrize("lanes", [token_store.LANES, 3])
+def test_token_store(spark, docs, tmp_path, lanes):
+    """With 3 lanes of 64 ids a task flushes many times, and long documents span flushes."""
     path, name = str(tmp_path / "store"), public_tokenizers.path("byte_bpe_50k.json")
-    token_store.write_store(docs, path, name, 2, block_tokens=64)
+    token_store.write_store(docs, path, name, 2, block_tokens=64, lanes=lanes)
     got = token_store.read_documents(spark, path).orderBy("start").collect()
     tk, start = UnitEncoder(name).tokenizer, 0
     want = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
@@ -97,6 +101,23 @@ def test_line_dedup(spark, docs):
     assert line_dedup.drop_common_lines(docs.limit(0)).count() == 0
 
 
+def test_line_runs(spark):
+    """Nine batches with a fan-out of 2 reach level 3; keys at the limit are told from counts over all runs."""
+    rng = np.random.default_rng(11)
+    batches = [(rng.zipf(1.5, 200) % 60).tolist() for _ in range(9)]
+    runs = line_dedup.LineRuns(spark, min_docs=25, fanout=2)
+    for b in batches:
+        runs.add(spark.createDataFrame([(int(k), int(k) * 7) for k in b], "h1 long, h2 long"))
+        level_sizes = [len(x) for x in runs.levels]
+        assert max(level_sizes) < 2
+    assert runs.compactions == [1, 1, 2, 1, 1, 2, 3] and [len(x) for x in runs.levels] == [1, 0, 0, 1]
+    plan = runs.frequent()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    count = {k: sum(b.count(k) for b in batches) for b in batches for k in b}
+    assert {r["h1"] for r in runs.frequent().collect()} == {k for k, n in count.items() if n >= 25}
+    runs.drop()
+
+
 def test_exact_dedup(docs):
     rows = [(r[0], r[1] or "") for r in docs.select("doc_id", "text").collect()]
     want = []
@@ -217,6 +238,27 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_equal_rows(spark):
+    """Rows that can't be told apart are split at the threshold: taken words come within a row of the target."""
+    rows = [(None, text(1, 8), "a")] * 50 + [(5, text(2, 8), "b")] * 40 + [(5, text(3, 30), "b")] + [(i, text(i, 9), "c") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df).groupBy("_src").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most")).collect()
+    assert len(out) == 3 and all(abs(r["taken"] - r["target"]) <= r["most"] for r in out)
+
+
+def test_mixing_sql(spark, docs, tmp_path):
+    """The SQL and the operator agree on repeated, null and blank rows."""
+    import duckdb
+
+    docs.unionByName(docs.where("doc_id in (5, 8, 22)")).unionByName(docs.where("doc_id is null")).select("doc_id", "text", "source").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(mixing.ORACLE["op7"]).fetchall()
+    got = [tuple(r) for r in mixing.op7_mix_sources(spark, str(tmp_path)).collect()]
+    tell = lambda rows: sorted((str(a), b, c, round(d, 6), e) for a, b, c, d, e in rows)
+    assert tell(got) == tell(want)
+
+
 def test_quality(spark):
     good, bad = [text(i, 60) for i in range(60)], [text(i, 60).upper().replace(" ", "!! ") for i in range(40)]
     rows = [(i, t) for i, t in enumerate(good + bad)] + [(500, None), (501, " ")]
@@ -230,6 +272,39 @@ def test_quality(spark):
     assert quality.kth_largest(values, "v", 777, 16, 50) == sorted((r[0] for r in values.collect()), reverse=True)[776]
 
 
+def test_quality_brute_force(spark):
+    """Models, weights, noise and the sample, computed in plain Python; with ties, repeated ids and clashing columns."""
+    import math
+    import struct
+
+    import xxhash
+
+    rows = [(i, text(100 + i, 3 + 5 * (i % 9)) if i % 3 else text(100 + i, 40).upper().replace(" ", "!! ")) for i in range(90)] + [(7, text(107, 3)), (7, "other words here"), (None, "no id"), (200, None), (201, "x " * 3000)]
+    df = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in rows], "doc_id long, text string, key string, log_weight double")
+    marks = [(i, int(i % 3 > 0), 0) for i in range(0, 60)]
+    got = quality.resample(df, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+    feats = {t: quality.features([t])[0].tolist() for _, t in rows}
+    good = {i for i, q, _ in marks if q}
+    raw, target = [1] * quality.BUCKETS, [1] * quality.BUCKETS
+    for i, t in rows:
+        for f in feats[t]:
+            raw[f] += 1
+            target[f] += i in good
+    scarce = sum(target) <= quality.BUCKETS
+    ratio = [0.0 if scarce else math.log(a / sum(target)) - math.log(b / sum(raw)) for a, b in zip(target, raw, strict=True)]
+
+    def noise(i):
+        h = xxhash.xxh64(struct.pack("<i", 8), seed=42).intdigest()
+        h = h if i is None else xxhash.xxh64(struct.pack("<q", i), seed=h).intdigest()
+        return -math.log(-math.log(((h & ((1 << 52) - 1)) + 0.5) / (1 << 52)))
+
+    want = sorted(((i is not None, i or 0), len(feats[t]), round(sum(ratio[f] for f in feats[t]), 6), round(sum(ratio[f] for f in feats[t]) + noise(i), 6)) for i, t in rows)
+    assert sorted(((r["_id"] is not None, r["_id"] or 0), r["n_features"], round(r["log_weight"], 6), round(r["key"], 6)) for r in got) == want
+    able = sorted((r["key"] for r in got if r["n_features"]), reverse=True)
+    kept = [r for r in got if r["kept"]]
+    assert 0 < len(kept) < len(able) and min(r["key"] for r in kept) > able[len(kept)] and all(r["n_features"] for r in kept)
+
+
 @pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5)])
 def test_ngram_join(spark, docs, k, num, den):
     rows = docs.select("doc_id", "text").collect()
