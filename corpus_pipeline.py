@@ -47,10 +47,16 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    times = mix(docs).where("taken > 0").select("_id", "_same", "_none", "_src", F.expr("cast(taken div size as int)").alias("_times")).distinct()
+    taken = mix(docs).where("taken > 0").groupBy("_id", "_same", "_none", "_src").agg(F.sum(F.expr("cast(taken div size as int)")).cast("int").alias("_times"), F.count("*").alias("_n"))
+    times = staged(taken, "taken-documents")
     source = docs["source"].cast("string")
-    found = docs.join(times, _same_rows(docs, times) & (source.isNull() == times["_none"]) & (F.coalesce(source, F.lit("")) == times["_src"]))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
+    same = _same_rows(docs, times) & (source.isNull() == times["_none"]) & (F.coalesce(source, F.lit("")) == times["_src"])
+    found = docs.join(times, same)
+    single = found.where("_n = 1").select(*COLUMNS, "_times")
+    # equal rows are taken together; they may differ in other columns: the least stands for all
+    equal = found.where("_n > 1").groupBy("_id", "_same", "_none", "_src").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("_d"), F.first("_times").alias("_times"))
+    both = single.union(equal.select(*[F.col(f"_d.{c}").alias(c) for c in COLUMNS], "_times"))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
