@@ -8,15 +8,17 @@ Below BLOCKS_FROM a block would hold few n-grams, so single columns are used the
 order of n-grams, frequent ones last, and two sets at the threshold share an n-gram among the first n - ceil(t n) + 1 of
 each. Sizes out of ratio are discarded. Survivors get their full overlap count.
 
+Columns with the same documents give the same pairs, so one of them stands for all (near copies share hundreds of them).
 A column that many documents share would give the square of its length. So within a column (split by size class, whose
 neighbours alone can link) candidates are first counted against one pivot only. Documents that link to the pivot are one
 component and need no pair among themselves; Jaccard distance is a metric, so two documents whose distances to the
-pivot differ by more than 1 - t can't link. Before sets are fetched, parity sketches of a fixed size rule out pairs that
-differ in too many n-grams; that bound is exact, too. A second pivot, among those that don't link to the first, does the same; what
-is then still in different components is compared pair by pair. No link between different components is lost.
+pivot differ by more than 1 - t can't link. More pivots follow, rows that have linked to none so
+far and rows that have by turns, as long as that saves enough comparisons. Before sets are fetched, parity sketches rule out pairs
+that differ in too many n-grams; that bound is exact, too. What is then still in different components is compared pair
+by pair. No link between different components is lost.
 
-The order of single columns only affects cost: n-grams that repeat within a batch of documents are counted over all data, and the HOT most
-frequent (a fixed bound) are known to every task.
+The order of single columns only affects cost: n-grams that repeat within a batch of documents are counted over all
+data, and the HOT most frequent (a fixed bound) are known to every task.
 
 Defined cases: null and blank texts have no n-grams and link with nothing; a text of fewer than k words is one n-gram;
 rows that repeat a doc_id are nodes of their own (its component is then the least over them); other columns are ignored;
@@ -37,6 +39,8 @@ from lumenfold.llm.common import MEMO_ENTRIES, discard, documents, memo, staged
 from lumenfold.llm.components import components
 
 HOT, BROADCAST_ROWS, SKETCH_BITS, BLOCKS_FROM = 1 << 17, 1_000_000, 1024, 0.85
+#: Rounds of pivots end when they no longer save a QUIT-th of the comparisons that are left, or after ROUNDS of them.
+ROUNDS, QUIT = 8, 5
 #: Bits of the sketch that has room for a set of any size: twice its size, up to the next power of two.
 LEAST_BITS, MOST_BITS = 256, 1 << 20
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -231,6 +235,14 @@ class NgramJoin:
     def _linked(self, pairs: DataFrame) -> DataFrame:
         return pairs.where(self._meets()).select("a", "b")
 
+    def _distinct_columns(self, columns: DataFrame, name: str) -> DataFrame:
+        """columns: s, g, row and others. Of columns with the same rows one stays: their pairs are the same. Single rows go."""
+        marks = columns.groupBy("s", "g").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("row")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(7), "row")).alias("f2"))
+        chosen = marks.where("c > 1").groupBy("c", "f1", "f2").agg(F.min(F.struct("s", "g")).alias("k")).select("k.s", "k.g")
+        out = staged(columns.join(chosen, ["s", "g"], "left_semi"), name)
+        discard(columns)
+        return out
+
     def members(self) -> DataFrame:
         """A written table of row, doc_id, same, n, label: label is the least row of its component, null for empty sets."""
         full = self.rows.where("n > 0")
@@ -244,13 +256,14 @@ class NgramJoin:
         # sets whose sizes are within the ratio are in the same class or in neighbouring ones
         kept = posts.join(shared, "s", "left_semi").withColumn("g", F.lit(0).cast("long") if self.blocks else size_class)
         both = staged(kept.select("s", "row", "n", "g" if self.blocks else F.explode(F.array("g", F.col("g") + 1)).alias("g")), "columns")
+        both = self._distinct_columns(both, "distinct-columns")
         group, gap, eps = ["s", "g"], 1 - self.num / self.den, 1e-9
-        links, live, seen = None, both, []
-        for r in range(2):
-            if r == 0:
-                pivots = live.groupBy(*group).agg(F.min(F.struct("row", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-            else:
-                pivots = live.where("not settled").groupBy(*group).agg(F.min(F.struct("row", "n")).alias("p"))
+        links, live, seen, left = None, both.withColumn("met", F.lit(False)), [], None
+        for r in range(ROUNDS):
+            # by turns a row that has linked to no pivot yet, which may open a component, and one that has, to which more may
+            # link; the pivot leaves its column afterwards
+            one = F.struct("row", "n")
+            pivots = live.groupBy(*group).agg(F.coalesce(F.min(F.when(F.col("met") == F.lit(r % 2 == 1), one)), F.min(one)).alias("p"))
             near = live.join(pivots.select(*group, F.col("p.row").alias("pivot"), F.col("p.n").alias("pn")), group)
             near = staged(near, f"near-{r}")
             asked = near.where((F.col("row") != F.col("pivot")) & self._fits(F.col("n"), F.col("pn"))).select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b"), F.when(F.col("row") < F.col("pivot"), F.col("n")).otherwise(F.col("pn")).alias("na"), F.when(F.col("row") < F.col("pivot"), F.col("pn")).otherwise(F.col("n")).alias("nb")).distinct()
@@ -261,21 +274,21 @@ class NgramJoin:
             seen.append(counted)
             dist = counted.select("a", "b", F.col("lo").alias("dlo"), F.col("hi").alias("dhi"), self._meets().alias("linked"))
             # bounds of the distance to the pivot; where the sizes alone rule a link out they give the lower one
-            joined = near.join(dist, (F.least("row", "pivot") == F.col("a")) & (F.greatest("row", "pivot") == F.col("b")), "left")
-            is_pivot = F.col("row") == F.col("pivot")
-            sizes = 1 - F.least("n", "pn") / F.greatest("n", "pn")
-            lo, hi = F.when(is_pivot, F.lit(0.0)).otherwise(F.coalesce("dlo", sizes)), F.when(is_pivot, F.lit(0.0)).otherwise(F.coalesce("dhi", F.lit(1.0)))
-            was = live
-            live = joined.select(*group, "row", "n", *[f"{x}{i}" for i in range(r) for x in ("lo", "hi")], lo.alias(f"lo{r}"), hi.alias(f"hi{r}"), F.coalesce("linked", F.lit(False)).alias("settled"), is_pivot.alias("_pivot"))
+            joined = near.where("row <> pivot").join(dist, (F.least("row", "pivot") == F.col("a")) & (F.greatest("row", "pivot") == F.col("b")), "left")
+            sizes, linked, was = 1 - F.least("n", "pn") / F.greatest("n", "pn"), F.coalesce("linked", F.lit(False)), live
+            live = joined.select(*group, "row", "n", *[f"{x}{i}" for i in range(r) for x in ("lo", "hi")], F.coalesce("dlo", sizes).alias(f"lo{r}"), F.coalesce("dhi", F.lit(1.0)).alias(f"hi{r}"), (F.col("met") | linked).alias("met"), linked.alias("_now"))
             # the pivot has met every row of its column; one whose other rows are one alone, or all link to it, is done
-            live = live.where("not _pivot").drop("_pivot")
-            open_ = live.groupBy(*group).agg(F.bool_and("settled").alias("done"), F.count("*").alias("c")).where("not done and c > 1").select(*group)
-            live = staged(live.join(open_, group, "left_semi"), f"live-{r}")
+            open_ = live.groupBy(*group).agg(F.bool_and("_now").alias("done"), F.count("*").alias("c")).where("not done and c > 1").select(*group)
+            live = staged(live.join(open_, group, "left_semi").drop("_now"), f"live-{r}")
             discard(near, candidates, was)
+            before, left = left, live.groupBy(*group).agg((F.count_if(~F.col("met")) * F.count("*")).cast("double").alias("w")).agg(F.sum("w")).first()[0] or 0
+            if not left or (before is not None and left > before * (QUIT - 1) / QUIT):
+                break
+        rounds = r + 1
         labels = components(links)
         live = live.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
         many = live.groupBy(*group).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(*group)
-        was, live = live, staged(live.join(many, group, "left_semi"), "live")
+        was, live = live, self._distinct_columns(staged(live.join(many, group, "left_semi"), "live"), "live-distinct")
         discard(was, labels)
         # sketches join in, so that a pair which they rule out is never a row
         words = range(SKETCH_BITS // 64)
@@ -284,7 +297,7 @@ class NgramJoin:
         discard(was)
         u, v = live.alias("u"), live.alias("v")
         on = [F.col("u.s") == F.col("v.s"), F.col("u.g") == F.col("v.g"), F.col("u.row") < F.col("v.row"), F.col("u.label") != F.col("v.label"), self._fits(F.col("u.n"), F.col("v.n"))]
-        on += [F.col(f"{x}.lo{i}") - F.col(f"{y}.hi{i}") <= gap + eps for i in range(2) for x, y in ("uv", "vu")]
+        on += [F.col(f"{x}.lo{i}") - F.col(f"{y}.hi{i}") <= gap + eps for i in range(rounds) for x, y in ("uv", "vu")]
         flips = sum((F.bit_count(F.col(f"u.k{i}").bitwiseXOR(F.col(f"v.k{i}"))).cast("long") for i in words), F.lit(0).cast("long"))
         on += [flips * (self.den + self.num) <= (F.col("u.n") + F.col("v.n")) * (self.den - self.num)]
         cond = on[0]
