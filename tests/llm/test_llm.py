@@ -1,6 +1,7 @@
 """Small fixtures with nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables, against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -80,12 +81,40 @@ def test_warc(spark, tmp_path):
     assert {k: (v["record_type"], v["refers_to"]) for k, v in found.items()} == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), **{k: ("response", None) for k in (4, 5, 6, 7)}}
     assert all(found[i]["payload_digest"] == hashlib.sha1((h or "").encode()).hexdigest() and found[i]["payload_bytes"] == len((h or "").encode()) for i, _, h in rows)
     assert found[1]["urlkey"] == "com,a,www)/x" and found[2]["urlkey"] == "org,b:80)/p?q"
-    raw = warc.fetch(spark, found[3]["file"], found[3]["offset"], found[3]["length"])
-    assert next(warc.parse_archive(raw))[3] == big.encode()
+    again = {r["page_id"]: r for r in warc.read_records(warc.lookup(spark, str(tmp_path / "i"), caps.select("urlkey", "page_id"), asked=2)).collect()}
+    assert {k: v.asDict() for k, v in again.items()} == {k: {c: v for c, v in r.asDict().items() if c != "urlkey"} for k, r in found.items()}
     warc.write_archives(pages.limit(0), str(tmp_path / "w0"))
     assert warc.scan_archives(spark, str(tmp_path / "w0")).count() == 0
 
 
+def test_warc_repeats_and_damage(spark, tmp_path):
+    """Null and repeated page_ids, clashing columns, records over 16 MB, small parts and blocks; a damaged record is an error."""
+    import glob
+    import gzip
+
+    big = "<p>" + "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9000, 6_000_000)))
+    rows = [(None, "http://a.b/", "z" * 1500), (None, "http://a.b/", "z" * 1500), (4, "http://a.b/", "z" * 1500), (4, "http://a.b/", "z" * 1500), (4, "http://a.b/", "other"), (9, "http://c.d/", big), (10, "http://c.d/", big + "!")]
+    rows += [(100 + i, f"http://h{i % 7}.org/{i}", None) for i in range(2500)]
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, part int, file string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    caps = warc.staged(warc.scan_archives(spark, str(tmp_path / "w")), "caps")
+    assert caps.count() == len(rows)
+    warc.write_index(caps, str(tmp_path / "i"), part_lines=400)
+    found = warc.read_records(warc.lookup(spark, str(tmp_path / "i"), caps.select("urlkey", "page_id").union(spark.createDataFrame([("no,such)/", 5), ("", None), ("~~~", 1)], "urlkey string, page_id long")), asked=100))
+    tell = lambda df: sorted((str(r["page_id"]), r["payload_digest"], r["record_type"], str(r["refers_to"]), r["offset"]) for r in df.collect())
+    assert tell(found) == tell(caps)
+    kinds = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in caps.where("payload_bytes = 1500").collect())
+    assert kinds == [("4", "response", None)] * 2 + [("None", "revisit", 4)] * 2
+    file = next(f for f in glob.glob(str(tmp_path / "w" / "part-*")) if b"urn:page:4>" in gzip.open(f).read())
+    data = bytearray(open(file, "rb").read())
+    at, n = next((at, n) for at, n, heads, _, _ in warc.parse_archive(bytes(data)) if heads["WARC-Record-ID"] == "<urn:page:4>")
+    data[at + n // 2] ^= 255
+    with pytest.raises(ValueError):
+        list(warc.parse_archive(bytes(data)))
+    with pytest.raises(ValueError):
+        next(warc.parse_archive(bytes(data[at : at + n])))
+
+
 def test_line_dedup(spark, docs):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
     rows = [(r[0], (r[1] or "").split("\n")) for r in docs.select("doc_id", "text").collect()]
@@ -274,7 +303,6 @@ def test_quality(spark):
 
 def test_quality_brute_force(spark):
     """Models, weights, noise and the sample, computed in plain Python; with ties, repeated ids and clashing columns."""
-    import math
     import struct
 
     import xxhash
@@ -343,6 +371,27 @@ def test_vectors(spark):
     assert vector_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_length(spark):
+    """Huge, tiny and subnormal vectors link by their directions; repeated vec_ids and ties keep one component."""
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1e200], 1), (3, [3e-200, 3e-200], 1), (4, [5e-324, 5e-324], 1), (5, [1.0, -1.0], 1), (6, [1e-200, -1e-200], 1), (6, [2.0, -2.0], 1), (7, [1e308, 0.0], 2), (8, [1e-308, 0.0], 2)]
+    got = sorted(tuple(r) for r in vector_dedup.link_vectors(spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, label int, node string")).collect())
+    assert got == sorted([(1, 3, 1, True), *[(i, 3, 1, False) for i in (2, 3, 4)], (5, 2, 5, True), (6, 2, 5, False), (6, 2, 5, False), (7, 1, 7, True), (8, 1, 7, False)])
+
+
+@pytest.mark.parametrize("vectors", [1_000, 5_000_000, 10**9])
+def test_filter_recall(vectors):
+    """Random and near pairs share a filter, however many code words there are, and the filters of a vector stay few."""
+    n_words, rng = vector_dedup.words_for(vectors), np.random.default_rng(2)
+    a = rng.standard_normal((300, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    other = rng.standard_normal((300, 64))
+    other -= (other * a).sum(axis=1)[:, None] * a
+    b = 0.935 * a + math.sqrt(1 - 0.935**2) * other / np.linalg.norm(other, axis=1)[:, None]
+    fa, fb = vector_dedup.filters(a, vector_dedup.CAP, n_words), vector_dedup.filters(b, vector_dedup.CAP, n_words)
+    assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(fa, fb, strict=True)]) >= 0.9
+    assert np.mean([len(x) for x in fa]) < 400
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)], "a long, b long")
     assert {r["node"]: r["label"] for r in components(e).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 150: 100, 200: 100}
