@@ -15,6 +15,13 @@ def pretokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(PIECES), F.lit(0))
 
 
+def pieces_of(text: str) -> list[str]:
+    """The same pieces of one text on the driver."""
+    import regex
+
+    return regex.findall(r"<\|startoftext\|>|<\|endoftext\|>|\p{L}+|\p{N}+|[^\p{White_Space}\p{L}\p{N}]+", text.lower())
+
+
 MEMO, MEMO_CHARS = 100_000, 32
 
 

@@ -19,9 +19,10 @@ class SourceUnavailable(RuntimeError):
 
 
 def last_of_each(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Insert-or-replace: the last row of a key wins. max_by is a partial aggregate, so a hot key doesn't gather."""
-    others = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), order).alias("_last")).select(*key, "_last.*").select(*rows.columns)
+    """Insert-or-replace: the last row of a key wins; of rows with equal order the one whose other columns are greatest. max
+    is a partial aggregate, so a hot key doesn't gather. Columns have to be comparable (no maps)."""
+    others = [c for c in rows.columns if c not in key and c != order]
+    return rows.groupBy(*key).agg(F.max(F.struct(order, *others)).alias("_last")).select(*key, "_last.*").select(*rows.columns)
 
 
 def changed(model: str, old: str = "e", new: str = "s") -> Column:
@@ -35,6 +36,8 @@ def _fresh(model: str) -> dict[str, Column]:
 
 
 def _merged(scan: DataFrame, catalog: DataFrame, model: str, how: str) -> DataFrame:
+    # a scan that names a row twice means its last state
+    scan = last_of_each(scan, ["media_id"], "date_modified")
     j = scan.alias("s").join(catalog.alias("e"), F.col("s.media_id") == F.col("e.media_id"), how)
     fresh, seen = _fresh(model), F.col("s.media_id").isNotNull()
     is_new = seen & changed(model)

@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 _SESSIONS: dict[str, object] = {}
@@ -68,7 +69,7 @@ def embed(images: DataFrame, embedder: Embedder, batch: int = 8, normalize: bool
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if embedder.key not in _SESSIONS:
             _SESSIONS[embedder.key] = embedder.open()
-        session, done = _SESSIONS[embedder.key], 0
+        session, done = _SESSIONS[embedder.key], TaskContext.get().partitionId() << 33  # batches of all partitions differ
         for frame in frames:
             for at in range(0, len(frame), batch):
                 some, rows = frame.iloc[at : at + batch], []

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_MODEL, DEFAULT_BATCH, FALLBACK_DIM, FALLBACK_PIXELS = "mobileclip2-s0", 8, 512, 224
 
 
+# fixed values: the backends of each build flavour, in order
+BACKENDS = [("qnn", 0, "ort_qnn_pkg_cpu_auto_threads", "ORT CPU (QNN pkg)"), ("qnn", 1, "qnn_htp", "QNN HTP"), ("default", 0, "ort_cpu_auto_threads", "ORT CPU"), ("default", 1, "ort_nnapi_cpu_disabled", "ORT NNAPI")]
+
+
+def backend_list(spark: SparkSession, flavour: str) -> DataFrame:
+    """place, id, display_name of a flavour's backends; an unknown flavour has those of the default one."""
+    known = flavour if any(b[0] == flavour for b in BACKENDS) else "default"
+    return spark.createDataFrame([b[1:] for b in BACKENDS if b[0] == known], "place int, id string, display_name string").orderBy("place")
+
+
 class NoBackend(RuntimeError):
     pass
 
@@ -33,6 +45,29 @@ def merge_registry(templates: DataFrame, discovered: DataFrame) -> DataFrame:
     return j.select(pick("id"), pick("embedding_dim"), pick("text_encoder"), pick("image_file"), F.coalesce(F.col("f.found"), F.lit(False)).alias("found"), F.col("f.parse_error").alias("parse_error"))
 
 
+def with_fallback(merged: DataFrame) -> DataFrame:
+    """An entry whose configuration couldn't be parsed keeps its template's values, or else takes the fallback ones; it
+    stays in the list with its parse_error, and isn't available."""
+    broken = F.col("parse_error").isNotNull()
+    dim = F.when(broken, F.coalesce("embedding_dim", F.lit(FALLBACK_DIM))).otherwise(F.col("embedding_dim"))
+    pixels = F.when(broken & F.col("image_file").isNull(), F.lit(FALLBACK_PIXELS))
+    return merged.withColumns({"embedding_dim": dim, "image_pixels": pixels, "found": F.col("found") & ~broken})
+
+
+def write_templates(spark: SparkSession, templates: dict[str, dict], root: str) -> list[str]:
+    """Writes each template's model.json into a folder of its name where there is none yet; the names written."""
+    path, conf, done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name, config in templates.items():
+        to = path(f"{root.rstrip('/')}/{name}/model.json")
+        fs = to.getFileSystem(conf)
+        if not fs.exists(to):
+            out = fs.create(to, False)
+            out.write(bytearray(json.dumps(config, indent=2).encode()))
+            out.close()
+            done.append(name)
+    return done
+
+
 def required_files(image_file: Column, text_file: Column, tokenizer_file: Column, vocab: Column, merges: Column) -> tuple[Column, Column]:
     """Files that images and texts need: a text needs its encoder and one tokenizer file or vocabulary and merges."""
     tokenizer = F.when(tokenizer_file.isNotNull(), F.array(tokenizer_file)).otherwise(F.array(vocab, merges))

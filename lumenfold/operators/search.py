@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.vectors import DIGITS, clamp_threshold, literal, passes, score
 from lumenfold.schemas import PAGE_SIZE, RESULT_LIMIT
+from lumenfold.operators.catalog import fingerprint
+from lumenfold.operators.integrity import audit, loadable
+from lumenfold.schemas import INDEXED
 from lumenfold.sources.files import work_path
 
 
@@ -169,6 +172,10 @@ def should_load_more(last_visible: int, shown: int, ahead: int = 12) -> bool:
     return last_visible >= shown - 1 - ahead
 
 
+class CorruptIndex(RuntimeError):
+    """Catalog and vectors don't agree; the index has to be built anew."""
+
+
 class VectorCache:
     """A persisted snapshot of loadable vectors, reused while its fingerprint holds."""
 
@@ -181,6 +188,24 @@ class VectorCache:
             self.vectors, self.fingerprint = vectors.persist(), fingerprint
         return self.vectors
 
+    def checked(self, catalog: DataFrame, vectors: DataFrame, file_length: int) -> DataFrame:
+        """The loadable vectors of a catalog. Reused while its fingerprint holds; otherwise audited first. A corrupt catalog
+        clears the cache and raises; so does a payload in which vectors are missing."""
+        told = fingerprint(catalog, file_length).first()
+        mark = (told["indexed_record_count"], told["vector_file_length"])
+        if self.vectors is not None and self.fingerprint == mark:
+            return self.vectors
+        self.invalidate()
+        if audit(catalog, file_length).first()["is_corrupt"]:
+            raise CorruptIndex("duplicate or invalid vector rows")
+        wanted = loadable(catalog.where(F.col("status") == INDEXED), file_length).select("media_id", "vector_dim")
+        whole = vectors.join(wanted, "media_id").where(F.size("embedding") == F.col("vector_dim")).drop("vector_dim")
+        out = self.get(whole, mark)
+        if out.count() != wanted.count():
+            self.invalidate()
+            raise CorruptIndex("the payload is incomplete")
+        return out
+
     def warm(self, vectors: DataFrame, fingerprint: tuple[int, int], force: bool = False) -> int:
         if force:
             self.invalidate()

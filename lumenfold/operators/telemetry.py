@@ -36,6 +36,11 @@ def per_image(ms: Column, batch_size: Column) -> Column:
     return ms / F.greatest(batch_size, F.lit(1))
 
 
+def work_ms(prepared: Column, after: Column) -> Column:
+    """A batch's own time: preparing it, and everything behind that."""
+    return prepared + after
+
+
 def other_time(total: Column, *known: Column) -> Column:
     return F.greatest(F.lit(0.0), total - sum((F.coalesce(k, F.lit(0.0)) for k in known), F.lit(0.0)))
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.operators.catalog import mark_failed, mark_indexed
-from lumenfold.operators.embed import Embedder, embed
+from lumenfold.operators.embed import OUT, Embedder, embed
 from lumenfold.operators.integrity import assign_offsets
 from lumenfold.schemas import CATALOG, SCHEMA_VERSION, VECTORS
+from lumenfold.sources.files import work_path
 
+_MANIFEST = "version int, schema int, catalog int, vectors int, key string"
 FULL, SKIP, INCREMENTAL = "full", "skip", "incremental"
 
 
@@ -24,31 +26,48 @@ def plan_scan(forced: bool, table_rows: int, model_changed: bool, anchor: tuple[
 
 
 class Snapshots:
-    """Tables as folders name/v=N and a manifest per commit; vectors are written before the catalog that points at them."""
+    """Tables as folders name/v=N and a manifest per commit, which tells the version of each table: what a commit doesn't
+    change isn't written again. Vectors are written before the catalog that points at them, one writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def version(self) -> int:
+    def manifests(self) -> DataFrame:
         try:
-            return self.spark.read.text(f"{self.root}/manifest/*").agg(F.max(F.get_json_object("value", "$.version").cast("int"))).first()[0] or 0
+            return self.spark.read.text(f"{self.root}/manifest/*").select(F.from_json("value", _MANIFEST).alias("m")).select("m.*")
         except AnalysisException:
-            return 0
+            return self.spark.createDataFrame([], _MANIFEST)
+
+    def latest(self) -> dict:
+        found = self.manifests().orderBy(F.desc("version")).first()
+        return {"version": 0, "catalog": 0, "vectors": 0} if found is None else found.asDict()
+
+    def version(self) -> int:
+        return self.latest()["version"]
 
     def read(self, name: str, schema) -> DataFrame:
-        v = self.version()
+        v = self.latest()[name]
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={v}") if v else self.spark.createDataFrame([], schema)
 
     def write(self, name: str, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
 
-    def commit(self, catalog: DataFrame, vectors: DataFrame) -> int:
-        v = self.version() + 1
-        self.write("vectors", vectors, v)
-        self.write("catalog", catalog, v)
-        line = json.dumps({"version": v, "schema": SCHEMA_VERSION})
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/v={v}")
-        return v
+    def commit(self, catalog: DataFrame, vectors: DataFrame | None = None, key: str | None = None) -> int:
+        """The new version; without vectors those of the last one stay. A key that was committed before changes nothing."""
+        from lumenfold.plans.jobs import single_flight
+
+        with single_flight(self.spark, self.root, "commit"):
+            done = self.manifests().where(F.col("key") == key).first() if key is not None else None
+            if done is not None:
+                return done["version"]
+            last = self.latest()
+            v = last["version"] + 1
+            if vectors is not None:
+                self.write("vectors", vectors, v)
+            self.write("catalog", catalog, v)
+            line = json.dumps({"version": v, "schema": SCHEMA_VERSION, "catalog": v, "vectors": last["vectors"] if vectors is None else v, "key": key})
+            self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/v={v}")
+            return v
 
     def catalog(self) -> DataFrame:
         return self.read("catalog", CATALOG)
@@ -57,13 +76,17 @@ class Snapshots:
         return self.read("vectors", VECTORS)
 
 
-def index_rows(catalog: DataFrame, vectors: DataFrame, images: DataFrame, status: str, embedder: Embedder, model: str, now: int, batch: int = 8, granularity: str = "record") -> tuple[DataFrame, DataFrame]:
+def index_rows(catalog: DataFrame, vectors: DataFrame, images: DataFrame, status: str, embedder: Embedder, model: str, now: int, batch: int = 8, granularity: str = "record", only: int | None = None) -> tuple[DataFrame, DataFrame]:
     """New catalog and vectors after embedding all rows of a status in one job. images: media_id, tensor.
 
-    Rows without an image fail. Re-indexed vectors replace the old ones, so a snapshot holds no orphans.
+    Rows without an image fail. Re-indexed vectors replace the old ones, so a snapshot holds no orphans. only: one row alone.
+    Embeddings are written before they are used, so a lost executor embeds nothing again.
     """
     todo = catalog.where(F.col("status") == status).select("media_id")
-    done = embed(todo.join(images, "media_id"), embedder, batch, granularity=granularity).persist()
+    todo = todo if only is None else todo.where(F.col("media_id") == only)
+    path = work_path(catalog.sparkSession, "embedded")
+    embed(todo.join(images, "media_id"), embedder, batch, granularity=granularity).write.parquet(path)
+    done = catalog.sparkSession.read.schema(OUT).parquet(path)
     ok = done.where("error is null").select("media_id", "embedding")
     base = catalog.agg(F.coalesce(F.max(F.col("vector_offset") + F.col("vector_dim").cast("long") * 4), F.lit(0))).first()[0]
     placed = assign_offsets(ok.select("media_id"), max(base, 0), embedder.dim)

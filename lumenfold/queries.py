@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import imaging, scalars, text, vectors
-from lumenfold.operators import cache, catalog, integrity, models, search, telemetry
+from lumenfold.operators import cache, catalog, integrity, models, search, telemetry, textquery
 from lumenfold.sources import files, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -396,22 +396,28 @@ def bpe_encode_texts(spark, d):
     return texts.select("table", "id", "turn", text.bpe_encode(F.col("text"), bpe).alias("ids"))
 
 
-_PIXELS = ([-65536, 128], [0.0, 0.0, 0.0], [1.0, 1.0, 1.0])
+_MEAN, _STD = (0.48, 0.45, 0.40), (0.25, 0.5, 0.125)
 
 
-def _tensor(spark, layout):
-    p = spark.createDataFrame([_PIXELS], "pixels array<int>, mean array<double>, std array<double>")
-    return p.select(F.posexplode(imaging.tensor(F.col("pixels"), F.col("mean"), F.col("std"), layout)).alias("pos", "x")).select("pos", F.round("x", 6).alias("x"))
+def _tensor(spark, d, layout):
+    """Of each document an image of two by three pixels, made of its id."""
+    ids = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: ((F.col("doc_id") * 7919 + i * 104729 + 40503) % (1 << 24)).cast("int"))
+    rows = ids.select("doc_id", imaging.tensor(pixels, F.array(*map(F.lit, _MEAN)), F.array(*map(F.lit, _STD)), layout).alias("t"))
+    return rows.select("doc_id", F.transform("t", lambda x: F.round(x, 6)).alias("tensor"), imaging.tensor_shape(layout, F.lit(1), F.lit(3), F.lit(3), F.lit(2)).alias("shape"))
 
 
-@register("SELECT * FROM (VALUES (0, 1.0::DOUBLE), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0.501961)) t(pos, x)")
+_PLANES = "WITH p AS (SELECT doc_id, list_transform(range(0, 6), lambda i: (doc_id * 7919 + i * 104729 + 40503) % 16777216) AS px FROM documents), c AS (SELECT doc_id, " + ", ".join(f"list_transform(px, lambda v: round((((v >> {shift}) & 255)::DOUBLE / 255.0::DOUBLE - {m}::DOUBLE) / {sd}::DOUBLE, 6)) AS {n}" for n, shift, m, sd in zip("rgb", (16, 8, 0), _MEAN, _STD)) + " FROM p) "
+
+
+@register(_PLANES + "SELECT doc_id, list_concat(list_concat(r, g), b) AS tensor, [1, 3, 3, 2]::BIGINT[] AS shape FROM c")
 def tensor_nchw(spark, d):
-    return _tensor(spark, "NCHW")
+    return _tensor(spark, d, "NCHW")
 
 
-@register("SELECT * FROM (VALUES (0, 1.0::DOUBLE), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0.501961)) t(pos, x)")
+@register(_PLANES + "SELECT doc_id, flatten(list_transform(range(1, 7), lambda i: [r[i], g[i], b[i]])) AS tensor, [1, 3, 2, 3]::BIGINT[] AS shape FROM c")
 def tensor_nhwc(spark, d):
-    return _tensor(spark, "NHWC")
+    return _tensor(spark, d, "NHWC")
 
 
 @register("SELECT vec_id, embedding, 256 AS bytes FROM embeddings")
@@ -455,3 +461,51 @@ def keys_compose(spark, d):
 @register("SELECT doc_id, substring(text, 1, 400) AS error, substring(text, 1, 120) AS message FROM documents")
 def error_truncate(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", scalars.clipped(F.col("text")).alias("error"), scalars.clipped(F.col("text"), 120).alias("message"))
+
+
+@register(_M + "SELECT media_id, CAST(floor(vector_offset / 4.0) AS BIGINT) AS float_index, lower(to_hex(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(uri, ''), lambda c: ord(c)::BIGINT)), lambda h, u: (h * 31 + u) % 4294967296))) AS media_key FROM m")
+def media_keys(spark, d):
+    return media(spark, d).select("media_id", vectors.float_index(F.col("vector_offset")).alias("float_index"), scalars.string_hash_hex(F.col("uri")).alias("media_key"))
+
+
+_RETRY = "CAST(10 + sum(n_ok) OVER u AS BIGINT) AS indexed, CAST(500 AS BIGINT) AS pending, CAST(300 - sum(n_ok) OVER u AS BIGINT) AS failed"
+
+
+@register(_BATCHES + f"SELECT run_id, batch_id, {_RETRY} FROM t WINDOW u AS (PARTITION BY run_id ORDER BY completed_ms, batch_id)")
+def telemetry_retry(spark, d):
+    return telemetry.running(_batches(spark, d), 10, 500, 300, retry=True).select("run_id", "batch_id", "indexed", F.col("pending").cast("long").alias("pending"), "failed")
+
+
+_IMAGES = "SELECT CAST(floor(event_id / 8) AS BIGINT) AS batch_id, event_id AS place, 'k' || event_id AS media_key, user_id % 10 AS decode_ms, event_id % 5 AS tensor_ms FROM events"
+
+
+@register(f"WITH i AS ({_IMAGES}) SELECT batch_id, CAST(sum(decode_ms) AS BIGINT) AS decode_ms, CAST(sum(tensor_ms) AS BIGINT) AS tensor_ms, string_agg(media_key, '+' ORDER BY place) AS media_keys, CAST(sum(decode_ms) + sum(tensor_ms) AS BIGINT) AS work_ms FROM i GROUP BY batch_id")
+def telemetry_batch_timings(spark, d):
+    _tables(spark, d, "events")
+    return telemetry.batch_timings(spark.sql(_IMAGES)).withColumn("work_ms", telemetry.work_ms(F.col("decode_ms"), F.col("tensor_ms")))
+
+
+_LOG_NULL = ", ".join(f"'' AS {c}" for c in ("prep_ms", "decode_ms", "tensor_ms", "write_ms"))
+
+
+@register(_BATCHES + f"SELECT CAST(completed_ms AS VARCHAR) AS timestamp_ms, CAST(n_ok AS VARCHAR) AS indexed, '0' AS pending, CAST(n_failed AS VARCHAR) AS failed, CAST(n AS VARCHAR) AS batch_size, CASE WHEN wall_ms > 0 THEN format('{{:.3f}}', n * 1000.0::DOUBLE / wall_ms) ELSE '' END AS e2e_ips, CASE WHEN infer_ms > 0 THEN format('{{:.3f}}', n * 1000.0::DOUBLE / infer_ms) ELSE '' END AS infer_ips, format('{{:.3f}}', (completed_ms - started_ms)::DOUBLE) AS batch_ms, format('{{:.3f}}', (completed_ms - started_ms)::DOUBLE) AS work_ms, format('{{:.3f}}', wall_ms::DOUBLE) AS wall_ms, format('{{:.3f}}', infer_ms::DOUBLE) AS infer_ms, {_LOG_NULL}, 'cpu' AS backend, 'run ' || run_id AS status FROM w")
+def telemetry_log_lines(spark, d):
+    b = telemetry.throughput(telemetry.wall_times(_batches(spark, d))).withColumns({"timestamp_ms": F.col("completed_ms"), "indexed": F.col("n_ok"), "pending": F.lit(0), "failed": F.col("n_failed"), "batch_size": F.col("n"), "batch_ms": F.col("completed_ms") - F.col("started_ms"), "work_ms": F.col("completed_ms") - F.col("started_ms"), "backend": F.lit("cpu"), "status": F.concat(F.lit("run "), F.col("run_id").cast("string"))})
+    return telemetry.log_lines(b.withColumns({c: F.lit(None).cast("double") for c in ("prep_ms", "decode_ms", "tensor_ms", "write_ms")}))
+
+
+#: A scan that names rows up to three times, in any order.
+_TWICE = f"{SCAN.replace('UNION ALL', ' UNION ALL SELECT doc_id, concat(' + chr(39) + 'again' + chr(39) + ', CAST(doc_id AS STRING)), source, lang, 1, 2, n_chars, 0, CAST(1700000000 + (doc_id * 31) % 997 AS BIGINT) FROM documents WHERE doc_id % 5 = 0 UNION ALL', 1)}"
+_LAST = "l AS (SELECT media_id, max(struct_pack(a := date_modified, b := uri)) AS last FROM s GROUP BY media_id)"
+
+
+@register(f"WITH m AS ({MEDIA.replace('STRING', 'VARCHAR')}), s AS ({_TWICE.replace('STRING', 'VARCHAR')}), {_LAST} SELECT coalesce(l.media_id, m.media_id) AS media_id, count(*) AS n_rows, max(CASE WHEN l.media_id IS NULL THEN m.date_modified ELSE l.last.a END) AS date_modified FROM l FULL JOIN m ON l.media_id = m.media_id GROUP BY ALL")
+def sync_repeated_scan(spark, d):
+    _tables(spark, d, "documents")
+    out = catalog.upsert(spark.sql(_TWICE), media(spark, d), "m:v1")
+    return out.groupBy("media_id").agg(F.count("*").alias("n_rows"), F.max("date_modified").alias("date_modified"))
+
+
+@register(_M + "SELECT media_id, status, indexed_at, CASE WHEN status = 'indexed' THEN 'NaN'::DOUBLE END AS score FROM (SELECT * FROM m WHERE status = 'indexed' ORDER BY date_modified DESC, media_id DESC LIMIT 600)")
+def text_blank_recent(spark, d):
+    return textquery.search_text(media(spark, d), stored(spark, d), textquery.TextSession(), " \t\n").select("media_id", "status", "indexed_at", "score")

@@ -85,7 +85,11 @@ def file_length(spark: SparkSession, path: str) -> int:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new folder in spark.checkpoint.dir, which all executors share; one of our own is made only where none is set (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lumenfold-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
     return f"{root.rstrip('/')}/lumenfold/{name}-{uuid.uuid4().hex}"
 
 

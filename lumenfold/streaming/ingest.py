@@ -13,11 +13,11 @@ from lumenfold.schemas import SCAN
 
 def upsert_stream(spark: SparkSession, folder: str, store: Snapshots, model: str, checkpoint: str) -> StreamingQuery:
     """Drains what is there and stops (availableNow); the checkpoint is the anchor for the next run. A batch that is
-    replayed after a failure changes nothing, as an unchanged row is left as it is."""
+    replayed after a failure changes nothing, as its commit is known by its number. Vectors aren't written again."""
 
     def take(batch: DataFrame, epoch: int) -> None:
         rows = last_of_each(batch, ["media_id"], "date_modified")
-        store.commit(upsert(rows, store.catalog(), model), store.vectors())
+        store.commit(upsert(rows, store.catalog(), model), key=f"{checkpoint}#{epoch}")
 
     return spark.readStream.schema(SCAN).parquet(folder).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

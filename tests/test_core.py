@@ -5,6 +5,7 @@ import math
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,130 @@ def test_index_job_and_stream(spark, tmp_path):
     assert integrity.audit(store.catalog(), 32).first()["is_corrupt"] is False
     upsert_stream(spark, str(tmp_path / "scan" / "*"), store, "m:v1", str(tmp_path / "ck")).awaitTermination()
     assert store.version() == 2
+
+
+def test_settings_and_anchor(spark, tmp_path):
+    from lumenfold.plans.settings import Settings
+
+    s = Settings(spark, str(tmp_path))
+    assert s.get("threshold") == 0.0 and s.anchor() is None
+    s.put(threshold=0.9, preload_text=True)
+    s.put(threshold=-1.0)
+    s.keep_anchor((17, 5))
+    s.keep_anchor(None)
+    assert (s.get("threshold"), s.get("preload_text"), s.anchor()) == (0.0, True, (17, 5))
+    s.put(threshold=0.9)
+    assert s.get("threshold") == 0.5
+
+
+def test_jobs(spark, tmp_path):
+    """One job at a time, replayed commits, retries, rebuild after corruption, checked vectors."""
+    from lumenfold.operators.embed import HashEmbedder, embed
+    from lumenfold.operators.integrity import check_append
+    from lumenfold.operators.search import CorruptIndex, VectorCache
+    from lumenfold.plans import jobs
+
+    store, scan_rows = Snapshots(spark, str(tmp_path / "s")), [(i, f"u{i}", "n", "m", 1, 1, 10, 5, 100 + i) for i in range(6)]
+    frame = spark.createDataFrame(scan_rows, schemas.SCAN)
+    first = store.commit(catalog.upsert(frame, store.catalog(), "m:v1"), store.vectors(), key="a")
+    assert store.commit(store.catalog(), key="a") == first and store.version() == first
+    with jobs.single_flight(spark, store.root, "index"):
+        with pytest.raises(jobs.AlreadyRunning), jobs.single_flight(spark, store.root, "index"):
+            pass
+    with jobs.single_flight(spark, store.root, "index", take_over=True):
+        pass
+    images = spark.createDataFrame([(i, [float(i)] * 4) for i in range(5)], "media_id long, tensor array<float>")
+    store.commit(*index_rows(store.catalog(), store.vectors(), images, "pending", HashEmbedder(4, fails_below=2.0), "m:v1", 7))
+    state = lambda: {r["media_id"]: (r["status"], r["retry_count"]) for r in store.catalog().collect()}
+    assert state() == {0: ("failed", 1), 1: ("failed", 1), 2: ("indexed", 0), 3: ("indexed", 0), 4: ("indexed", 0), 5: ("failed", 1)}
+    jobs.retry_failed(store, images, HashEmbedder(4), "m:v1", 8, media_id=1)
+    assert state()[1] == ("indexed", 1) and state()[0] == ("failed", 1)
+    jobs.retry_failed(store, images, HashEmbedder(4), "m:v1", 9)
+    assert state()[0] == ("indexed", 1) and state()[5] == ("failed", 2)
+    before = store.latest()
+    store.commit(store.catalog())
+    assert store.latest()["vectors"] == before["vectors"] and store.latest()["catalog"] == before["catalog"] + 1
+    cache, length = VectorCache(), 5 * 16
+    vectors = cache.checked(store.catalog(), store.vectors(), length)
+    assert vectors.count() == 5 and cache.checked(store.catalog(), store.vectors(), length) is vectors
+    with pytest.raises(CorruptIndex):
+        cache.checked(store.catalog(), store.vectors().where("media_id > 2"), length + 4)
+    with pytest.raises(CorruptIndex):
+        cache.checked(store.catalog(), store.vectors(), 16)
+    assert cache.vectors is None
+    assert not jobs.rebuild_if_corrupt(store, frame, "m:v1", length) and jobs.rebuild_if_corrupt(store, frame, "m:v1", 16)
+    assert set(state().values()) == {("pending", 0)} and store.vectors().count() == 0
+    done = embed(images.repartition(3), HashEmbedder(4, fails_below=2.0), batch=2)
+    rows = jobs.progress(done).collect()
+    assert sum(r["n"] for r in rows) == 5 and max(r["n"] for r in rows) <= 2 and sum(r["n_failed"] for r in rows) == 2
+    whole = jobs.progress(embed(images.coalesce(1), HashEmbedder(4, fails_below=2.0), batch=5, granularity="batch")).collect()
+    assert [(r["n"], r["n_ok"]) for r in whole] == [(5, 0)]
+    for bad in ((0, 1, 4), (4, -1, 4), (4, 2, 7)):
+        with pytest.raises(ValueError):
+            check_append(*bad)
+    check_append(4, 2, 8)
+
+
+def test_text_query(spark):
+    from lumenfold.functions.text import Bpe, pieces_of, pretokenize
+    from lumenfold.operators.textquery import TextSession, search_text
+
+    class Model:
+        dim, opened, asked = 2, 0, []
+
+        def open(self):
+            Model.opened += 1
+
+        def embed(self, session, ids):
+            Model.asked.append(ids.tolist())
+            return np.array([[3.0, 4.0]])
+
+    bpe = Bpe({"<|startoftext|>": 10, "<|endoftext|>": 11, "l": 0, "o": 1, "w</w>": 3, "lo": 4, "low</w>": 5}, {("l", "o"): 0, ("lo", "w</w>"): 1}, max_length=5)
+    session = TextSession()
+    with pytest.raises(RuntimeError):
+        session.vector("low")
+    for _ in range(2):
+        session.preload("m:v1", Model(), bpe)
+    assert session.vector("LOW") == session.vector("LOW") == pytest.approx([0.6, 0.8]) and Model.opened == 1 and Model.asked == [[[10, 5, 11, 0, 0]]]
+    rows = spark.createDataFrame([(i, "u", "n", "m", 1, 1, 1, 1, i, "indexed", i * 8, 2, 1, "m:v1", None, 0) for i in range(3)], schemas.CATALOG)
+    vectors = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.6, 0.8], 8), (2, [0.0, 1.0], 16)], "media_id long, embedding array<float>, vector_offset long")
+    assert [r["media_id"] for r in search_text(rows, vectors, session, "LOW", 2).collect()] == [1, 2]
+    assert [r["media_id"] for r in search_text(rows, vectors, session, "  ").collect()] == [2, 1, 0]
+    session.preload("m:v2", Model(), bpe)
+    assert Model.opened == 2 and session.cache.get("LOW") is None
+    odd = ["Don't  café 2024 ½ a\u00a0b <|startoftext|>x!! 日本語", "", "\t\u2003a_b\x85c"]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select(pretokenize(F.col("t")).alias("p")).collect()
+    assert [list(r["p"]) for r in got] == [pieces_of(t) for t in odd]
+
+
+def test_model_entries(spark, tmp_path):
+    import json
+
+    from lumenfold.operators import models
+    from lumenfold.sources import files
+
+    assert models.write_templates(spark, {"a": {"id": "a"}, "b": {"id": "b"}}, str(tmp_path)) == ["a", "b"]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "model.json").write_text("{ not json")
+    assert models.write_templates(spark, {"a": {"id": "x"}, "b": {}}, str(tmp_path)) == [] and json.loads((tmp_path / "a" / "model.json").read_text()) == {"id": "a"}
+    configs = {r["directory"]: r["parse_error"] for r in files.model_configs(spark, str(tmp_path)).collect()}
+    assert configs["c"] == "malformed JSON" and configs["a"].startswith("missing: displayName")
+    s = "id string, embedding_dim int, text_encoder string, image_file string"
+    t = spark.createDataFrame([("known", 256, None, "i.onnx")], s)
+    f = spark.createDataFrame([("known", None, None, None, True, "malformed JSON"), ("odd", None, None, None, True, "malformed JSON"), ("fine", 64, "t", "j.onnx", True, None)], s + ", found boolean, parse_error string")
+    got = {r["id"]: (r["embedding_dim"], r["image_pixels"], r["found"]) for r in models.with_fallback(models.merge_registry(t, f)).collect()}
+    assert got == {"known": (256, None, False), "odd": (512, 224, False), "fine": (64, None, True)}
+    assert [r["id"] for r in models.backend_list(spark, "qnn").collect()] == ["ort_qnn_pkg_cpu_auto_threads", "qnn_htp"]
+    assert [r["id"] for r in models.backend_list(spark, "other").collect()][1] == "ort_nnapi_cpu_disabled"
+    rows = spark.createDataFrame([("b", True), ("a", False)], "id string, available boolean")
+    assert models.chosen(rows, "a").first()["id"] == "a" and models.chosen(rows, "none").first()["id"] == "b"
+
+
+def test_raw_vector_file(spark, tmp_path):
+    from lumenfold.sources import files
+
+    v = np.arange(9000 * 3, dtype="<f4").reshape(-1, 3)
+    (tmp_path / "v.bin").write_bytes(v.tobytes() + b"xx")
+    got = files.raw_vectors(spark, str(tmp_path / "v.bin"), 3).orderBy("vector_offset").collect()
+    assert len(got) == 9000 and got[8999]["vector_offset"] == 8999 * 12 and got[8999]["embedding"] == v[8999].tolist()
+    assert files.file_length(spark, str(tmp_path / "v.bin")) == v.nbytes + 2
