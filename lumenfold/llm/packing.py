@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import documents, staged
-from lumenfold.llm.tokens import encoder, in_chunks
+from lumenfold.llm.tokens import ROWS, encoder, in_chunks
 
 #: In the second try, pieces up to a SMALL_PART-th of a sequence wait until the longer ones are packed.
 SIZE, PIECES_A_TASK, SMALL_PART = 2048, 20_000, 6
@@ -35,7 +35,7 @@ def _cut(tokenizer: str, end_id: int, size: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in in_chunks(texts):
                 rows = []

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lumenfold.llm.common import documents, shuffle_partitions, staged, work_path
 from lumenfold.llm.token_codec import BLOCK_TOKENS, decode_blocks, encode_blocks
-from lumenfold.llm.tokens import encoder, in_chunks
+from lumenfold.llm.tokens import ROWS, encoder, in_chunks
 
 #: Blocks coded in one lockstep run: bounds a task's memory to some 150 MB, whatever the partition holds.
 LANES = 1024
@@ -70,7 +70,7 @@ def _writer(tokenizer: str, end_id: int, block_tokens: int, lanes: int):
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_STORE)
 
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in in_chunks(texts):
                 for name, got in zip(names[i:j], encoder(tokenizer).encode(texts[i:j]), strict=True):

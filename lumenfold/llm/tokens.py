@@ -20,6 +20,8 @@ from lumenfold.llm.common import MEMO_ENTRIES, memo
 
 #: Units of a generation take some 40 bytes each.
 MEMO_CHARS, GENERATION = 32, 250_000
+#: Rows of an Arrow batch that are Python strings at a time.
+ROWS = 1000
 #: Set between units where the vocabulary drops spaces; a lone control character is one id of its own.
 MARK = "\x01"
 #: A word of Latin letters and the punctuation behind it (no apostrophe, which may open a contraction): two pre-tokens.
@@ -212,7 +214,7 @@ def encoder(path: str) -> UnitEncoder:
     return memo("tokens", path, lambda: UnitEncoder(path))
 
 
-def in_chunks(texts: list[str], chars: int = 4 << 20):
+def in_chunks(texts: list[str], chars: int = 2 << 20):
     """Slices of texts of some chars together, a longer text alone: units repeat within a slice, and its arrays stay small."""
     at, held = 0, 0
     for i, t in enumerate(texts):
