@@ -124,44 +124,42 @@ def read_fragments(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     return spark.read.schema(STORE).parquet(path).select("part", "start", "docs", "coded").mapInArrow(_reader(with_ids), out)
 
 
-@lru_cache(maxsize=4096)
-def _shift(n_bytes: int) -> tuple[int, ...]:
-    """The GF(2) matrix that appends n_bytes zero bytes to a CRC-32, as 32 columns."""
-    times = lambda m, v: _apply(m, v)
-    one = (0xEDB88320, *(1 << k for k in range(31)))
-    step = one
-    for _ in range(3):
-        step = tuple(times(step, c) for c in step)
-    out = tuple(1 << k for k in range(32))
-    while n_bytes:
-        if n_bytes & 1:
-            out = tuple(times(step, c) for c in out)
-        step = tuple(times(step, c) for c in step)
-        n_bytes >>= 1
-    return out
-
-
-def _apply(matrix: tuple[int, ...], vector: int) -> int:
-    out, k = 0, 0
-    while vector:
-        if vector & 1:
-            out ^= matrix[k]
-        vector >>= 1
-        k += 1
-    return out
-
-
-def crc32_concat(parts: list[tuple[int, int]]) -> int:
-    """CRC-32 of a concatenation from the (crc, bytes) of its parts."""
-    crc = 0
-    for c, n in parts:
-        crc = _apply(_shift(n), crc) ^ c if n else crc
-    return crc
+def _append(table: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return table[0, v & 255] ^ table[1, v >> 8 & 255] ^ table[2, v >> 16 & 255] ^ table[3, v >> 24]
+
+
+@lru_cache(maxsize=1)
+def _appends() -> list[np.ndarray]:
+    """By k, what 2**k zero bytes behind make of a CRC-32: a table for each byte of it (the map is linear over GF(2))."""
+    columns, tables = np.array([0xEDB88320, *(1 << k for k in range(31))], np.uint32), []  # a zero bit behind
+    for _ in range(3 + 48):
+        table = np.zeros((4, 256), np.uint32)
+        for c, column in enumerate(columns):
+            bit = 1 << c % 8
+            table[c // 8, bit : 2 * bit] = table[c // 8, :bit] ^ column
+        columns = _append(table, columns)  # twice as many
+        tables.append(table)
+    return tables[3:]
+
+
+def crc32_concat(crcs: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """CRC-32 of each concatenation from those of its parts and their bytes; starts: where each one's parts begin."""
+    ends = np.cumsum(sizes)
+    last = np.append(starts[1:], len(sizes)) - 1
+    behind, v = np.repeat(ends[last], np.diff(starts, append=len(sizes))) - ends, crcs.astype(np.uint32)
+    for k, table in enumerate(_appends()):
+        on = np.flatnonzero(behind >> k & 1)
+        if len(on):
+            v[on] = _append(table, v[on])
+    return np.bitwise_xor.reduceat(v, starts)
 
 
 @F.pandas_udf(T.LongType())
-def _joined_crc(parts: pd.Series) -> pd.Series:
-    return parts.map(lambda p: crc32_concat([(x["crc"], 4 * x["n"]) for x in p]))
+def _joined_crc(crcs: pd.Series, sizes: pd.Series) -> pd.Series:
+    if not len(crcs):
+        return pd.Series([], dtype="int64")
+    starts = np.cumsum([0, *(len(c) for c in crcs.iloc[:-1])])
+    return pd.Series(crc32_concat(np.concatenate(crcs.to_list()), np.concatenate(sizes.to_list()).astype(np.int64) * 4, starts).astype(np.int64))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -172,7 +170,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         got.where("not whole")
         .groupBy("part", "seq")
         .agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum(F.col("n").cast("long")).alias("n_tokens"), F.sort_array(F.collect_list(F.struct(F.col("start").alias("at"), "n", "crc"))).alias("parts"))
-        .select("part", "doc_id", "start", "n_tokens", _joined_crc("parts").alias("ids_crc32"))
+        .select("part", "doc_id", "start", "n_tokens", _joined_crc("parts.crc", "parts.n").alias("ids_crc32"))
     )
     totals = spark.read.schema(STORE).parquet(path).groupBy("part").agg(F.sum(F.col("n_tokens").cast("long")).alias("n")).collect()  # a row per file
     base, rows = 0, []

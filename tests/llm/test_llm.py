@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -53,6 +54,15 @@ def test_units_equal_whole_texts(name):
     assert e.encode(texts) == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_crc32_concat():
+    draw = random.Random(5)
+    whole = [[draw.randbytes(draw.choice([0, 1, 4, 300, 8192, 65537])) for _ in range(draw.randint(1, 6))] for _ in range(60)]
+    parts = [p for w in whole for p in w]
+    starts = np.cumsum([0, *(len(w) for w in whole[:-1])])
+    got = token_store.crc32_concat(np.array([zlib.crc32(p) for p in parts]), np.array([len(p) for p in parts]), starts)
+    assert got.tolist() == [zlib.crc32(b"".join(w)) for w in whole]
+
+
 @pytest.mark.parametrize("lanes", [token_store.LANES, 3])
 def test_token_store(spark, docs, tmp_path, lanes):
     """With 3 lanes of 64 ids a task flushes many times, and long documents span flushes."""
