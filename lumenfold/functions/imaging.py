@@ -18,12 +18,14 @@ def channel(pixels: Column, shift: int, mean: Column, std: Column) -> Column:
 
 
 def tensor(pixels: Column, mean: Column, std: Column, layout: str = "NCHW", channels: int = 3) -> Column:
-    """Floats of one image of packed ARGB ints; alpha is ignored. Under 3 channels drops green and blue."""
+    """Floats of one image of packed ARGB ints; alpha is ignored. Under 3 channels drops green and blue. Of a null image null,
+    of an empty one no floats."""
     m, s = triplet(mean, 0.0), triplet(std, 1.0)
     planes = [channel(pixels, shift, m[i], s[i]) for i, shift in enumerate((16, 8, 0))][: max(1, min(channels, 3)) if channels >= 3 else 1]
     if layout == "NCHW":
         return F.flatten(F.array(*planes, *[F.transform(pixels, lambda _: F.lit(0.0)) for _ in range(channels - 3)]))
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(pixels)), lambda i: F.array(*[F.element_at(p, i) for p in planes])))
+    zipped = F.arrays_zip(*[p.alias(f"c{i}") for i, p in enumerate(planes)])
+    return F.flatten(F.transform(zipped, lambda z: F.array(*[z[f"c{i}"] for i in range(len(planes))])))
 
 
 def tensor_shape(layout: str, batch: Column, channels: Column, height: Column, width: Column) -> Column:
@@ -32,11 +34,13 @@ def tensor_shape(layout: str, batch: Column, channels: Column, height: Column, w
 
 
 def resize(pixels: Column, width: Column, height: Column, to_width: int, to_height: int) -> Column:
-    """Bilinear stretch of row-major ARGB pixels, each channel on its own; the aspect ratio isn't kept."""
+    """Bilinear stretch of row-major ARGB pixels, each channel on its own; the aspect ratio isn't kept. Null where the image
+    or a side is null, a side isn't positive, or the pixels aren't width times height."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(p: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([_stretch(np.asarray(a, np.int64), int(b), int(c), to_width, to_height) for a, b, c in zip(p, w, h, strict=True)])
+        fits = [a is not None and not pd.isna(b) and not pd.isna(c) and b > 0 and c > 0 and len(a) == b * c for a, b, c in zip(p, w, h, strict=True)]
+        return pd.Series([_stretch(np.asarray(a, np.int64), int(b), int(c), to_width, to_height) if ok else None for ok, a, b, c in zip(fits, p, w, h, strict=True)])
 
     return run(pixels, width, height)
 

@@ -1,4 +1,8 @@
-"""Embedding as Arrow batches: a pluggable embedder, one session per Python worker, batch- or record-wise failure."""
+"""Embedding as Arrow batches: a pluggable embedder, leased sessions per Python worker, batch- or record-wise failure.
+
+A record without a tensor fails alone ("no image"), whatever the granularity, as it never reaches the model; so does one
+for which the model gives a value that isn't finite. Other errors fail the record, or its batch.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-_SESSIONS: dict[str, object] = {}
+from lumenfold.operators.sessions import SESSIONS
+
 OUT = "media_id long, batch_id long, embedding array<float>, error string"
 
 
@@ -67,29 +72,43 @@ def embed(images: DataFrame, embedder: Embedder, batch: int = 8, normalize: bool
     """media_id, batch_id, embedding or error. images: media_id, tensor. With granularity "batch" an error fails its batch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if embedder.key not in _SESSIONS:
-            _SESSIONS[embedder.key] = embedder.open()
-        session, done = _SESSIONS[embedder.key], TaskContext.get().partitionId() << 33  # batches of all partitions differ
+        done = TaskContext.get().partitionId() << 33  # batches of all partitions differ
         for frame in frames:
             for at in range(0, len(frame), batch):
-                some, rows = frame.iloc[at : at + batch], []
-                try:
-                    rows = [(m, e, None) for m, e in zip(some["media_id"], _vectors(embedder, session, some, normalize), strict=True)]
-                except Exception as whole:  # noqa: BLE001  whatever the model raises is the record's error
-                    for k in range(len(some)):
-                        one = some.iloc[k : k + 1]
-                        try:
-                            if granularity == "batch":
-                                raise whole
-                            rows.append((one["media_id"].iloc[0], _vectors(embedder, session, one, normalize)[0], None))
-                        except Exception as e:  # noqa: BLE001
-                            rows.append((one["media_id"].iloc[0], None, str(e)))
+                both = frame.iloc[at : at + batch]
+                without = both["tensor"].map(lambda t: t is None or len(t) == 0)
+                some, rows = both[~without], [(m, None, "no image") for m in both["media_id"][without]]
+                rows += _embedded(embedder, some, normalize, granularity)
                 yield pd.DataFrame({"media_id": [r[0] for r in rows], "batch_id": done, "embedding": [r[1] for r in rows], "error": [r[2] for r in rows]})
                 done += 1
 
     return images.select("media_id", "tensor").mapInPandas(run, OUT)
 
 
+def _embedded(embedder: Embedder, some: pd.DataFrame, normalize: bool, granularity: str) -> list[tuple]:
+    """media_id, vector, error of a batch. A function of the module, so that tasks share the worker's sessions."""
+    if not len(some):
+        return []
+    with SESSIONS.lease(embedder.key, embedder.open) as session:
+        try:
+            return [(m, e, None) for m, e in zip(some["media_id"], _vectors(embedder, session, some, normalize), strict=True)]
+        except Exception as whole:  # noqa: BLE001  whatever the model raises is the record's error
+            rows: list[tuple] = []
+            for k in range(len(some)):
+                one = some.iloc[k : k + 1]
+                try:
+                    if granularity == "batch":
+                        raise whole
+                    rows.append((one["media_id"].iloc[0], _vectors(embedder, session, one, normalize)[0], None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((one["media_id"].iloc[0], None, str(e)))
+            return rows
+
+
 def _vectors(embedder: Embedder, session, some: pd.DataFrame, normalize: bool) -> list[np.ndarray]:
-    out = embedder.embed(session, np.stack([np.asarray(t, np.float32) for t in some["tensor"]]))
+    out = np.asarray(embedder.embed(session, np.stack([np.asarray(t, np.float32) for t in some["tensor"]])))
+    if out.shape != (len(some), embedder.dim):
+        raise ValueError(f"model gave shape {out.shape} for {len(some)} images of dimension {embedder.dim}")
+    if not np.isfinite(out).all():
+        raise ValueError("model gave a value that isn't finite")
     return list(normalized(out) if normalize else out.astype(np.float32))

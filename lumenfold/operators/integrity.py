@@ -41,12 +41,6 @@ def skipped(catalog: DataFrame, file_length: int) -> DataFrame:
     return catalog.agg(F.count_if(valid_metadata(file_length)).alias("kept"), F.count_if(~F.coalesce(valid_metadata(file_length), F.lit(False))).alias("skipped"))
 
 
-def check_append(dim: int, rows: int, floats: int) -> None:
-    """What may be appended to a vector file: a dimension, a count, and floats for all rows."""
-    if dim <= 0 or rows < 0 or floats < dim * rows:
-        raise ValueError(f"can't append {rows} rows of dimension {dim} from {floats} floats")
-
-
 def assign_offsets(batch: DataFrame, base: int, dim: int, order: str = "media_id") -> DataFrame:
     """Offsets of a new batch in order. Rows are written by ranges of the order and numbered within each range, after the
     rows of the ranges before it; the driver holds one count per range."""

@@ -51,7 +51,8 @@ def top_k(vectors: DataFrame, query: list[float], k: int = RESULT_LIMIT, thresho
 
 
 def search(catalog: DataFrame, vectors: DataFrame, query: list[float], k: int = RESULT_LIMIT, threshold: float = 0.0) -> DataFrame:
-    """Winners with their catalog rows; at most k rows are joined."""
+    """Winners with their catalog rows; at most k rows are joined. vectors of a store (Store.vectors()) are those that its
+    catalog points at."""
     best = top_k(vectors, query, k, threshold)
     return catalog.drop("vector_offset").join(F.broadcast(best) if k <= RESULT_LIMIT else best, "media_id").orderBy(*best_first())
 

@@ -1,21 +1,21 @@
-"""Indexing runs: the scan decision, versioned Parquet snapshots, and the job that embeds pending or failed rows."""
+"""Indexing: the scan decision, and embedding of catalog rows into vectors and marks."""
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators.catalog import mark_failed, mark_indexed
-from lumenfold.operators.embed import OUT, Embedder, embed
-from lumenfold.operators.integrity import assign_offsets
-from lumenfold.schemas import CATALOG, SCHEMA_VERSION, VECTORS
+from lumenfold.operators.embed import Embedder, embed
+from lumenfold.schemas import FAILED, PENDING
+from lumenfold.sources import vectorfile
 from lumenfold.sources.files import work_path
 
-_MANIFEST = "version int, schema int, catalog int, vectors int, key string"
 FULL, SKIP, INCREMENTAL = "full", "skip", "incremental"
+#: A table of images (media_id, tensor), or what opens those of the given rows (media_id, uri).
+Images = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def plan_scan(forced: bool, table_rows: int, model_changed: bool, anchor: tuple[int, int] | None, source_rows: int, latest: tuple[int, int] | None, mode: str = "parity") -> str:
@@ -25,73 +25,38 @@ def plan_scan(forced: bool, table_rows: int, model_changed: bool, anchor: tuple[
     return SKIP if latest == anchor else INCREMENTAL
 
 
-class Snapshots:
-    """Tables as folders name/v=N and a manifest per commit, which tells the version of each table: what a commit doesn't
-    change isn't written again. Vectors are written before the catalog that points at them, one writer at a time."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def manifests(self) -> DataFrame:
-        try:
-            return self.spark.read.text(f"{self.root}/manifest/*").select(F.from_json("value", _MANIFEST).alias("m")).select("m.*")
-        except AnalysisException:
-            return self.spark.createDataFrame([], _MANIFEST)
-
-    def latest(self) -> dict:
-        found = self.manifests().orderBy(F.desc("version")).first()
-        return {"version": 0, "catalog": 0, "vectors": 0} if found is None else found.asDict()
-
-    def version(self) -> int:
-        return self.latest()["version"]
-
-    def read(self, name: str, schema) -> DataFrame:
-        v = self.latest()[name]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={v}") if v else self.spark.createDataFrame([], schema)
-
-    def write(self, name: str, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-
-    def commit(self, catalog: DataFrame, vectors: DataFrame | None = None, key: str | None = None) -> int:
-        """The new version; without vectors those of the last one stay. A key that was committed before changes nothing."""
-        from lumenfold.plans.jobs import single_flight
-
-        with single_flight(self.spark, self.root, "commit"):
-            done = self.manifests().where(F.col("key") == key).first() if key is not None else None
-            if done is not None:
-                return done["version"]
-            last = self.latest()
-            v = last["version"] + 1
-            if vectors is not None:
-                self.write("vectors", vectors, v)
-            self.write("catalog", catalog, v)
-            line = json.dumps({"version": v, "schema": SCHEMA_VERSION, "catalog": v, "vectors": last["vectors"] if vectors is None else v, "key": key})
-            self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/v={v}")
-            return v
-
-    def catalog(self) -> DataFrame:
-        return self.read("catalog", CATALOG)
-
-    def vectors(self) -> DataFrame:
-        return self.read("vectors", VECTORS)
-
-
-def index_rows(catalog: DataFrame, vectors: DataFrame, images: DataFrame, status: str, embedder: Embedder, model: str, now: int, batch: int = 8, granularity: str = "record", only: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """New catalog and vectors after embedding all rows of a status in one job. images: media_id, tensor.
-
-    Rows without an image fail. Re-indexed vectors replace the old ones, so a snapshot holds no orphans. only: one row alone.
-    Embeddings are written before they are used, so a lost executor embeds nothing again.
-    """
-    todo = catalog.where(F.col("status") == status).select("media_id")
-    todo = todo if only is None else todo.where(F.col("media_id") == only)
-    path = work_path(catalog.sparkSession, "embedded")
-    embed(todo.join(images, "media_id"), embedder, batch, granularity=granularity).write.parquet(path)
-    done = catalog.sparkSession.read.schema(OUT).parquet(path)
-    ok = done.where("error is null").select("media_id", "embedding")
-    base = catalog.agg(F.coalesce(F.max(F.col("vector_offset") + F.col("vector_dim").cast("long") * 4), F.lit(0))).first()[0]
-    placed = assign_offsets(ok.select("media_id"), max(base, 0), embedder.dim)
-    bad = done.where("error is not null").select("media_id", F.col("error").alias("message"))
-    lost = todo.join(images.select("media_id"), "media_id", "left_anti").withColumn("message", F.lit("image not found"))
-    new_catalog = mark_failed(mark_indexed(catalog, placed, model, now), bad.union(lost))
-    new_vectors = vectors.join(ok.select("media_id"), "media_id", "left_anti").unionByName(ok)
-    return new_catalog, new_vectors
+def one_image_each(images: DataFrame) -> DataFrame:
+    """Of images that repeat a media_id the greatest tensor stays (a null one is the least)."""
+    return images.groupBy("media_id").agg(F.max("tensor").alias("tensor"))
+
+
+def embed_rows(todo: DataFrame, images: Images, embedder: Embedder, batch: int = 8, granularity: str = "record") -> DataFrame:
+    """media_id, date_modified, size_bytes, batch_id, embedding or error of each row of todo, written, so a lost executor
+    embeds nothing again. Rows without an image fail."""
+    todo = todo.select("media_id", "uri", "date_modified", "size_bytes")
+    found = one_image_each(images(todo) if callable(images) else images.join(todo.select("media_id"), "media_id", "left_semi"))
+    # the one join: a row without an image comes with a null tensor
+    whole = todo.select("media_id", "date_modified", "size_bytes").join(found, "media_id", "left")
+    path = work_path(todo.sparkSession, "embedded")
+    told = embed(whole, embedder, batch, granularity=granularity).withColumn("error", F.when(F.col("error") == "no image", F.lit("image not found")).otherwise(F.col("error")))
+    told.join(todo.select("media_id", "date_modified", "size_bytes"), "media_id").write.parquet(path)
+    done = todo.sparkSession.read.schema("media_id long, batch_id long, embedding array<float>, error string, date_modified long, size_bytes long").parquet(path)
+    done.staged_at = path
+    return done
+
+
+def place(done: DataFrame, vector_file: str, dim: int) -> DataFrame:
+    """Appends the vectors of embed_rows() to the vector file; media_id, vector_offset, vector_dim, error, and the state in
+    which the row was seen."""
+    ok = done.where("error is null")
+    job = vectorfile.append(ok, vector_file, dim)
+    return done.drop("embedding").join(vectorfile.places(done.sparkSession, vector_file, job), "media_id", "left")
+
+
+def marked(catalog: DataFrame, placed: DataFrame, model: str, now: int) -> DataFrame:
+    """The catalog with what was placed; a row that has changed since it was seen stays as it is, and is pending anew."""
+    same = ["media_id", "date_modified", "size_bytes"]
+    still = placed.join(catalog.where(F.col("status").isin(PENDING, FAILED)).select(*same), same, "left_semi")
+    good = still.where("error is null").select("media_id", "vector_offset", "vector_dim")
+    bad = still.where("error is not null").select("media_id", F.col("error").alias("message"))
+    return mark_failed(mark_indexed(catalog, good, model, now), bad)

@@ -18,7 +18,7 @@ STATE = T.StructType([
 ])
 CATALOG = T.StructType(SCAN.fields + STATE.fields)
 SCAN_COLUMNS, CATALOG_COLUMNS = SCAN.names, CATALOG.names
-VECTORS = T.StructType([_f("media_id", T.LongType()), _f("embedding", T.ArrayType(T.FloatType()))])
+VECTORS = T.StructType([_f("media_id", T.LongType()), _f("vector_offset", T.LongType()), _f("embedding", T.ArrayType(T.FloatType()))])
 QUERY_CACHE = T.StructType([_f("query_text", T.StringType()), _f("model_key", T.StringType()), _f("embedding", T.BinaryType()), _f("created_at", T.LongType())])
 SCHEMA_VERSION = 2
 _tokenizer = T.StructType([

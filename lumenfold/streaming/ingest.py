@@ -1,4 +1,4 @@
-"""Incremental ingestion: scan files arrive as a stream, each micro-batch is upserted into a new snapshot."""
+"""Incremental ingestion: scan files arrive as a stream, each micro-batch is upserted into the store."""
 
 from __future__ import annotations
 
@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lumenfold.operators.catalog import last_of_each, upsert
-from lumenfold.plans.indexing import Snapshots
+from lumenfold.operators.catalog import last_of_each
+from lumenfold.plans.store import Store
 from lumenfold.schemas import SCAN
 
 
-def upsert_stream(spark: SparkSession, folder: str, store: Snapshots, model: str, checkpoint: str) -> StreamingQuery:
+def upsert_stream(spark: SparkSession, folder: str, store: Store, model: str, checkpoint: str) -> StreamingQuery:
     """Drains what is there and stops (availableNow); the checkpoint is the anchor for the next run. A batch that is
-    replayed after a failure changes nothing, as its commit is known by its number. Vectors aren't written again."""
+    replayed after a failure changes nothing, as its commit is known by its number. Only buckets in which a row changes are
+    written."""
 
     def take(batch: DataFrame, epoch: int) -> None:
-        rows = last_of_each(batch, ["media_id"], "date_modified")
-        store.commit(upsert(rows, store.catalog(), model), key=f"{checkpoint}#{epoch}")
+        store.upsert(last_of_each(batch, ["media_id"], "date_modified"), model, key=(checkpoint, epoch))
 
     return spark.readStream.schema(SCAN).parquet(folder).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

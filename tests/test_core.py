@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from lumenfold import schemas
 from lumenfold.functions import imaging, scalars, text, vectors
 from lumenfold.operators import cache, catalog, embed, integrity, search, telemetry
-from lumenfold.plans.indexing import FULL, INCREMENTAL, SKIP, Snapshots, index_rows, plan_scan
+from lumenfold.plans.indexing import FULL, INCREMENTAL, SKIP, plan_scan
 from lumenfold.queries import TOY
 from lumenfold.sources import files, scan
-from lumenfold.streaming.ingest import upsert_stream
 
 
 def rows(spark, items, model="m:v1"):
@@ -186,20 +185,6 @@ def test_telemetry(spark):
     assert [r["wall_ms"] for r in got] == [500, 600] and round(got[1]["e2e_ips"], 3) == 13.333 and got[0]["infer_ips"] is None
 
 
-def test_index_job_and_stream(spark, tmp_path):
-    store = Snapshots(spark, str(tmp_path / "store"))
-    scanned(spark, [(1, 1, 1), (2, 2, 2), (3, 3, 3)]).write.parquet(str(tmp_path / "scan" / "a"))
-    upsert_stream(spark, str(tmp_path / "scan" / "*"), store, "m:v1", str(tmp_path / "ck")).awaitTermination()
-    assert store.catalog().count() == 3 and store.version() == 1
-    images = spark.createDataFrame([(1, [1.0, 2.0]), (2, [-1.0, 0.0])], "media_id long, tensor array<float>")
-    c, v = index_rows(store.catalog(), store.vectors(), images, "pending", embed.HashEmbedder(8, fails_below=-0.5), "m:v1", 7)
-    store.commit(c, v)
-    assert {r["media_id"]: r["status"] for r in store.catalog().collect()} == {1: "indexed", 2: "failed", 3: "failed"} and store.vectors().count() == 1
-    assert integrity.audit(store.catalog(), 32).first()["is_corrupt"] is False
-    upsert_stream(spark, str(tmp_path / "scan" / "*"), store, "m:v1", str(tmp_path / "ck")).awaitTermination()
-    assert store.version() == 2
-
-
 def test_settings_and_anchor(spark, tmp_path):
     from lumenfold.plans.settings import Settings
 
@@ -214,52 +199,31 @@ def test_settings_and_anchor(spark, tmp_path):
     assert s.get("threshold") == 0.5
 
 
-def test_jobs(spark, tmp_path):
-    """One job at a time, replayed commits, retries, rebuild after corruption, checked vectors."""
+def test_batch_progress(spark):
     from lumenfold.operators.embed import HashEmbedder, embed
-    from lumenfold.operators.integrity import check_append
-    from lumenfold.operators.search import CorruptIndex, VectorCache
     from lumenfold.plans import jobs
 
-    store, scan_rows = Snapshots(spark, str(tmp_path / "s")), [(i, f"u{i}", "n", "m", 1, 1, 10, 5, 100 + i) for i in range(6)]
-    frame = spark.createDataFrame(scan_rows, schemas.SCAN)
-    first = store.commit(catalog.upsert(frame, store.catalog(), "m:v1"), store.vectors(), key="a")
-    assert store.commit(store.catalog(), key="a") == first and store.version() == first
-    with jobs.single_flight(spark, store.root, "index"):
-        with pytest.raises(jobs.AlreadyRunning), jobs.single_flight(spark, store.root, "index"):
-            pass
-    with jobs.single_flight(spark, store.root, "index", take_over=True):
-        pass
     images = spark.createDataFrame([(i, [float(i)] * 4) for i in range(5)], "media_id long, tensor array<float>")
-    store.commit(*index_rows(store.catalog(), store.vectors(), images, "pending", HashEmbedder(4, fails_below=2.0), "m:v1", 7))
-    state = lambda: {r["media_id"]: (r["status"], r["retry_count"]) for r in store.catalog().collect()}
-    assert state() == {0: ("failed", 1), 1: ("failed", 1), 2: ("indexed", 0), 3: ("indexed", 0), 4: ("indexed", 0), 5: ("failed", 1)}
-    jobs.retry_failed(store, images, HashEmbedder(4), "m:v1", 8, media_id=1)
-    assert state()[1] == ("indexed", 1) and state()[0] == ("failed", 1)
-    jobs.retry_failed(store, images, HashEmbedder(4), "m:v1", 9)
-    assert state()[0] == ("indexed", 1) and state()[5] == ("failed", 2)
-    before = store.latest()
-    store.commit(store.catalog())
-    assert store.latest()["vectors"] == before["vectors"] and store.latest()["catalog"] == before["catalog"] + 1
+    done = embed(images.repartition(3), HashEmbedder(4, fails_below=2.0), batch=2)
+    rows = jobs.batch_progress(done).collect()
+    assert sum(r["n"] for r in rows) == 5 and max(r["n"] for r in rows) <= 2 and sum(r["n_failed"] for r in rows) == 2
+    whole = jobs.batch_progress(embed(images.coalesce(1), HashEmbedder(4, fails_below=2.0), batch=5, granularity="batch")).collect()
+    assert [(r["n"], r["n_ok"]) for r in whole] == [(5, 0)]
+
+
+def test_vector_cache(spark):
+    from lumenfold.operators.search import CorruptIndex, VectorCache
+
+    rows = spark.createDataFrame([(i, "u", "n", "m", 1, 1, 1, 1, i, "indexed", i * 16, 4, 1, "m:v1", None, 0) for i in range(5)], schemas.CATALOG)
+    stored = spark.createDataFrame([(i, i * 16, [1.0] * 4) for i in range(5)], schemas.VECTORS)
     cache, length = VectorCache(), 5 * 16
-    vectors = cache.checked(store.catalog(), store.vectors(), length)
-    assert vectors.count() == 5 and cache.checked(store.catalog(), store.vectors(), length) is vectors
+    vectors = cache.checked(rows, stored, length)
+    assert vectors.count() == 5 and cache.checked(rows, stored, length) is vectors
     with pytest.raises(CorruptIndex):
-        cache.checked(store.catalog(), store.vectors().where("media_id > 2"), length + 4)
+        cache.checked(rows, stored.where("media_id > 2"), length + 4)
     with pytest.raises(CorruptIndex):
-        cache.checked(store.catalog(), store.vectors(), 16)
+        cache.checked(rows, stored, 16)
     assert cache.vectors is None
-    assert not jobs.rebuild_if_corrupt(store, frame, "m:v1", length) and jobs.rebuild_if_corrupt(store, frame, "m:v1", 16)
-    assert set(state().values()) == {("pending", 0)} and store.vectors().count() == 0
-    done = embed(images.repartition(3), HashEmbedder(4, fails_below=2.0), batch=2)
-    rows = jobs.progress(done).collect()
-    assert sum(r["n"] for r in rows) == 5 and max(r["n"] for r in rows) <= 2 and sum(r["n_failed"] for r in rows) == 2
-    whole = jobs.progress(embed(images.coalesce(1), HashEmbedder(4, fails_below=2.0), batch=5, granularity="batch")).collect()
-    assert [(r["n"], r["n_ok"]) for r in whole] == [(5, 0)]
-    for bad in ((0, 1, 4), (4, -1, 4), (4, 2, 7)):
-        with pytest.raises(ValueError):
-            check_append(*bad)
-    check_append(4, 2, 8)
 
 
 def test_text_query(spark):
