@@ -1,7 +1,8 @@
 """Source divergence audit: how the terms of each source of a language depart from the language and from each other.
 
 Counts become integers p = 1 + floor(SCALE * (count + 2) / (N + 2 V)), and two of them differ by
-f = floor((p - q)^2 / (p + q)), so sums are exact whatever their order. Texts are counted once, by (lang, source, term).
+f = floor((p - q)^2 / (p + q)), so sums are exact whatever their order. Texts are counted once, by (lang, source, term):
+tasks count on UTF-8 bytes, whose lower() knows A-Z alone, and give up their counts whenever they hold ENTRIES terms.
 
 Pairs of sources are sparse: a term that neither has gives the same f, that of the two baselines (count 0). So a pair's
 sum is V times that, plus corrections for what one of them has (taken from histograms of its p, not from its terms), plus
@@ -18,30 +19,69 @@ long as its run of characters; an empty table gives no rows; other columns are i
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import ascii_lower, discard, documents, staged
+from lumenfold.llm.common import discard, documents, staged
 
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Values lie below 2 ** WIDTH, as p - q <= SCALE and f <= p - q.
 DIGIT, WIDTH, FEW, SALTS = 8, 32, 1024, 16
-#: What parts terms: ASCII but for letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+ENTRIES, PIECE = 200_000, 1 << 20
+#: A term, and what parts terms, in UTF-8: every byte of another character lies above ASCII.
+TERM, BETWEEN = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 GROUP = ["lang", "source"]
+_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("n_docs", pa.int64())])
+
+
+def pieces(text: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
+    """The terms of a lower-cased text; of a long one in pieces that end between terms."""
+    start = 0
+    while start < len(text):
+        cut = BETWEEN.search(text, start + size)
+        end = cut.start() if cut else len(text)
+        yield TERM.findall(text, start, end)
+        start = end
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n: dict[tuple[str, str], Counter] = {}
+    docs: dict[tuple[str, str], Counter] = {}
+    held = 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for group, counts in n.items():
+            terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([group[0]] * len(counts)), pa.array([group[1]] * len(counts)), terms, pa.array(list(counts.values())), pa.array([docs[group][w] for w in counts])], schema=_COUNTS)
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            group = (lang, source)
+            if group not in n:
+                n[group], docs[group] = Counter(), Counter()
+            counts, before, seen = n[group], len(n[group]), set()
+            for words in pieces(text.as_py().lower()):
+                counts.update(words)
+                seen.update(words)
+            docs[group].update(seen)
+            held += len(counts) - before
+            if held > ENTRIES:
+                yield from told()
+                n, docs, held = {}, {}, 0
+    yield from told()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, n_docs of every term, kept or not. docs: lang, source, text."""
-    words = F.split(ascii_lower(F.coalesce("text", F.lit(""))), BETWEEN)
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    told = F.concat(
-        F.transform("_words", lambda w: F.struct(w.alias("term"), one.alias("n"), none.alias("n_docs"))),
-        F.transform(F.array_distinct("_words"), lambda w: F.struct(w.alias("term"), none.alias("n"), one.alias("n_docs"))),
-    )
-    rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in GROUP], words.alias("_words")).select(*GROUP, F.explode(told).alias("_t"))
-    return rows.select(*GROUP, "_t.*").where("term <> ''").groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in GROUP], F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    partial = rows.mapInArrow(_count, "lang string, source string, term string, n long, n_docs long")
+    return partial.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def smoothed(count: Column, size: Column) -> Column:
