@@ -10,7 +10,8 @@ Fitted on at most SAMPLE labelled rows, chosen by hash of the id; everything els
 those rows and BUCKETS counts, both fixed sizes.
 
 Defined cases: a null or blank text has no n-grams and is rejected; without good and bad labelled rows all documents with
-n-grams stay; a doc_id with several labels takes the worst; rows that repeat a doc_id share their noise, ties at the cut
+n-grams stay; a doc_id with several labels takes the worst; of rows that repeat a labelled doc_id the one with the least
+weight is fitted on; rows that repeat a doc_id share their noise, ties at the cut
 stay together; empty tables give no rows; other columns are ignored.
 """
 
@@ -100,7 +101,7 @@ def fit_cut(scores: np.ndarray, good: np.ndarray) -> float:
     """The cut with the least cost, a lost good row costing GOOD_COST bad ones; the middle of the widest such gap."""
     if not good.any() or good.all():
         return -np.inf
-    order = np.argsort(scores, kind="stable")
+    order = np.lexsort((good, scores))
     s, g = scores[order], good[order]
     cost = np.concatenate([[0], np.cumsum(np.where(g, GOOD_COST, -1))]) + (~g).sum()  # rejecting the first i
     gaps = np.diff(s, prepend=s[0] - 1, append=s[-1] + 1)
@@ -140,7 +141,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > BUCKETS else np.zeros(BUCKETS)
     scored = staged(rows.mapInArrow(_weigh(ratio), "_id long, _same long, n_features long, log_weight double"), "weights")
     marks = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"] == 1) for r in known], "_id long, good boolean")
-    pairs = scored.where("n_features > 0").join(marks, "_id").dropDuplicates(["_id"]).select("log_weight", "good").limit(sample).collect()
+    # a labelled id that repeats is judged by its least weight, whatever the order of rows
+    pairs = scored.where("n_features > 0").join(marks, "_id").groupBy("_id", "good").agg(F.min("log_weight").alias("log_weight")).select("log_weight", "good").collect()
     cut = fit_cut(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], bool)) if pairs else -np.inf
     return scored, cut
 

@@ -125,6 +125,34 @@ def test_warc_repeats_and_damage(spark, tmp_path):
         next(warc.parse_archive(bytes(data[at : at + n])))
 
 
+def test_quality_order(spark):
+    """Labelled ids that repeat with other texts: the result doesn't hang on the order of rows."""
+    rows = [(i % 40, text(i, 12) if i % 3 else text(i, 12).upper().replace(" ", "!! ")) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    told = []
+    for some in (rows, rows[::-1], sorted(rows, key=lambda r: r[1])):
+        out = quality.resample(spark.createDataFrame(some, "doc_id long, text string").repartition(3), labels)
+        told.append(sorted((r["_id"], r["_same"], r["kept"], round(r["key"], 9)) for r in out.collect()))
+    assert told[0] == told[1] == told[2] and 0 < sum(r[2] for r in told[0]) < 80
+
+
+def test_long_documents_of_common_lines(spark):
+    """Ten times the lines take about ten times as long, not a hundred times."""
+    import time
+
+    took = {}
+    for n in (2_000, 20_000):
+        body = "\n".join(f"line {k}" if k % 5 else f"Line {k % 7} " for k in range(n))
+        rows = [(i, f"own {i}\n{body}\nown {i}") for i in range(12)] + [(99, None), (100, "line 1\n\nother")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        out = line_dedup.drop_common_lines(df, batches=1)
+        began = time.perf_counter()
+        got = {r["doc_id"]: (r["text"], r["_n_lines"], r["_n_dropped"]) for r in out.collect()}
+        took[n] = time.perf_counter() - began
+        assert got[3] == ("own 3\nown 3", n + 2, n) and got[99] == ("", 1, 0) and got[100] == ("\nother", 3, 1)
+    assert took[20_000] < 25 * took[2_000] + 5
+
+
 def test_line_dedup(spark, docs):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
     rows = [(r[0], (r[1] or "").split("\n")) for r in docs.select("doc_id", "text").collect()]
@@ -168,6 +196,26 @@ def test_exact_dedup(docs):
     assert sorted(got) == sorted(want) and exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_shuffles_no_text(spark, monkeypatch):
+    """With a bitmap so small that every bit is set, results are the same; no exchange carries a text."""
+    base = text(5, 400)
+    rows = [(i, base + str(i % 5) if i % 2 else base[: i % 9] * 3) for i in range(60)] + [(100 + i, "z" * i) for i in range(40)] + [(200, None), (201, "")]
+    df = spark.createDataFrame([(*r, "clash", 1, "x") for r in rows], "doc_id long, text string, _len string, n int, _word string")
+    told = lambda: sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(df, prefix_chars=50).collect())
+    want = sorted((i, max(j for j, u in rows if (u or "") == (t or "")), sum((u or "") == (t or "") for _, u in rows)) for i, t in rows)
+    assert told() == want
+    monkeypatch.setattr(exact_dedup, "MOST_WORDS", 1)
+    plans, stage = [], exact_dedup.staged
+    monkeypatch.setattr(exact_dedup, "staged", lambda d, name: (plans.append(d._jdf.queryExecution().executedPlan().toString()), stage(d, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert told() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    refined = plans[-1]
+    assert "BroadcastHashJoin" in refined and "SortMergeJoin" not in refined.split("BroadcastExchange")[0]
+
+
 def test_secrets(spark):
     t = ["password = hunter22 and AKIA" + "A" * 16, None, "", "secret: token: abcdefgh", 'Api_Key="abc"; PASSWD:"a+b/c=" ' + "0af" * 9, "client_id: web-client-77 then password=longenough", "client_id: web-client-77", "x" * 3000 + " é token=ABCDEF"]
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
@@ -321,7 +369,17 @@ def test_quality_brute_force(spark):
     df = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in rows], "doc_id long, text string, key string, log_weight double")
     marks = [(i, int(i % 3 > 0), 0) for i in range(0, 60)]
     got = quality.resample(df, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
-    feats = {t: quality.features([t])[0].tolist() for _, t in rows}
+    whole = 1 << 64
+
+    def plain(t):  # unigrams and bigrams by their own rule: multiplicative hashes of CRC-32s of tokens
+        tokens = [zlib.crc32(w.encode()) for w in re.findall(r"\w+|[^\w\s]+", t or "")]
+        bucket = lambda x: (x % whole * 0x9E3779B97F4A7C15 % whole >> 50) % quality.BUCKETS
+        ones = [bucket(h + 1) for h in tokens]
+        twos = [bucket(a * 0xC2B2AE3D27D4EB4F + b) for a, b in zip(tokens, tokens[1:])]
+        return ones + twos + ones[-1:]  # the last token counts twice, as it opens no bigram
+
+    feats = {t: plain(t) for _, t in rows}
+    assert all(sorted(quality.features([t])[0].tolist()) == sorted(f) for t, f in feats.items())
     good = {i for i, q, _ in marks if q}
     raw, target = [1] * quality.BUCKETS, [1] * quality.BUCKETS
     for i, t in rows:
