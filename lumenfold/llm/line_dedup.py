@@ -7,7 +7,8 @@ each run, for the keys that the run already holds at the limit (those are decide
 left becomes a run of level 0. Whenever a level has FANOUT runs they are compacted, by full outer merges that sum counts,
 into one run of the next level. A key in at least min_docs documents, over all runs, loses its lines everywhere.
 
-The frequent keys are joined to (document, key hash) pairs, never to text. A hot key is only ever counted after partial
+The frequent keys are joined to (document, key hash, place of the line) rows, never to text; a document gets the places
+of its lines that go. A hot key is only ever counted after partial
 aggregation and joined with one row, so a sort-merge join of it can be split by AQE. Texts are shuffled once, by doc_id.
 
 Defined cases: a null or empty text is one empty line; the empty key is never dropped; a document's repeats of a line
@@ -39,9 +40,17 @@ def _lines(text: Column) -> Column:
 
 
 def _hashes(text: Column, min_chars: int) -> Column:
-    """The distinct 128-bit key hashes of a document's lines that can be dropped."""
-    keys = F.filter(F.array_distinct(F.transform(_lines(text), line_key)), lambda k: F.char_length(k) >= min_chars)
-    return F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(17), k).alias("h2")))
+    """h1, h2, pos, first: the 128-bit key hash and place of each of a document's lines that can be dropped. A document counts
+    a key at the first of its lines with it."""
+    keys = F.transform(_lines(text), line_key)
+    told = F.transform(keys, lambda k, i: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(17), k).alias("h2"), i.alias("pos"))))
+    return F.array_sort(F.array_compact(told))
+
+
+def _marked(hashes: Column) -> Column:
+    """Sorted hashes with first: whether the one before is of another key."""
+    same = lambda x, y: (x["h1"] == y["h1"]) & (x["h2"] == y["h2"])
+    return F.transform(hashes, lambda x, i: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["pos"].alias("pos"), F.when(i == 0, F.lit(True)).otherwise(~same(x, F.get(hashes, i - 1))).alias("first")))
 
 
 _ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
@@ -123,22 +132,24 @@ class LineRuns:
 
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """All rows and columns; text without the common lines; _n_lines before, _n_dropped."""
-    hashed = staged(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_same"), F.explode_outer(_hashes(F.col(text_col), min_chars)).alias("_h")).select("_id", "_same", "_h.h1", "_h.h2").where("h1 is not null"), "line-keys")
+    found = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_same"), _hashes(F.col(text_col), min_chars).alias("_h"))
+    hashed = staged(found.select("_id", "_same", F.explode(_marked(F.col("_h"))).alias("_h")).select("_id", "_same", "_h.*"), "line-keys")
     runs = LineRuns(docs.sparkSession, min_docs)
     for k in range(batches):
-        runs.add(hashed.where(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(batches)) == k).select("h1", "h2"))
+        runs.add(hashed.where("first").where(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(batches)) == k).select("h1", "h2"))
     with _ordered_buckets(docs.sparkSession):
         frequent = staged(runs.frequent(), "frequent-lines")
     runs.drop()
     # a document's rows are found by id and text, so rows that repeat an id keep their own lines; equal rows lose the same
-    hits = staged(hashed.join(frequent, ["h1", "h2"], "left_semi").groupBy("_id", "_same").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop")), "line-hits")
+    hits = staged(hashed.join(frequent, ["h1", "h2"], "left_semi").groupBy("_id", "_same").agg(F.collect_set("pos").alias("_drop")), "line-hits")
     discard(hashed, frequent)
     d = docs.withColumn("_row_id", F.col(id_col)).withColumn("_row_same", F.xxhash64(text_col))
     joined = d.join(hits, d["_row_id"].eqNullSafe(hits["_id"]) & (d["_row_same"] == hits["_same"]), "left")
-    lines = F.transform(_lines(F.col(text_col)), lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
-    marked = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.array_contains(F.col("_drop"), F.struct(F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit(17), x["key"]).alias("h2"))).alias("out")))
-    kept = F.when(F.col("_drop").isNull(), _lines(F.col(text_col))).otherwise(F.transform(F.filter(marked, lambda x: ~x["out"]), lambda x: x["line"]))
-    cleaned = joined.withColumn("_n_lines", F.size(_lines(F.col(text_col))).cast("long")).withColumn("_kept", kept)
+    lines = _lines(F.col(text_col))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_drop")  # by hash set, in order
+    joined = joined.withColumn("_lines", lines)
+    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.transform(places, lambda i: F.get("_lines", i)))
+    cleaned = joined.withColumn("_n_lines", F.size("_lines").cast("long")).withColumn("_kept", kept)
     cleaned = cleaned.withColumn("_n_dropped", F.col("_n_lines") - F.size("_kept")).withColumn(text_col, F.array_join("_kept", "\n"))
     return cleaned.select(*docs.columns, "_n_lines", "_n_dropped")
 
