@@ -1,8 +1,10 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash of what is still in a group.
 
-Rows that share neither length nor prefix with another are settled without their text being hashed whole. Groups are
-sized by partial aggregation; group facts are joined back by key, so a group of any size is only ever joined with one
-row (AQE can split it). Text leaves a task only for rows whose length and prefix both repeat.
+Rows that share neither length nor prefix with another are settled without their text being hashed whole: what repeats
+sets bits of a bitmap of at most MOST_WORDS words, which tasks look up as they read. A bit may be set by another key; that
+costs a row the hashing of its text and changes nothing. Text never leaves a task. Groups are sized by partial
+aggregation; group facts are joined back by key, so a group of any size is only ever joined with one row (AQE can split
+it).
 
 Defined cases: null text counts as empty (it equals an empty text); the largest id stays, null ids come first in that
 order; rows that repeat both id and text are one group in which each such row is marked by its id alone, so all rows
@@ -11,12 +13,21 @@ with the winning id stay; an empty table gives no rows; other columns may be car
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import documents, staged
+from lumenfold.llm.common import discard, documents, staged
 
-PREFIX_CHARS = 256
+#: Words of 64 bits: one for WORDS_FOR keys, some 24 MB at most as a broadcast table.
+PREFIX_CHARS, MOST_WORDS, WORDS_FOR = 256, 1 << 20, 4
+
+
+def _key() -> Column:
+    return F.xxhash64("_len", "_pre")
+
+
+def _word(words: int) -> Column:
+    return F.pmod(F.shiftright("_key", 6), F.lit(words))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = PREFIX_CHARS) -> DataFrame:
@@ -26,11 +37,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = rows.withColumn("_pre", F.xxhash64(F.substring("_text", 1, prefix_chars)))
     lengths = rows.groupBy("_len").agg(F.count("*").alias("n")).where("n > 1").select("_len")
     # a prefix hash can only repeat within a repeated length
-    again = staged(keyed.select("_len", "_pre").join(lengths, "_len", "left_semi").groupBy("_len", "_pre").agg(F.count("*").alias("n")).where("n > 1").select("_len", "_pre", F.lit(True).alias("_again")), "repeated-prefixes")
-    refined = staged(
-        keyed.join(again, ["_len", "_pre"], "left").withColumn("_full", F.when(F.col("_again"), F.sha2("_text", 256))).drop("_text", "_pre", "_again"),
-        "refined",
-    )
+    again = staged(keyed.select("_len", "_pre").join(lengths, "_len", "left_semi").groupBy("_len", "_pre").agg(F.count("*").alias("n")).where("n > 1").select(_key().alias("_key")), "repeated-prefixes")
+    words = min(MOST_WORDS, again.count() // WORDS_FOR + 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("_key"), F.lit(64)).cast("int"))
+    bitmap = again.groupBy(_word(words).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    looked = keyed.withColumn("_key", _key()).withColumn("_word", _word(words)).join(F.broadcast(bitmap), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    refined = staged(looked.withColumn("_full", F.when(hit, F.sha2("_text", 256))).drop("_text", "_pre", "_key", "_word", "_bits"), "refined")
+    discard(again)
     grouped = refined.where("_full is not null")
     facts = grouped.groupBy("_len", "_full").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
     copies = grouped.join(facts, ["_len", "_full"])
