@@ -95,6 +95,17 @@ def rank_backends(backends: DataFrame) -> DataFrame:
     return backends.orderBy(F.desc(F.col("id") == "qnn_htp"), F.desc(F.col("id").contains("nnapi")), "place")
 
 
+def choose_backends(backends: DataFrame, device: str) -> DataFrame:
+    """choose_backend() for each device of a table: device, id, batch, or error."""
+    named = F.col("id")
+    order = F.struct((~F.col("accelerated")).alias("a"), (named != "qnn_htp").alias("b"), (~named.contains("nnapi")).alias("c"), "place", named.alias("id"), "accelerated", "preferred_batch")
+    best = backends.groupBy(device).agg(F.min(F.when(F.col("available"), order)).alias("b"), F.bool_or(named.startswith("qnn")).alias("qnn"))
+    fails = F.when(F.col("qnn") & ~F.coalesce(F.col("b.accelerated"), F.lit(False)), F.lit("the accelerated backend is unavailable")).when(F.col("b").isNull(), F.lit("no backend is available"))
+    batch = F.coalesce(F.get(F.filter("b.preferred_batch", lambda x: x > 0), F.lit(0)), F.lit(DEFAULT_BATCH))
+    told = best.withColumn("error", fails)
+    return told.select(device, F.when(F.col("error").isNull(), F.col("b.id")).alias("id"), F.when(F.col("error").isNull(), batch).alias("batch"), "error")
+
+
 def choose_backend(backends: DataFrame) -> tuple[str, int]:
     """id and batch size. backends: place, id, accelerated, available, preferred_batch. A listed but unavailable QNN
     backend means no fallback to the CPU."""

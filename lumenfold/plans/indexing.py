@@ -30,7 +30,7 @@ def one_image_each(images: DataFrame) -> DataFrame:
     return images.groupBy("media_id").agg(F.max("tensor").alias("tensor"))
 
 
-def embed_rows(todo: DataFrame, images: Images, embedder: Embedder, batch: int = 8, granularity: str = "record") -> DataFrame:
+def embed_rows(todo: DataFrame, images: Images, embedder: Embedder, batch: int = 8, granularity: str = "record", normalize: bool = True) -> DataFrame:
     """media_id, date_modified, size_bytes, batch_id, embedding or error of each row of todo, written, so a lost executor
     embeds nothing again. Rows without an image fail."""
     todo = todo.select("media_id", "uri", "date_modified", "size_bytes")
@@ -38,7 +38,7 @@ def embed_rows(todo: DataFrame, images: Images, embedder: Embedder, batch: int =
     # the one join: a row without an image comes with a null tensor
     whole = todo.select("media_id", "date_modified", "size_bytes").join(found, "media_id", "left")
     path = work_path(todo.sparkSession, "embedded")
-    told = embed(whole, embedder, batch, granularity=granularity).withColumn("error", F.when(F.col("error") == "no image", F.lit("image not found")).otherwise(F.col("error")))
+    told = embed(whole, embedder, batch, normalize, granularity).withColumn("error", F.when(F.col("error") == "no image", F.lit("image not found")).otherwise(F.col("error")))
     told.join(todo.select("media_id", "date_modified", "size_bytes"), "media_id").write.parquet(path)
     done = todo.sparkSession.read.schema("media_id long, batch_id long, embedding array<float>, error string, date_modified long, size_bytes long").parquet(path)
     done.staged_at = path

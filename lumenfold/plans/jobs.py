@@ -48,13 +48,13 @@ def run_scan(store: Store, source: DataFrame, model: str, forced: bool = False,
     return decision
 
 
-def index_rows(store: Store, todo: Callable[[Snapshot], DataFrame], images: Images, embedder: Embedder, model: str, now: int, batch: int = 8, granularity: str = "record", key: tuple[str, int] | None = None, lease: Lease | None = None) -> dict[str, int]:
+def index_rows(store: Store, todo: Callable[[Snapshot], DataFrame], images: Images, embedder: Embedder, model: str, now: int, batch: int = 8, granularity: str = "record", normalize: bool = True, key: tuple[str, int] | None = None, lease: Lease | None = None) -> dict[str, int]:
     """Embeds the rows that todo picks from the catalog, appends their vectors and marks the rows: one job, one commit.
     Counts of what was done; a key that was committed before does nothing."""
     base = store.snapshot()
     if key is not None and base.keys.get(key[0], -1) >= key[1]:
         return {"n": 0, "n_ok": 0, "n_failed": 0, "version": base.version}
-    done = embed_rows(todo(base), images, embedder, batch, granularity)
+    done = embed_rows(todo(base), images, embedder, batch, granularity, normalize)
     n, n_ok = done.agg(F.count("*"), F.count_if(F.col("error").isNull())).first()
     path = work_path(store.spark, "placed")
     placed = place(done, base.vector_file, embedder.dim) if n_ok else done.drop("embedding").withColumns({"vector_offset": F.lit(None).cast("long"), "vector_dim": F.lit(None).cast("int")})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import imaging, scalars, text, vectors
-from lumenfold.operators import cache, catalog, integrity, models, search, telemetry, textquery
+from lumenfold.operators import cache, catalog, integrity, search, telemetry, textquery
 from lumenfold.sources import files, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,11 +379,6 @@ def pretokenize(spark, d):
 TOY = text.Bpe({"<|startoftext|>": 10, "<|endoftext|>": 11, "l": 0, "o": 1, "w": 2, "w</w>": 3, "lo": 4, "low</w>": 5, "e": 6, "r</w>": 7, "!</w>": 8, "low": 9}, {("l", "o"): 0, ("lo", "w</w>"): 1, ("lo", "w"): 2}, max_length=10)
 
 
-@register("SELECT 1 AS id, [10, 5, 9, 6, 7, 8, 11, 0, 0, 0]::BIGINT[] AS ids UNION ALL SELECT 2, [10, 11, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]")
-def bpe_encode(spark, d):
-    return spark.createDataFrame([(1, "Low lower!"), (2, "")], "id int, t string").select("id", text.bpe_encode(F.col("t"), TOY).alias("ids"))
-
-
 @register()
 def bpe_encode_texts(spark, d):
     """table, id, turn, ids: all texts of benchmark, conversations and documents, by the vocabulary of 49,408 entries."""
@@ -426,23 +421,6 @@ def blob_roundtrip(spark, d):
     return b.select("vec_id", vectors.from_blob(F.col("blob")).alias("embedding"), F.length("blob").alias("bytes"))
 
 
-@register("SELECT * FROM (VALUES ('a', true, true, 1), ('mobileclip2-s0', true, false, 2), ('b', false, false, 3)) t(id, available, text_available, place)")
-def model_registry(spark, d):
-    s = "id string, embedding_dim int, text_encoder string, image_file string"
-    t = spark.createDataFrame([("mobileclip2-s0", 512, None, "i.onnx"), ("b", 256, None, "b.onnx")], s)
-    f = spark.createDataFrame([("mobileclip2-s0", 512, None, "i.onnx", True, None), ("a", 64, "t.onnx", "a.onnx", True, None)], s + ", found boolean, parse_error string")
-    image, txt = models.required_files(F.col("image_file"), F.col("text_encoder"), F.lit("tokenizer.json"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    m = models.availability(models.merge_registry(t, f).withColumn("image_files", image).withColumn("text_files", txt), F.array(*map(F.lit, ("i.onnx", "a.onnx", "t.onnx", "tokenizer.json"))))
-    ranked = models.ranked(m).collect()
-    return spark.createDataFrame([(r["id"], r["available"], r["text_available"], k + 1) for k, r in enumerate(ranked)], "id string, available boolean, text_available boolean, place int")
-
-
-@register("SELECT 'qnn_htp' AS id, 4 AS batch")
-def backend_choice(spark, d):
-    b = spark.createDataFrame([(0, "cpu", False, True, [8]), (1, "nnapi", True, True, [2]), (2, "qnn_htp", True, True, [0, 4])], "place int, id string, accelerated boolean, available boolean, preferred_batch array<int>")
-    return spark.createDataFrame([models.choose_backend(b)], "id string, batch int")
-
-
 @register(_M + "SELECT media_id, retry_count, 'reindex' AS action FROM m WHERE status = 'failed'")
 def retry_selection(spark, d):
     return catalog.failed(media(spark, d)).select("media_id", "retry_count", F.lit("reindex").alias("action"))

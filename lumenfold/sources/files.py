@@ -5,10 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +13,9 @@ from lumenfold.functions.text import Bpe
 from lumenfold.schemas import MODEL
 
 
-def model_configs(spark: SparkSession, root: str) -> DataFrame:
-    """directory, config, parse_error for each */model.json. Unknown keys are ignored; missing required ones are errors."""
-    raw = spark.read.text(f"{root}/*/model.json", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("directory"), "value")
+def model_configs(spark: SparkSession, root: str, name: str = "model.json") -> DataFrame:
+    """directory, config, parse_error for each folder's model.json. Unknown keys are ignored; missing required ones are errors."""
+    raw = spark.read.text(f"{root}/*/{name}", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("directory"), "value")
     return parse_configs(raw)
 
 
@@ -64,20 +61,6 @@ def vocab_and_merges_from_bpe_lines(lines: list[str], keep: int = 49152 - 256 -
     return {w: i for i, w in enumerate(words)}, merges
 
 
-def raw_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """vector_offset and embedding of headerless little-endian float32 files, by file order within each file."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                v = np.frombuffer(data, "<f4", len(data) // (4 * dim) * dim).reshape(-1, dim)
-                for i in range(0, len(v), 4096):
-                    yield pd.DataFrame({"file": name, "vector_offset": np.arange(i, min(i + 4096, len(v))) * dim * 4, "embedding": list(v[i : i + 4096])})
-
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content").mapInPandas(decode, "file string, vector_offset long, embedding array<float>")
-
-
 def file_length(spark: SparkSession, path: str) -> int:
     """Bytes under path; contents aren't read."""
     return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
@@ -85,11 +68,12 @@ def file_length(spark: SparkSession, path: str) -> int:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new folder in spark.checkpoint.dir, which all executors share; one of our own is made only where none is set (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lumenfold.work.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
+        spark.conf.set("lumenfold.work.dir", root)
     return f"{root.rstrip('/')}/lumenfold/{name}-{uuid.uuid4().hex}"
 
 

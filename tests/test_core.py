@@ -281,11 +281,6 @@ def test_model_entries(spark, tmp_path):
     assert models.chosen(rows, "a").first()["id"] == "a" and models.chosen(rows, "none").first()["id"] == "b"
 
 
-def test_raw_vector_file(spark, tmp_path):
-    from lumenfold.sources import files
-
-    v = np.arange(9000 * 3, dtype="<f4").reshape(-1, 3)
-    (tmp_path / "v.bin").write_bytes(v.tobytes() + b"xx")
-    got = files.raw_vectors(spark, str(tmp_path / "v.bin"), 3).orderBy("vector_offset").collect()
-    assert len(got) == 9000 and got[8999]["vector_offset"] == 8999 * 12 and got[8999]["embedding"] == v[8999].tolist()
-    assert files.file_length(spark, str(tmp_path / "v.bin")) == v.nbytes + 2
+def test_file_length(spark, tmp_path):
+    (tmp_path / "v.bin").write_bytes(b"x" * 10)
+    assert files.file_length(spark, str(tmp_path / "v.bin")) == 10
