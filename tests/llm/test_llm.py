@@ -302,6 +302,25 @@ def test_packing(spark, docs):
     assert sum(whole.values()) == sum(r["length"] for r in got) and packing.pack(pieces.limit(0)).count() == 0
 
 
+def test_pieces_of_tokens(spark, docs):
+    """piece, start, length and ids_crc32 of every document against the tokenizer."""
+    from tokenizers import Tokenizer
+
+    name = public_tokenizers.path("word_bpe_49k.json")
+    tk, want = Tokenizer.from_file(name), []
+    long = spark.createDataFrame([(70, text(8, 9000)), (71, "x" * 30_000)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(long)
+    for i, t in both.collect():
+        ids = np.array(tk.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        want += [(str(i), k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048])) for k, at in enumerate(range(0, len(ids), 2048))]
+    packed = packing.pack_documents(both).collect()
+    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == sorted(want)
+    by = {}
+    for r in packed:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in s) <= 2048 and [o for o, _ in sorted(s)] == np.cumsum([0, *[n for _, n in sorted(s)][:-1]]).tolist() for s in by.values())
+
+
 def test_mixing(spark, docs):
     out = mixing.mix(docs).collect()
     n = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -446,6 +465,30 @@ def test_vectors_of_any_length(spark):
     assert got == sorted([(1, 3, 1, True), *[(i, 3, 1, False) for i in (2, 3, 4)], (5, 2, 5, True), (6, 2, 5, False), (6, 2, 5, False), (7, 1, 7, True), (8, 1, 7, False)])
 
 
+def test_vectors_in_chunks(spark, monkeypatch):
+    """Dense clusters in buckets of many chunks, floats as given: links and components of brute force."""
+    monkeypatch.setattr(vector_dedup, "CHUNK", 8)
+    rng = np.random.default_rng(12)
+    middles = rng.standard_normal((4, 64))
+    x = np.concatenate([m + s * rng.standard_normal((50, 64)) for m, s in zip(middles, (0.05, 0.15, 0.2, 0.6), strict=True)]).astype(np.float32)
+    x = np.concatenate([x, x[:7], x[60:62] * 3])
+    df = spark.createDataFrame([(i * 3 % 211, v.tolist(), "a" if i % 50 else "b", i) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label string, weight int")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    ids, label = [i * 3 % 211 for i in range(len(x))], ["a" if i % 50 else "b" for i in range(len(x))]
+    near = (unit @ unit.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None, :])
+    np.fill_diagonal(near, False)
+    comp = np.array(ids)
+    while True:
+        new = np.minimum(comp, np.where(near, comp[None, :], 10**9).min(axis=1))
+        if (new == comp).all():
+            break
+        comp = new
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.link_vectors(df).collect()}
+    total, found = near.sum(), sum(n for n, _ in got.values())
+    assert total > 3000 and 0.97 * total <= found <= total
+    assert sum(got[i] == (near[k].sum(), comp[k]) for k, i in enumerate(ids)) >= 0.95 * len(ids)
+
+
 @pytest.mark.parametrize("vectors", [1_000, 5_000_000, 10**9])
 def test_filter_recall(vectors):
     """Random and near pairs share a filter, however many code words there are, and the filters of a vector stay few."""
