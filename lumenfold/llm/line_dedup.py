@@ -144,7 +144,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     hits = staged(hashed.join(frequent, ["h1", "h2"], "left_semi").groupBy("_id", "_same").agg(F.collect_set("pos").alias("_drop")), "line-hits")
     discard(hashed, frequent)
     d = docs.withColumn("_row_id", F.col(id_col)).withColumn("_row_same", F.xxhash64(text_col))
-    joined = d.join(hits, d["_row_id"].eqNullSafe(hits["_id"]) & (d["_row_same"] == hits["_same"]), "left")
+    # by merging at every size: a broadcast of what small inputs hit would only hide the shuffle that large ones need
+    joined = d.join(hits.hint("merge"), d["_row_id"].eqNullSafe(hits["_id"]) & (d["_row_same"] == hits["_same"]), "left")
     lines = _lines(F.col(text_col))
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_drop")  # by hash set, in order
     joined = joined.withColumn("_lines", lines)
