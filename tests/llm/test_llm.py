@@ -547,3 +547,29 @@ def test_pipeline_repeated_rows(spark, tmp_path):
     rows = [row(1, a, source="x"), row(1, a, source="y"), row(2, b, source="y"), row(3, a + b, source=None)]
     taken = [r["taken"] // r["size"] for r in mixing.mix(frame(rows)).where("size > 0").collect()]
     assert corpus_pipeline.mix_sources(spark, frame(rows), "").count() == sum(taken)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Line dedup and packing as stages against plain versions; every stage on empty tables."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rows = [(i, f"Own {i}\n COMMON line\n\ncommon LINE\nrare {i % 7}", "en", f"s{i % 2}", 1) for i in range(14)] + [(50, None, None, None, None), (51, "", "en", "s0", 0), (52, "common line", "de", None, 11), (None, "x\ncommon line", "de", "s1", 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    seen = Counter(k for _, t, *_ in rows for k in {key(x) for x in (t or "").split("\n")} - {""})
+    left = lambda t: "\n".join(x for x in (t or "").split("\n") if seen[key(x)] < 10)
+    want = Counter((i, left(t), lang, s, len(left(t))) for i, t, lang, s, _ in rows)
+    out = corpus_pipeline.dedup_lines(spark, frame, "")
+    assert Counter(tuple(r) for r in out.select(*corpus_pipeline.COLUMNS).collect()) == want and seen["common line"] >= 10
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = lambda t: np.array(tk.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+    packed = corpus_pipeline.pack_sequences(spark, frame, "").collect()
+    assert Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in packed) == Counter((i, len(ids(t)), zlib.crc32(ids(t))) for i, t, *_ in rows)
+    assert len({r["sequence_id"] for r in packed}) == 1 and sorted(r["offset"] for r in packed)[0] == 0
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0, name
