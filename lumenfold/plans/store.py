@@ -141,10 +141,11 @@ class Store:
     def vectors(self) -> DataFrame:
         return self.snapshot().vectors()
 
-    def _write(self, rows: DataFrame, buckets: int) -> tuple[str, dict[str, list]]:
+    def _write(self, rows: DataFrame, buckets: int, touched: int) -> tuple[str, dict[str, list]]:
+        """A new folder with a task for each touched bucket; its buckets and their row counts."""
         folder = f"catalog/{uuid.uuid4().hex}"
         told = rows.select(*CATALOG.names).withColumn("bucket", bucket_of(buckets))
-        told.repartition(buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        told.repartition(touched, "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
         counts = self.spark.read.schema("media_id long, bucket int").parquet(f"{self.root}/{folder}").groupBy("bucket").count() if self._has_rows(folder) else None
         return folder, {str(r["bucket"]): [folder, r["count"]] for r in counts.collect()} if counts is not None else {}
 
@@ -175,7 +176,7 @@ class Store:
                 if todo.buckets is None:
                     n = base.row_count() if todo.expect is None else todo.expect
                     buckets = max(1, -(-n // self.rows_per_bucket))
-                folder, written = self._write(todo.rows, buckets)
+                folder, written = self._write(todo.rows, buckets, buckets if todo.buckets is None else max(len(todo.buckets), 1))
             now = base
             while True:
                 held = dict(now.manifest["catalog"])

@@ -11,6 +11,8 @@ alone, and what a killed task or a failed job has written is in no entry and tak
 reach, of tasks killed later, go with vacuum()). Two writers can append at
 once: the second takes the next number, and its parts follow. An overwrite is an entry that starts at 0 again.
 
+Every FOLD entries, one file repeats what the log says so far, so planning reads a bounded number of them.
+
 A scan is cut into ranges of ROWS vectors, a task each; a task holds a block of BLOCK vectors at a time. Shapes:
 `rows` (file, media_id, vector_offset, embedding), `blocks` (a packed block per row, see operators/blocks.py) and `places`
 (media_id, vector_offset, vector_dim; of a store, read from the ids alone).
@@ -33,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from lumenfold.sources.storage import link_new, opened
 
-ROWS, BLOCK, FLOAT, ID = 1 << 17, 1 << 13, 4, 8
+ROWS, BLOCK, FLOAT, ID, FOLD = 1 << 17, 1 << 13, 4, 8, 64
 SHAPES = {
     "rows": "file string, media_id long, vector_offset long, embedding array<float>",
     "blocks": "file string, vector_offset long, n int, dim int, top_norm double, media_ids array<long>, matrix binary",
@@ -68,12 +70,18 @@ class Part(WriterCommitMessage):
 def entries(path: str) -> list[dict]:
     """The log of a store since its last overwrite, in order; each entry tells its base, dimension and parts."""
     fs, root = opened(path)
-    names = sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(f"{root}/log", allow_not_found=True)) if i.base_name.endswith(".json") and not i.base_name.startswith("."))
-    out: list[dict] = []
-    for name in names:
+    names = sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(f"{root}/log", allow_not_found=True)) if i.base_name[:12].isdigit())
+
+    def read(name: str):
         with fs.open_input_stream(f"{root}/log/{name}") as f:
-            entry = json.loads(f.read())
-        out = [entry] if entry["reset"] else [*out, entry]
+            return json.loads(f.read())
+
+    folded = max((n for n in names if n.endswith(".folded")), default=None)
+    out: list[dict] = read(folded) if folded else []
+    for name in names:
+        if name.endswith(".json") and (folded is None or name[:12] > folded[:12]):
+            entry = read(name)
+            out = [entry] if entry["reset"] else [*out, entry]
     return out
 
 
@@ -205,6 +213,8 @@ class VectorFileWriter(DataSourceArrowWriter):
             number = _last_number(fs, root) + 1
             entry = {"number": number, "job": self.job, "reset": self.reset, "base": base, "dim": self.dim, "bytes": sum(p["rows"] for p in parts) * self.dim * FLOAT, "parts": parts}
             if link_new(fs, f"{root}/log/{number:012d}.json", json.dumps(entry).encode()):
+                if number % FOLD == 0:
+                    link_new(fs, f"{root}/log/{number:012d}.folded", json.dumps([e for e in entries(self.path) if e["number"] <= number]).encode())
                 return
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:

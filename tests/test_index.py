@@ -93,6 +93,26 @@ def test_vector_files(spark, tmp_path):
         vectorfile.source(spark).load(path).collect()
 
 
+def test_folded_log(tmp_path, monkeypatch):
+    """Every few entries the log is repeated in one file; reading starts there and sees the same, over an overwrite, too."""
+    monkeypatch.setattr(vectorfile, "FOLD", 3)
+    path, want, base = str(tmp_path / "f"), [], 0
+    for n in range(1, 11):
+        writer = vectorfile.VectorFileWriter({"path": path, "dim": "2", "job": f"j{n}"}, overwrite=n == 5)
+        os.makedirs(f"{path}/parts/j{n}")
+        for kind in ("f32", "ids"):
+            open(f"{path}/parts/j{n}/p.{kind}", "wb").write(bytes(8 * n))
+        writer.commit([vectorfile.Part("p", n)])
+        want, base = ([], 0) if n == 5 else (want, base)
+        want.append((n, base, 8 * n))
+        base += 8 * n
+        assert [(e["number"], e["base"], e["bytes"]) for e in vectorfile.entries(path)] == want and vectorfile.length(path) == base
+    assert sorted(n for n in os.listdir(f"{path}/log") if n.endswith("folded")) == [f"{n:012d}.folded" for n in (3, 6, 9)]
+    for n in range(1, 10):
+        os.remove(f"{path}/log/{n:012d}.json")
+    assert vectorfile.length(path) == base
+
+
 def test_scan_index_commit_search(spark, tmp_path):
     """One path from scan to search, with an image that repeats, one that is null, one that is missing."""
     store = Store(spark, str(tmp_path / "s"), rows_per_bucket=3)
