@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators.catalog import mark_failed, mark_indexed
-from lumenfold.operators.embed import Embedder, embed
+from lumenfold.operators.embed import OUT, Embedder, embed
 from lumenfold.schemas import FAILED, PENDING
 from lumenfold.sources import vectorfile
 from lumenfold.sources.files import work_path
@@ -31,26 +31,29 @@ def one_image_each(images: DataFrame) -> DataFrame:
 
 
 def embed_rows(todo: DataFrame, images: Images, embedder: Embedder, batch: int = 8, granularity: str = "record", normalize: bool = True) -> DataFrame:
-    """media_id, date_modified, size_bytes, batch_id, embedding or error of each row of todo, written, so a lost executor
-    embeds nothing again. Rows without an image fail."""
-    todo = todo.select("media_id", "uri", "date_modified", "size_bytes")
+    """media_id, batch_id, embedding or error of each row of todo, written, so a lost executor embeds nothing again. Rows
+    without an image fail."""
+    todo = todo.select("media_id", "uri")
     found = one_image_each(images(todo) if callable(images) else images.join(todo.select("media_id"), "media_id", "left_semi"))
     # the one join: a row without an image comes with a null tensor
-    whole = todo.select("media_id", "date_modified", "size_bytes").join(found, "media_id", "left")
+    whole = todo.select("media_id").join(found, "media_id", "left")
     path = work_path(todo.sparkSession, "embedded")
     told = embed(whole, embedder, batch, normalize, granularity).withColumn("error", F.when(F.col("error") == "no image", F.lit("image not found")).otherwise(F.col("error")))
-    told.join(todo.select("media_id", "date_modified", "size_bytes"), "media_id").write.parquet(path)
-    done = todo.sparkSession.read.schema("media_id long, batch_id long, embedding array<float>, error string, date_modified long, size_bytes long").parquet(path)
+    told.write.parquet(path)
+    done = todo.sparkSession.read.schema(OUT).parquet(path)
     done.staged_at = path
     return done
 
 
-def place(done: DataFrame, vector_file: str, dim: int) -> DataFrame:
-    """Appends the vectors of embed_rows() to the vector file; media_id, vector_offset, vector_dim, error, and the state in
-    which the row was seen."""
+def place(done: DataFrame, todo: DataFrame, vector_file: str, dim: int) -> DataFrame:
+    """Appends the vectors of embed_rows() to the vector file; media_id, error, vector_offset, vector_dim, and the state in
+    which the row was seen. Only ids and places are joined."""
+    seen = done.select("media_id", "error").join(todo.select("media_id", "date_modified", "size_bytes"), "media_id")
     ok = done.where("error is null")
+    if ok.isEmpty():
+        return seen.withColumns({"vector_offset": F.lit(None).cast("long"), "vector_dim": F.lit(None).cast("int")})
     job = vectorfile.append(ok, vector_file, dim)
-    return done.drop("embedding").join(vectorfile.places(done.sparkSession, vector_file, job), "media_id", "left")
+    return seen.join(vectorfile.places(done.sparkSession, vector_file, job), "media_id", "left")
 
 
 def marked(catalog: DataFrame, placed: DataFrame, model: str, now: int) -> DataFrame:

@@ -54,10 +54,11 @@ def index_rows(store: Store, todo: Callable[[Snapshot], DataFrame], images: Imag
     base = store.snapshot()
     if key is not None and base.keys.get(key[0], -1) >= key[1]:
         return {"n": 0, "n_ok": 0, "n_failed": 0, "version": base.version}
-    done = embed_rows(todo(base), images, embedder, batch, granularity, normalize)
+    rows = todo(base)
+    done = embed_rows(rows, images, embedder, batch, granularity, normalize)
     n, n_ok = done.agg(F.count("*"), F.count_if(F.col("error").isNull())).first()
     path = work_path(store.spark, "placed")
-    placed = place(done, base.vector_file, embedder.dim) if n_ok else done.drop("embedding").withColumns({"vector_offset": F.lit(None).cast("long"), "vector_dim": F.lit(None).cast("int")})
+    placed = place(done, rows, base.vector_file, embedder.dim)
     placed.write.parquet(path)
     placed = store.spark.read.schema(placed.schema).parquet(path)
 
