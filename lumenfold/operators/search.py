@@ -199,8 +199,8 @@ class VectorCache:
         self.invalidate()
         if audit(catalog, file_length).first()["is_corrupt"]:
             raise CorruptIndex("duplicate or invalid vector rows")
-        wanted = loadable(catalog.where(F.col("status") == INDEXED), file_length).select("media_id", "vector_dim")
-        whole = vectors.join(wanted, "media_id").where(F.size("embedding") == F.col("vector_dim")).drop("vector_dim")
+        wanted = loadable(catalog.where(F.col("status") == INDEXED), file_length).select("media_id", "vector_offset", "vector_dim")
+        whole = vectors.join(wanted, ["media_id", "vector_offset"]).where(F.size("embedding") == F.col("vector_dim")).drop("vector_dim")
         out = self.get(whole, mark)
         if out.count() != wanted.count():
             self.invalidate()
