@@ -148,11 +148,11 @@ def model_registry(spark: SparkSession, d: str) -> DataFrame:
     return ready.select("id", "embedding_dim", "parse_error", "available", "text_available", place.alias("place"))
 
 
-_BACKENDS = "SELECT user_id % 11 AS device, event_type AS id, count(*) AS n FROM events GROUP BY ALL"
+_BACKENDS = "SELECT CAST(floor(doc_id / 50) AS BIGINT) AS device, lang AS id, count(*) AS n FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL GROUP BY ALL"
 
 
 @register(f"""
-WITH b AS (SELECT device, CASE id WHEN 'view' THEN 'cpu' WHEN 'click' THEN 'ort_nnapi' WHEN 'signup' THEN 'cpu_b' WHEN 'error' THEN 'nnapi_b' ELSE 'qnn_htp' END AS id, n FROM ({_BACKENDS}) WHERE id <> 'purchase' OR device % 2 = 0),
+WITH b AS (SELECT device, CASE WHEN id = 'en' THEN 'cpu' WHEN id = 'de' THEN 'ort_nnapi' WHEN id = 'es' THEN 'nnapi_b' WHEN device % 3 = 0 THEN 'qnn_htp' ELSE 'cpu_b' END AS id, n FROM ({_BACKENDS}) WHERE id IN ('en', 'de', 'es', 'fr')),
 x AS (SELECT *, id <> 'cpu' AND id <> 'cpu_b' AS accelerated, n % 3 <> 0 AS available, [CAST(n % 2 AS INT), CAST(1 + n % 5 AS INT)] AS preferred FROM b),
 r AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY accelerated DESC, id = 'qnn_htp' DESC, contains(id, 'nnapi') DESC, id) AS k FROM x WHERE available),
 d AS (SELECT device, bool_or(starts_with(id, 'qnn')) AS qnn FROM x GROUP BY device)
@@ -160,10 +160,10 @@ SELECT d.device, CASE WHEN r.accelerated OR NOT qnn THEN r.id END AS id, CASE WH
   CASE WHEN qnn AND NOT coalesce(r.accelerated, false) THEN 'the accelerated backend is unavailable' WHEN r.id IS NULL THEN 'no backend is available' END AS error
 FROM d LEFT JOIN r ON r.device = d.device AND k = 1""")
 def backend_choice(spark: SparkSession, d: str) -> DataFrame:
-    """The backend of each device, from those it lists: eleven groups of users as devices, event types as backends."""
-    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("events")
-    b = spark.sql(_BACKENDS).where("id <> 'purchase' or device % 2 = 0")
-    name = F.when(F.col("id") == "view", "cpu").when(F.col("id") == "click", "ort_nnapi").when(F.col("id") == "signup", "cpu_b").when(F.col("id") == "error", "nnapi_b").otherwise("qnn_htp")
+    """The backend of each device, from those it lists: every fifty documents are a device, their languages its backends."""
+    spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("documents")
+    b = spark.sql(_BACKENDS).where(F.col("id").isin("en", "de", "es", "fr"))
+    name = F.when(F.col("id") == "en", "cpu").when(F.col("id") == "de", "ort_nnapi").when(F.col("id") == "es", "nnapi_b").when(F.col("device") % 3 == 0, "qnn_htp").otherwise("cpu_b")
     listed = b.select("device", name.alias("id"), (~name.isin("cpu", "cpu_b")).alias("accelerated"), (F.col("n") % 3 != 0).alias("available"), F.array((F.col("n") % 2).cast("int"), (1 + F.col("n") % 5).cast("int")).alias("preferred_batch"))
     place = F.row_number().over(W.partitionBy("device").orderBy("id"))
     return models.choose_backends(listed.withColumn("place", place), "device")

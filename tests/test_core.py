@@ -284,3 +284,21 @@ def test_model_entries(spark, tmp_path):
 def test_file_length(spark, tmp_path):
     (tmp_path / "v.bin").write_bytes(b"x" * 10)
     assert files.file_length(spark, str(tmp_path / "v.bin")) == 10
+
+
+def test_backends_by_device(spark):
+    """Each device of a table gets what choose_backend() gives for its own list, errors too."""
+    from lumenfold.operators import models
+
+    qnn, nnapi, cpu = ("qnn_htp", True, [0, 4]), ("ort_nnapi", True, [2]), ("ort_cpu", False, None)
+    devices = {1: [(qnn, True), (cpu, True)], 2: [(qnn, False), (cpu, True)], 3: [(nnapi, False), (cpu, True)], 4: [(nnapi, False), (cpu, False)], 5: [(cpu, True), (nnapi, True), (qnn, True)], 6: [(cpu, True), (nnapi, True), (qnn, False)]}
+    rows = [(d, place, i, fast, there, batch) for d, listed in devices.items() for place, ((i, fast, batch), there) in enumerate(listed)]
+    table = spark.createDataFrame(rows, "device int, place int, id string, accelerated boolean, available boolean, preferred_batch array<int>")
+    got = {r["device"]: (r["id"], r["batch"], r["error"]) for r in models.choose_backends(table, "device").collect()}
+    for d in devices:
+        try:
+            want = (*models.choose_backend(table.where(F.col("device") == d)), None)
+        except models.NoBackend as e:
+            want = (None, None, str(e))
+        assert got[d] == want, d
+    assert got[2][2] and got[4][2] and got[3] == ("ort_cpu", 8, None) and got[6][0] == "ort_nnapi"
