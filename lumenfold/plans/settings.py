@@ -1,4 +1,5 @@
-"""Settings and the scan anchor, as an append-only table of (key, value, place); the last value of a key counts."""
+"""Settings as an append-only table of (key, value, place); the last value of a key counts. The scan anchor isn't one of
+them: it belongs to the version of the store that holds the scanned rows (plans/store.py)."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from lumenfold.operators.catalog import last_of_each
 from lumenfold.schemas import MAX_THRESHOLD
 
 SETTINGS = "key string, value string, place long"
-DEFAULTS = {"threshold": 0.0, "preload_text": False, "preload_vectors": False, "scan_anchor": None}
+DEFAULTS = {"threshold": 0.0, "preload_text": False, "preload_vectors": False}
 
 
 class Settings:
@@ -36,13 +37,3 @@ class Settings:
             values["threshold"] = clamp_threshold(values["threshold"], MAX_THRESHOLD)
         place = self.rows().agg(F.coalesce(F.max("place"), F.lit(-1))).first()[0] + 1
         self.spark.createDataFrame([(k, json.dumps(v), place) for k, v in values.items()], SETTINGS).coalesce(1).write.mode("append").parquet(self.path)
-
-    def anchor(self) -> tuple[int, int] | None:
-        """(date_modified, media_id) of the newest row of the last scan."""
-        held = self.get("scan_anchor")
-        return None if held is None else tuple(held)
-
-    def keep_anchor(self, latest: tuple[int, int] | None) -> None:
-        """An empty source has no newest row and leaves the anchor as it is."""
-        if latest is not None:
-            self.put(scan_anchor=list(latest))

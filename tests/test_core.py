@@ -185,16 +185,14 @@ def test_telemetry(spark):
     assert [r["wall_ms"] for r in got] == [500, 600] and round(got[1]["e2e_ips"], 3) == 13.333 and got[0]["infer_ips"] is None
 
 
-def test_settings_and_anchor(spark, tmp_path):
+def test_settings(spark, tmp_path):
     from lumenfold.plans.settings import Settings
 
     s = Settings(spark, str(tmp_path))
-    assert s.get("threshold") == 0.0 and s.anchor() is None
+    assert s.get("threshold") == 0.0 and s.get("other") is None
     s.put(threshold=0.9, preload_text=True)
     s.put(threshold=-1.0)
-    s.keep_anchor((17, 5))
-    s.keep_anchor(None)
-    assert (s.get("threshold"), s.get("preload_text"), s.anchor()) == (0.0, True, (17, 5))
+    assert (s.get("threshold"), s.get("preload_text")) == (0.0, True)
     s.put(threshold=0.9)
     assert s.get("threshold") == 0.5
 
