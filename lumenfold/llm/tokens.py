@@ -7,16 +7,15 @@ is empty or starts with white space) is encoded whole, as is any text when the p
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
-import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lumenfold.llm.common import MEMO_ENTRIES, memo
+from lumenfold.llm.common import memo
 
 #: Units of a generation take some 40 bytes each.
 MEMO_CHARS, GENERATION = 32, 250_000
@@ -24,16 +23,31 @@ MEMO_CHARS, GENERATION = 32, 250_000
 ROWS = 1000
 #: Set between units where the vocabulary drops spaces; a lone control character is one id of its own.
 MARK = "\x01"
-#: A word of Latin letters and the punctuation behind it (no apostrophe, which may open a contraction): two pre-tokens.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_PROBES = ["Hello,", "s", "T.", "été", "ÉÜß!!", "don", "Zebra;:", "a", "straße", "RE_", "ll&&&"]
+_LATIN, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+#: A word of Latin letters and the punctuation behind it (no apostrophe, which may open a contraction), and perhaps, after a
+#: line end, another such: each is a pre-token.
+_PLAIN = rf"^(?P<stem>[{_LATIN}]+)(?P<tail>[{_SIGNS}]*)(?:\n(?P<stem2>[{_LATIN}]+)(?P<tail2>[{_SIGNS}]*))?$"
+_PROBES = ["Hello,", "s", "T.", "été", "ÉÜß!!", "don", "Zebra;:", "a", "straße", "RE_", "ll&&&", "a.\nB", "Où\nöß,", "s\nt"]
+#: Words in a call of the library.
+WORDS = 4096
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each Latin-1 code point's UTF-8 bytes."""
+def _byte_letters() -> str:
+    """The letter that byte-level vocabularies write for each byte; a line end stays, as it parts words here."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
+    return "".join("\n" if b == 10 else letter[b] for b in range(256))
+
+
+def _flat(coded: list[bytes | bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes (-1 for False) and all ids of encoded units."""
+    return np.fromiter((-1 if b is False else len(b) >> 2 for b in coded), np.int64, len(coded)), np.frombuffer(b"".join(b or b"" for b in coded), "<u4")
+
+
+def _pick(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids of runs of a pool, one run behind the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 class _Known:
@@ -53,16 +67,13 @@ class _Known:
     def find(self, units: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each of the distinct units where its ids begin in the returned pool, and how many; -1 if it can't stand alone.
 
-        encode gives the ids of unknown units (bytes, or False). Long ones aren't remembered.
+        encode gives sizes and ids of unknown units, like _flat. Long ones aren't remembered.
         """
         young = self._together(self.young)
         names, sizes, pool = self._together([young, self.old])
         at = pc.index_in(units, value_set=names).fill_null(-1).to_numpy()
         lost = np.flatnonzero(at < 0)
-        missing = units.take(pa.array(lost))
-        got = encode(missing.to_pylist())
-        new_sizes = np.fromiter((-1 if b is False else len(b) >> 2 for b in got), np.int64, len(got))
-        new_pool = np.frombuffer(b"".join(b or b"" for b in got), "<u4")
+        new_sizes, new_pool = encode(units.take(pa.array(lost)))
         all_sizes, all_pool = np.concatenate([sizes, new_sizes]), np.concatenate([pool, new_pool])
         whole = np.maximum(all_sizes, 0)
         begins = np.cumsum(whole) - whole
@@ -72,10 +83,7 @@ class _Known:
         on = (at >= len(young[0])) & (pc.utf8_length(units).to_numpy() <= MEMO_CHARS)
         if on.any():
             pick = at[on]
-            n = whole[pick]
-            ends = np.cumsum(n)
-            ids = all_pool[np.repeat(begins[pick] - (ends - n), n) + np.arange(int(ends[-1]))]
-            self.young = [young, (units.filter(pa.array(on)), all_sizes[pick], ids)]
+            self.young = [young, (units.filter(pa.array(on)), all_sizes[pick], _pick(all_pool, begins[pick], whole[pick]))]
             if len(young[0]) + len(pick) > GENERATION:
                 self.young, self.old = [self._empty()], self._together(self.young)
         return begins[at], all_sizes[at], all_pool
@@ -85,6 +93,7 @@ class UnitEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -97,15 +106,22 @@ class UnitEncoder:
         self.by_unit = self.keeps_space or drops_space
         if self.by_unit:
             size = self.tokenizer.get_vocab_size()
-            self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+            names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+            self.opens = np.array([n.startswith("Ġ") for n in names])
+            close = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+            self.closes = np.array([bool(close) and n.endswith(close) for n in names])
             self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[-1]
             self.by_unit = self.keeps_space or len(self.tokenizer.encode(MARK, add_special_tokens=False).ids) == 1
         self.first, self.rest = _Known(), _Known()
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
         self.lowers = any(n.get("type") == "Lowercase" for n in norm.get("normalizers", [norm]))
+        self.words = Tokenizer(self.tokenizer.model)  # takes words, one to a line, in the letters of the vocabulary
+        self.words.pre_tokenizer = CharDelimiterSplit("\n")
         self.letters, self.by_stem = _byte_letters(), self.by_unit
-        self.by_stem = self.by_unit and self._by_stems(_PROBES) == self._raw([" " * self.keeps_space + u for u in _PROBES])
+        if self.by_stem:
+            probes = pa.array(_PROBES if self.keeps_space else [p for p in _PROBES if "\n" not in p], pa.large_string())
+            known, sizes, pool = self._by_stems(probes)
+            wanted = self._raw([" " * self.keeps_space + u for u in probes.to_pylist()])
+            self.by_stem = bool(known.all()) and sizes.tolist() == [len(w) >> 2 for w in wanted] and pool.tobytes() == b"".join(wanted)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -113,45 +129,72 @@ class UnitEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _by_stems(self, units: list[str]) -> list[bytes | None]:
-        """Ids of plain words and their punctuation, straight from the vocabulary's model; None for any other unit."""
-        out: list[bytes | None] = [None] * len(units)
-        plain, stems, tails, tokenize = _PLAIN.fullmatch, self.stems, self.tails, self.tokenizer.model.tokenize
-        opening = "Ġ" if self.keeps_space else ""
-        if len(stems) >= MEMO_ENTRIES:
-            stems.clear()
-        for i, unit in enumerate(units):
-            m = plain(unit)
-            if m is None:
-                continue
-            stem, tail = m.groups()
-            if self.lowers:
-                stem = stem.lower()
-            ids, end = stems.get(stem), tails.get(tail)
-            if ids is None:
-                word = stem if stem.isascii() else stem.translate(self.letters)
-                ids = array("I", [t.id for t in tokenize(opening + word)]).tobytes()
-                if len(stem) <= MEMO_CHARS:
-                    stems[stem] = ids
-            if end is None:
-                end = self._raw([tail])[0]
-                if len(tail) <= MEMO_CHARS and len(tails) < MEMO_ENTRIES:
-                    tails[tail] = end
-            out[i] = ids + end
-        return out
+    def _spelt(self, stems: list[str], opening: str) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words of Latin letters, many to a call: the vocabulary shows where a word begins or ends."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for i in range(0, len(stems), WORDS):
+            some = stems[i : i + WORDS]
+            text = "\n".join(some)
+            text = codecs.charmap_decode((text.lower() if self.lowers else text).encode(), "strict", self.letters)[0]
+            if opening:
+                text = opening + text.replace("\n", "\n" + opening)
+            shown = bool(opening) or self.closes.any()
+            got = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids if shown else [], "<u4")
+            starts = np.flatnonzero(self.opens[got]) if opening else np.append(0, np.flatnonzero(self.closes[got]) + 1)[:-1]
+            if len(starts) == len(some) and starts[0] == 0:
+                n = np.diff(starts, append=len(got))
+            else:  # one by one
+                n, got = _flat([np.array([t.id for t in self.words.model.tokenize(w)], "<u4").tobytes() for w in text.split("\n")])
+            sizes.append(n)
+            ids.append(got)
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def _by_stems(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which units are plain words with their punctuation; their sizes and ids, straight from the vocabulary's model."""
+        parts = pc.extract_regex(units, _PLAIN)
+        known = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        if not self.keeps_space:  # no line ends here
+            known &= ~pc.match_substring(units, "\n").to_numpy(zero_copy_only=False)
+        parts = parts.filter(pa.array(known))
+        second = pc.binary_length(parts.field("stem2")).to_numpy() > 0
+        runs, pools, at = [], [], 0
+        for name in ("stem", "tail", "stem2", "tail2"):
+            if name == "stem2":
+                if not second.any():
+                    break
+                end = np.frombuffer(self._raw(["\n"])[0], "<u4")
+                runs.append((np.full(len(second), at), np.where(second, len(end), 0)))
+                pools.append(end)
+                at += len(end)
+            coded = parts.field(name).dictionary_encode()
+            if name == "stem2":  # where there is no second word, its part is empty: a size of 0
+                sizes, ids = self._spelt(pc.if_else(pc.equal(coded.dictionary, ""), "a", coded.dictionary).to_pylist(), "")
+            elif name == "stem":
+                sizes, ids = self._spelt(coded.dictionary.to_pylist(), "Ġ" if self.keeps_space else "")
+            else:
+                sizes, ids = _flat(self._raw(coded.dictionary.to_pylist()))
+            place = coded.indices.to_numpy()
+            begins = np.cumsum(sizes) - sizes + at
+            runs.append((begins[place], np.where(second, sizes[place], 0) if name == "stem2" else sizes[place]))
+            pools.append(ids)
+            at += len(ids)
+        begins, sizes = np.stack([r[0] for r in runs], axis=1), np.stack([r[1] for r in runs], axis=1)
+        return known, sizes.sum(axis=1), _pick(np.concatenate(pools), begins.ravel(), sizes.ravel())
 
-    def _units(self, units: list[str]) -> list[bytes | bool]:
-        """Ids of units behind a space; False for those that can't be told apart from it."""
-        out: list[bytes | bool | None] = list(self._by_stems(units)) if self.by_stem else [None] * len(units)
-        others = [i for i, b in enumerate(out) if b is None]
-        if self.keeps_space:
-            for i in others:
-                if not self._opens_plain(units[i]):
-                    out[i] = False
-            others = [i for i in others if out[i] is None]
-        for i, b in zip(others, self._joined([units[i] for i in others]), strict=True):
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of units behind a space; size -1 for those that can't be told apart from it."""
+        known, sizes, pool = self._by_stems(units) if self.by_stem else (np.zeros(len(units), bool), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+        others = units.filter(pa.array(~known)).to_pylist()
+        out: list[bytes | bool] = [not self.keeps_space or self._opens_plain(u) for u in others]
+        plain = [i for i, ok in enumerate(out) if ok]
+        for i, b in zip(plain, self._joined([others[i] for i in plain]), strict=True):
             out[i] = b
-        return out
+        sizes2, pool2 = _flat(out)
+        order = np.argsort(np.concatenate([np.flatnonzero(known), np.flatnonzero(~known)]))
+        every = np.concatenate([sizes, sizes2])
+        whole = np.maximum(every, 0)
+        begins = np.cumsum(whole) - whole
+        return every[order], _pick(np.concatenate([pool, pool2]), begins[order], whole[order])
 
     def _joined(self, units: list[str]) -> list[bytes]:
         """Ids of units, many to a call: a unit ends where an id that starts with a space (or a marker unit) comes next."""
@@ -195,13 +238,12 @@ class UnitEncoder:
         at = (np.cumsum(used) - 1)[place]
         at[bounds[:-1]] = int(used.sum()) + head_at
         begins, sizes, pool = self.rest.find(units.filter(pa.array(used)), self._units)
-        begins2, sizes2, pool2 = self.first.find(units.take(pa.array(heads)), self._raw)
+        begins2, sizes2, pool2 = self.first.find(units.take(pa.array(heads)), lambda lost: _flat(self._raw(lost.to_pylist())))
         begins, sizes, pool = np.concatenate([begins, begins2 + len(pool)]), np.concatenate([sizes, sizes2]), np.concatenate([pool, pool2])
         bad = sizes < 0
         n = np.maximum(sizes, 0)[at]
         ends = np.cumsum(n)
-        ids = pool[np.repeat(begins[at] - (ends - n), n) + np.arange(int(ends[-1]))]
-        raw, cuts = ids.tobytes(), np.concatenate([[0], 4 * ends])[bounds].tolist()
+        raw, cuts = _pick(pool, begins[at], n).tobytes(), np.concatenate([[0], 4 * ends])[bounds].tolist()
         out = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         again = np.flatnonzero(np.add.reduceat(bad[at], bounds[:-1])).tolist() if bad.any() else []
         for i, b in zip(again, self._raw([texts[i] for i in again]), strict=True):

@@ -54,6 +54,18 @@ def test_units_equal_whole_texts(name):
     assert e.encode(texts) == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_of_random_texts(name):
+    """Line ends inside units, contractions, letters on the edge of the plain ranges, and words beyond one call."""
+    e, rng = UnitEncoder(public_tokenizers.path(name)), random.Random(5)
+    assert e.by_unit and e.by_stem
+    pieces = [*" \n\n \n'sTté,.Ééß-_1a日 \t’\x01 ſ&<|endoftext|>", "ing", "wh", "d.\nA", "don't", "\r\n", "Ġ", "«", " a", " B", "été,", " Zu\n", "×", "÷"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(3000)]
+    texts.append(" ".join("".join(rng.choices("abcdeéß", k=6)) for _ in range(9000)))
+    assert e.encode(texts) == e._raw(texts)
+    assert e.encode(texts) == e._raw(texts)  # now from what it remembers
+
+
 def test_crc32_concat():
     draw = random.Random(5)
     whole = [[draw.randbytes(draw.choice([0, 1, 4, 300, 8192, 65537])) for _ in range(draw.randint(1, 6))] for _ in range(60)]
