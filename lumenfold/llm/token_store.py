@@ -28,6 +28,8 @@ from lumenfold.llm.tokens import ROWS, encoder, in_chunks
 
 #: Blocks coded in one lockstep run: bounds a task's memory to some 150 MB, whatever the partition holds.
 LANES = 1024
+#: Blocks encoded in one: their models should stay in a core's caches (decoding has more steps to share among its lanes).
+ENCODED = 512
 STORE = "part int, block long, start long, n_tokens int, docs array<struct<seq: long, doc_id: long, n: int, whole: boolean>>, coded binary"
 _DOCS = pa.list_(pa.struct([("seq", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("whole", pa.bool_())]))
 _STORE = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int32()), ("docs", _DOCS), ("coded", pa.binary())])
@@ -52,7 +54,7 @@ def _writer(tokenizer: str, end_id: int, block_tokens: int, lanes: int):
             ids = np.frombuffer(bytes(buffer), "<u4")
             n = len(ids) if last else lanes * block_tokens
             blocks = [ids[i : min(i + block_tokens, n)] for i in range(0, n, block_tokens)]
-            coded = [c for x, y in _even(len(blocks), lanes) for c in encode_blocks(blocks[x:y])]
+            coded = [c for x, y in _even(len(blocks), min(lanes, ENCODED)) for c in encode_blocks(blocks[x:y])]
             rows, place = [], 0
             for b, c in zip(blocks, coded, strict=True):
                 room, inside = len(b), []
