@@ -5,9 +5,9 @@ a vector passes the filters whose inner product with it exceeds CAP, or comes wi
 lies badly to all of them would else have one filter and miss its neighbours: on random vectors of 64 dimensions that
 lifts the recall of pairs at a cosine of 0.93 from 0.66 to 0.998, for 34 filters a vector in place of 15). The list of those filters is decoded slice by
 slice: a code word is only tried if the best words of the other slices could still lift the sum over the cap. The number
-of code words follows the number of vectors, and the cap rises with it, so that a filter holds about as many of them
-whatever their number. Vectors join on (label, filter) and are verified in double precision. A pair that shares several
-filters counts at the least one.
+of code words is a parameter and never follows from the table: whether a pair is found depends on its two vectors alone, not
+on how many others there are. Vectors join on (label, filter) and are verified in double precision, those within EDGE of the
+threshold by a sum that no order of summation changes. A pair that shares several filters counts at the least one.
 
 Equal vectors of a label are collapsed before, and counted by multiplicity. A bucket of more than CHUNK vectors is split
 into chunks, and each pair of chunks is a group of its own, so no group grows with the data. A group gives a count for
@@ -40,12 +40,15 @@ from lumenfold.llm.components import components
 LEAST, BLOCKS, WORDS, CAP, MARGIN, CHUNK, SEED = 0.93, 3, 64, 0.46, 0.05, 512, 20240501
 #: Groups of up to SMALL vectors are verified together, PAIRS pairs at a time.
 SMALL, PAIRS = 16, 50_000
-#: WORDS and CAP are for up to VECTORS vectors; MOST_WORDS (134 million filters) serve some 26 million, then filters fill.
+#: Beyond what products of matrices of any shape differ in.
+EDGE = 1e-12
+#: With WORDS and CAP, filters of up to VECTORS vectors hold few of them, with MOST_WORDS (134 million filters) of some 26 million.
 VECTORS, MOST_WORDS = 50_000, 512
 
 
 def words_for(vectors: int) -> int:
-    """Code words of a slice: the number of filters, their product, grows with that of vectors."""
+    """Code words of a slice at which filters hold as few of so many vectors as WORDS do of VECTORS. A hint for who calls
+    link_vectors(): other words find other pairs, so it doesn't choose them itself."""
     return min(max(WORDS, math.ceil(WORDS * (vectors / VECTORS) ** (1 / BLOCKS))), MOST_WORDS)
 
 
@@ -133,9 +136,18 @@ def _expand(cap: float, n_words: int):
     return run
 
 
+def _linked(scores: np.ndarray, least: float, x: np.ndarray, y: np.ndarray, at: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """scores >= least, whatever products they come from. x, y: the rows (of scores' sides, or by at) that they are of."""
+    near = scores >= least
+    for where in zip(*np.nonzero(np.abs(scores - least) <= EDGE), strict=True):
+        a, b = where if at is None else (at[0][where], at[1][where])
+        near[where] = math.fsum(x[a] * y[b]) >= least
+    return near
+
+
 def _block(bucket: int, nodes: np.ndarray, weight: np.ndarray, units: np.ndarray, lists: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> list[np.ndarray]:
     """Rows (node, n, other) of one pair of chunks: left and right are places in the group, the same for one chunk."""
-    near = units[left] @ units[right].T >= least
+    near = _linked(units[left] @ units[right].T, least, units[left], units[right])
     near &= nodes[left][:, None] != nodes[right][None, :]
     i, j = np.nonzero(near)
     if not len(i):
@@ -187,7 +199,7 @@ def _small_groups(starts: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, weig
         for at in range(0, len(own), step):
             some = own[at : at + step, None]
             i, j = (some + left).ravel(), (some + right).ravel()
-            on = np.flatnonzero(np.einsum("ij,ij->i", units[i], units[j]) >= least)
+            on = np.flatnonzero(_linked(np.einsum("ij,ij->i", units[i], units[j]), least, units, units, (i, j)))
             for x, y in zip(i[on].tolist(), j[on].tolist(), strict=True):
                 common = set(f_all[f_at[x] : f_at[x + 1]].tolist()).intersection(f_all[f_at[y] : f_at[y + 1]].tolist())
                 a, b = int(nodes[x]), int(nodes[y])
@@ -254,8 +266,8 @@ def _keys(t: pa.Table) -> np.ndarray:
     return out
 
 
-def link_vectors(table: DataFrame, least: float = LEAST, cap: float = CAP, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row."""
+def link_vectors(table: DataFrame, least: float = LEAST, cap: float = CAP, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", words: int = WORDS) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row. words: code words of a slice, up to MOST_WORDS."""
     narrow = isinstance(table.schema[vector_col].dataType.elementType, T.FloatType)  # floats travel as they are
     vector = F.col(vector_col) if narrow else F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), vector.alias("vector"))
@@ -266,7 +278,7 @@ def link_vectors(table: DataFrame, least: float = LEAST, cap: float = CAP, id_co
     heads = able.join(same.select(F.col("node").alias("row"), "node", "weight"), "row").select("node", "label", "weight", "vector")
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heads = staged(heads.repartition(parts, "node"), "distinct-vectors")
-    passed = heads.select("node", "label", "vector").mapInArrow(_expand(cap, words_for(same.count())), "node long, label string, filters array<long>")
+    passed = heads.select("node", "label", "vector").mapInArrow(_expand(cap, words), "node long, label string, filters array<long>")
     posts = staged(passed.select("node", "label", F.explode("filters").alias("filter")), "filters")
     sizes = posts.groupBy("label", "filter").agg(F.count("*").alias("c")).where("c > 1").withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int"))
     # filters that a vector has for itself decide nothing, so only shared ones travel with it

@@ -515,6 +515,35 @@ def test_filter_recall(vectors):
     assert np.mean([len(x) for x in fa]) < 400
 
 
+def test_links_whatever_the_size(spark, monkeypatch):
+    """More rows, of which words_for() would take more words, change no link between the others."""
+    monkeypatch.setattr(vector_dedup, "VECTORS", 100)
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((150, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    other = rng.standard_normal((150, 64))
+    other -= (other * a).sum(axis=1)[:, None] * a
+    b = 0.935 * a + math.sqrt(1 - 0.935**2) * other / np.linalg.norm(other, axis=1)[:, None]
+    few = [(i, v.tolist(), "x") for i, v in enumerate(np.concatenate([a, b]))]
+    many = [(1000 + i, v.tolist(), "y") for i, v in enumerate(rng.standard_normal((1500, 64)))]
+    # a high cap leaves each vector few filters, so that some pairs are missed
+    links = [{r["vec_id"]: r["n_links"] for r in vector_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), cap=0.9).where("vec_id < 1000").collect()} for rows in (few, few + many)]
+    assert links[0] == links[1] and 0 < sum(links[0].values()) < 300
+
+
+def test_links_at_the_threshold():
+    """A pair at the very threshold links in a group of any size."""
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        u = vector_dedup.unit_rows(rng.standard_normal((24, 64)))
+        nodes, ones, least = np.arange(24), np.ones(24, np.int64), math.fsum(u[3] * u[17])
+        whole = vector_dedup._block(7, nodes, ones, u, [np.array([7])] * 24, nodes, nodes, least)
+        pairs = {tuple(sorted(x)) for x in zip(*np.nonzero(vector_dedup._linked(u @ u.T, least, u, u)), strict=True)}
+        two = np.array([3, 17])
+        alone = vector_dedup._small_groups(np.array([0]), np.array([2]), two, np.ones(2, np.int64), np.array([7, 7]), u[two], (np.array([0, 1, 2]), np.array([7, 7])), least)
+        assert (3, 17) in pairs and whole and alone[0].tolist() == [[3, 1, 3], [17, 1, 17], [17, 0, 3]]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)], "a long, b long")
     assert {r["node"]: r["label"] for r in components(e).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 150: 100, 200: 100}
