@@ -19,15 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.vectors import DIGITS
-from lumenfold.operators.search import QUERY_BLOCK, SCORES, _best, top_k_by_group
+from lumenfold.operators.search import QUERY_BLOCK, SCORES, SLACK, _best, top_k_by_group
 from lumenfold.sources import vectorfile
 from lumenfold.sources.files import work_path
 
 PACKED = "n int, dim int, top_norm double, media_ids array<long>, offsets array<long>, matrix binary"
 _PACKED = pa.schema([("n", pa.int32()), ("dim", pa.int32()), ("top_norm", pa.float64()), ("media_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("matrix", pa.binary())])
 _FOUND = pa.schema([("qid", pa.int64()), ("media_id", pa.int64()), ("vector_offset", pa.int64()), ("score", pa.float64())])
-#: Above any rounding of a score at DIGITS, so a tie with the k-th best is never skipped.
-SLACK = 10.0 ** (1 - DIGITS)
 
 
 def pack(vectors: DataFrame, rows: int = vectorfile.BLOCK) -> DataFrame:

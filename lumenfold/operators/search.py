@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ from lumenfold.sources.files import work_path
 
 
 QUERY_BLOCK, SCORES = 10_000, 4_000_000
+#: Above any rounding of a score at DIGITS, so a tie with the k-th best is never left out.
+SLACK = 10.0 ** (1 - DIGITS)
+#: Stands for a null id in arrays: nulls sort first, as in best_first().
+NONE = np.iinfo(np.int64).min
 
 
 def best_first() -> list[Column]:
@@ -96,15 +101,9 @@ def _block_by_block(queries: DataFrame, search: Callable[[DataFrame], DataFrame]
 
 
 def top_k_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, media_id, score, rank by SQL expressions. queries: qid, q. A block of them is broadcast; larger query sets go
-    block by block."""
-
-    def search(some: DataFrame) -> DataFrame:
-        pairs = vectors.join(F.broadcast(some), F.size("embedding") == F.size("q"))
-        s = pairs.select("qid", "media_id", "vector_offset", score(F.col("embedding"), F.col("q")).alias("score")).where(~F.isnan("score"))
-        return top_k_by_group(s, "qid", k).select("qid", "media_id", "score", "rank")
-
-    return _block_by_block(queries, search)
+    """qid, media_id, score, rank. queries: a table of qid, q. Scores come from matrix products: one by one, as SQL expressions
+    over lists, they cost some microseconds each."""
+    return top_k_many_numpy(vectors, queries, k)
 
 
 def _best(found: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
@@ -115,34 +114,63 @@ def _best(found: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
     return {name: x[order] for name, x in found.items()}
 
 
+class _TopK:
+    """The k best vectors of each query among those seen. Only scores that reach a query's k-th best so far are rounded and kept."""
+
+    def __init__(self, queries: np.ndarray, k: int, rows: int):
+        self.q, self.k, self.step = queries, k, max(1, min(rows, SCORES // len(queries)))
+        self.floor, self.parts, self.pending = np.full(len(queries), -np.inf), [], 0
+
+    def see(self, vectors: np.ndarray, media: np.ndarray, offsets: np.ndarray) -> None:
+        for i in range(0, len(vectors), self.step):
+            s = self.q @ vectors[i : i + self.step].T
+            real = s >= (self.floor - SLACK)[:, None]  # NaN never is
+            many = np.flatnonzero(np.count_nonzero(real, axis=1) > self.k)
+            if len(many):  # ties with the k-th stay
+                some = np.where(real[many], s[many], -np.inf)
+                real[many] &= some >= np.partition(some, some.shape[1] - self.k, axis=1)[:, some.shape[1] - self.k, None] - SLACK
+            at, x = np.nonzero(real)
+            self.parts.append({"at": at, "media_id": media[i + x], "vector_offset": offsets[i + x], "score": np.round(s[at, x], DIGITS)})
+            self.pending += len(at)
+            if self.pending >= len(self.q) * self.k:
+                self.best()
+
+    def best(self) -> dict[str, np.ndarray]:
+        found = _best({n: np.concatenate([p[n] for p in self.parts]) for n in self.parts[0]}, self.k)
+        self.parts, self.pending = [found], 0
+        worst = np.full(len(self.q), np.inf)
+        np.minimum.at(worst, found["at"], found["score"])
+        self.floor = np.where(np.bincount(found["at"], minlength=len(self.q)) >= self.k, worst, -np.inf)
+        return found
+
+
 def _top_k_block(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, rows: int) -> DataFrame:
     by_dim: dict[int, list[tuple[int, list[float]]]] = {}
     for qid, q in queries:
         by_dim.setdefault(len(q), []).append((qid, q))
-    stacked = {d: (np.array([q[0] for q in some], np.int64), np.array([q[1] for q in some], np.float64)) for d, some in by_dim.items()}
+    stacked = {d: (np.array([NONE if q[0] is None else q[0] for q in some], np.int64), np.array([q[1] for q in some], np.float64)) for d, some in by_dim.items()}
+
+    def told(x: np.ndarray) -> pa.Array:
+        return pa.array(x, mask=x == NONE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, dict[str, np.ndarray]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = {dim: _TopK(q, k, rows) for dim, (_, q) in stacked.items() if k > 0}
         for batch in batches:
-            dims = batch["embedding"].map(lambda e: -1 if e is None else len(e)).to_numpy()
-            for dim, (ids, q) in stacked.items():
-                fit = batch[dims == dim]
-                step = max(1, min(rows, SCORES // len(ids)))
-                for i in range(0, len(fit), step):
-                    part = fit.iloc[i : i + step]
-                    s = np.round(q @ np.stack(part["embedding"].to_list()).astype(np.float64).T, DIGITS)
-                    real = ~np.isnan(s)
-                    if 0 < k < s.shape[1]:  # ties with the k-th stay
-                        real &= s >= -np.partition(np.where(real, -s, np.inf), k - 1, axis=1)[:, k - 1 : k]
-                    at, x = np.nonzero(real)
-                    found = {"at": at, "media_id": part["media_id"].to_numpy()[x], "vector_offset": part["vector_offset"].to_numpy()[x], "score": s[at, x]}
-                    best[dim] = _best({n: np.concatenate([best[dim][n], v]) for n, v in found.items()} if dim in best else found, k)
-        for dim, found in best.items():
+            media, offsets = (pc.fill_null(batch.column(c), NONE).to_numpy() for c in (0, 1))
+            lists = batch.column(2)
+            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)  # null components become NaN
+            dims = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(bounds), -1)
+            for dim, top in tops.items():
+                fit = np.flatnonzero(dims == dim)
+                top.see(flat[bounds[fit][:, None] + np.arange(dim)].astype(np.float64), media[fit], offsets[fit])
+        for dim, top in tops.items():
+            found = top.best() if top.parts else {"at": []}
             for i in range(0, len(found["at"]), 100_000):
                 some = {n: v[i : i + 100_000] for n, v in found.items()}
-                yield pd.DataFrame({"qid": stacked[dim][0][some.pop("at")], **some})
+                yield pa.RecordBatch.from_arrays([told(stacked[dim][0][some["at"]]), told(some["media_id"]), told(some["vector_offset"]), pa.array(some["score"])], names=["qid", "media_id", "vector_offset", "score"])
 
-    found = vectors.select("media_id", "vector_offset", "embedding").mapInPandas(run, "qid long, media_id long, vector_offset long, score double")
+    narrow = vectors.select(*[F.col(c).cast("long").alias(c) for c in ("media_id", "vector_offset")], "embedding")
+    found = narrow.mapInArrow(run, "qid long, media_id long, vector_offset long, score double")
     return top_k_by_group(found, "qid", k).select("qid", "media_id", "score", "rank")
 
 

@@ -117,6 +117,22 @@ def test_top_k_in_blocks(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_many_multiplies_matrices(spark):
+    """No pair is a row; null ids, null queries and ties at the k-th place come out as in SQL."""
+    v = [(i if i % 7 else None, i % 5 * 8 if i % 11 else None, [float(i % 3), float(i % 4)] if i % 13 else None) for i in range(400)]
+    df = spark.createDataFrame(v, "media_id long, vector_offset long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(1, [1.0, 0.5]), (2, [-1.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0])], "qid long, q array<double>")
+    got = search.top_k_many(df, queries, 7)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "zip_with" not in plan
+    want = []
+    for qid, q in ((1, (1.0, 0.5)), (2, (-1.0, 2.0)), (4, (0.0, 0.0))):
+        best = sorted((-(q[0] * e[0] + q[1] * e[1]), -1 if o is None else o, -1 if m is None else m) for m, o, e in v if e)[:7]
+        want += [(qid, None if m < 0 else m, -s + 0.0, rank + 1) for rank, (s, _, m) in enumerate(best)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert search.top_k_many(df, queries, 0).count() == 0
+
+
 def test_integrity(spark):
     data = [(1, 0, 4, "indexed"), (2, 16, 4, "indexed"), (3, 16, 4, "indexed"), (4, 48, 8, "indexed"), (5, 2, 4, "indexed"), (6, -1, 0, "indexed"), (7, -1, 0, "pending")]
     df = spark.createDataFrame(data, "media_id long, vector_offset long, vector_dim int, status string")
