@@ -12,6 +12,9 @@ The largest values of a group are found by radix selection: histograms over DIGI
 each group's k-th value; its ties are refined by histograms over the UTF-8 byte at which they first differ, until FEW are
 left. Only rows at or above the threshold are ever ordered.
 
+What is told of the groups goes to every task if there are at most GROUPS of them, else rows and groups are shuffled. That
+isn't left to Spark: it goes by the size of files, in which names compress to little, and has broadcast the terms themselves.
+
 Defined cases: null text, lang and source are ''; a group without terms has all its pairs, of which those with value 0 tie
 by name; a language without kept terms has pairs of value 0; rows that repeat are documents of their own; a term is as
 long as its run of characters; an empty table gives no rows; other columns are ignored.
@@ -33,7 +36,7 @@ from lumenfold.llm.common import discard, documents, staged
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Values lie below 2 ** WIDTH, as p - q <= SCALE and f <= p - q.
 DIGIT, WIDTH, FEW, SALTS = 8, 32, 1024, 16
-ENTRIES, PIECE = 200_000, 1 << 20
+ENTRIES, PIECE, GROUPS = 200_000, 1 << 20, 20_000
 #: A term, and what parts terms, in UTF-8: every byte of another character lies above ASCII.
 TERM, BETWEEN = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 GROUP = ["lang", "source"]
@@ -94,6 +97,11 @@ def apart(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+def _with_groups(rows: DataFrame, told: DataFrame, by: list[str], n: int) -> DataFrame:
+    """rows with what is told of their groups, of which there are n."""
+    return rows.join(F.broadcast(told) if n <= GROUPS else told.hint("merge"), by)
+
+
 def _cumulated(hist: DataFrame, by: list[str], digit: Column) -> DataFrame:
     """The digit of each group at which the running count (_n, in the digit's order) reaches _need; _need less what is before it."""
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy(digit).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -113,15 +121,16 @@ def radix_top(rows: DataFrame, by: list[str], value: str, item: str, k: int, few
 
     rows: read more than once, so a written table; values from 0 below 2 ** WIDTH, items not null and unlike within a group.
     """
-    state = rows.groupBy(*by).agg(F.least(F.lit(k).cast("long"), F.count("*")).alias("_need")).withColumn("_high", F.lit(0).cast("long"))
+    sizes = staged(rows.groupBy(*by).agg(F.least(F.lit(k).cast("long"), F.count("*")).alias("_need")), "group-sizes")
+    n, state = sizes.count(), sizes.withColumn("_high", F.lit(0).cast("long"))
     for shift in range(WIDTH - DIGIT, -1, -DIGIT):
-        inside = rows.join(state, by).where(F.shiftright(value, shift + DIGIT) == F.col("_high"))
+        inside = _with_groups(rows, state, by, n).where(F.shiftright(value, shift + DIGIT) == F.col("_high"))
         hist = inside.groupBy(*by, "_need", "_high", F.shiftright(value, shift).bitwiseAND((1 << DIGIT) - 1).alias("_digit")).agg(F.count("*").alias("_n"))
         state = _cumulated(hist, by, F.desc("_digit")).select(*by, "_need", (F.col("_high") * (1 << DIGIT) + F.col("_digit")).alias("_high"))
     state = staged(state, "thresholds")
-    reached = rows.join(state, by)
+    reached = _with_groups(rows, state, by, n)
     sure, ties = [reached.where(F.col(value) > F.col("_high")).select(*rows.columns)], reached.where(F.col(value) == F.col("_high")).select(*rows.columns, "_need")
-    tables = [state]
+    tables = [sizes, state]
     while True:
         spans = ties.groupBy(*by).agg(F.min(item).alias("_a"), F.max(item).alias("_b"), F.count("*").alias("_n"), F.min("_need").alias("_need")).where(F.col("_n") > F.greatest(F.lit(few), "_need"))
         spans = staged(spans.select(*by, "_need", _first_difference(F.col("_a"), F.col("_b")).alias("_at")), "tie-spans")
@@ -129,9 +138,9 @@ def radix_top(rows: DataFrame, by: list[str], value: str, item: str, k: int, few
         if spans.isEmpty():
             break
         byte = F.conv(F.hex(F.substr(F.col(item).cast("binary"), F.col("_at") + 1, F.lit(1))), 16, 10).cast("int")
-        placed = ties.drop("_need").join(spans, by).withColumn("_digit", F.when(F.octet_length(item) > F.col("_at"), byte).otherwise(-1))
+        placed = _with_groups(ties.drop("_need"), spans, by, n).withColumn("_digit", F.when(F.octet_length(item) > F.col("_at"), byte).otherwise(-1))
         pick = _cumulated(placed.groupBy(*by, "_need", "_digit").agg(F.count("*").alias("_n")), by, F.asc("_digit")).select(*by, "_need", F.col("_digit").alias("_pick"))
-        split = placed.drop("_need").join(pick, by)
+        split = _with_groups(placed.drop("_need"), pick, by, n)
         sure.append(staged(split.where("_digit < _pick").select(*rows.columns), "ties-taken"))
         ties = staged(split.where("_digit = _pick").select(*rows.columns, "_need").unionByName(ties.join(spans, by, "left_anti")), "ties-left")
         tables += [sure[-1], ties]
@@ -143,20 +152,20 @@ def radix_top(rows: DataFrame, by: list[str], value: str, item: str, k: int, few
     return best
 
 
-def _pairs(kept: DataFrame, facts: DataFrame) -> DataFrame:
-    """lang, a, b, value for each two sources a < b of a language. kept: lang, source, term, p; facts: lang, source, v, p0."""
+def _pairs(kept: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+    """lang, a, b, value for each two sources a < b of a language. kept: lang, source, term, p; facts: n rows of lang, source, v, p0."""
     left = facts.withColumn("_salt", F.pmod(F.xxhash64("source"), F.lit(SALTS)))
     right = facts.select("lang", F.col("source").alias("other"), F.col("p0").alias("q0"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    two = staged(left.join(right, ["lang", "_salt"]).where("source <> other").select("lang", "source", "other", "v", "p0", "q0"), "source-pairs")
+    two = staged(left.join(right.hint("merge"), ["lang", "_salt"]).where("source <> other").select("lang", "source", "other", "v", "p0", "q0"), "source-pairs")
     base = apart(F.col("p0"), F.col("q0"))
     ends = [F.least("source", "other").alias("a"), F.greatest("source", "other").alias("b")]
     neither = two.where("source < other").select("lang", *ends, (F.col("v") * base).alias("value"))
     hist = kept.groupBy(*GROUP, "p").agg(F.count("*").alias("m"))
-    one = two.join(hist, GROUP).select("lang", *ends, (F.col("m") * (apart(F.col("p"), F.col("q0")) - base)).alias("value"))
-    x = kept.join(facts.drop("v"), GROUP)
+    one = two.join(hist.hint("merge"), GROUP).select("lang", *ends, (F.col("m") * (apart(F.col("p"), F.col("q0")) - base)).alias("value"))
+    x = _with_groups(kept, facts.drop("v"), GROUP, n)
     y = x.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("q"), F.col("p0").alias("q0"))
     p, q, p0, q0 = (F.col(c) for c in ("p", "q", "p0", "q0"))
-    both = x.join(y, ["lang", "term"]).where("source < other").select("lang", *ends, (apart(p, q) - apart(p, q0) - apart(p0, q) + base).alias("value"))
+    both = x.join(y.hint("merge"), ["lang", "term"]).where("source < other").select("lang", *ends, (apart(p, q) - apart(p, q0) - apart(p0, q) + base).alias("value"))
     out = staged(neither.unionByName(one).unionByName(both).groupBy("lang", "a", "b").agg(F.sum("value").alias("value")), "pair-sums")
     discard(two)
     return out
@@ -175,9 +184,10 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, few: i
     facts = facts.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("size", "v", "lang_size")})
     facts = facts.withColumns({"size": F.col("size") + 2 * F.col("v"), "lang_size": F.col("lang_size") + 2 * F.col("v")})
     facts = staged(facts.withColumn("p0", F.when(F.col("v") > 0, smoothed(F.lit(0).cast("long"), F.col("size"))).otherwise(F.lit(1).cast("long"))), "source-facts")
-    sized = staged(terms.join(facts, GROUP).select(*GROUP, "term", smoothed(F.col("n"), F.col("size")).alias("p"), smoothed(F.col("lang_n"), F.col("lang_size")).alias("q")), "term-shares")
+    n = facts.count()
+    sized = staged(_with_groups(terms, facts, GROUP, n).select(*GROUP, "term", smoothed(F.col("n"), F.col("size")).alias("p"), smoothed(F.col("lang_n"), F.col("lang_size")).alias("q")), "term-shares")
     discard(groups, terms)
-    sums = _pairs(sized.drop("q"), facts.select(*GROUP, "v", "p0"))
+    sums = _pairs(sized.drop("q"), facts.select(*GROUP, "v", "p0"), n)
     pairs = sums.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").union(sums.select("lang", "b", "a", "value"))
     pairs = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*GROUP).orderBy(F.desc("value"), "item")))
     above = staged(sized.where("p > q").select(*GROUP, F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value")), "terms-above")

@@ -175,6 +175,20 @@ def test_radix_top(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("groups", [1, 20_000])
+def test_divergence_broadcasts_no_terms(spark, monkeypatch, groups):
+    """However small the files of rows are, only what is told of groups is broadcast, and only for up to GROUPS of them."""
+    plans, write = [], divergence.staged
+    monkeypatch.setattr(divergence, "staged", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or write(df, name))
+    monkeypatch.setattr(divergence, "GROUPS", groups)
+    rows = [("a", f"s{i % 3}", " ".join(f"w{chr(97 + i * j % 26)}" for j in range(1, 9))) for i in range(60)]
+    got = sorted(tuple(r) for r in divergence.divergence(spark.createDataFrame(rows, "lang string, source string, text string"), 2, 3, 2).collect())
+    assert got == plain_divergence(rows, 2, 3)
+    told = [p for name, p in plans if name in ("source-pairs", "term-shares", "pair-sums", "thresholds", "top-terms", "ties-taken", "ties-left")]
+    assert len(told) >= 5 and not any("BuildLeft" in p for p in told)
+    assert any("BroadcastHashJoin" in p for name, p in plans if name == "thresholds") == (groups > 1)
+
+
 @pytest.mark.parametrize("name", ["op12_exponion_clusters", "op13_source_divergence"])
 def test_sql_of_new_operators(spark, name):
     import duckdb
